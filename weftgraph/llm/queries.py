@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, secret_scan, sharding, url_filter, warc
+from . import bpe, decontam, exact_dedup, ngram_join, secret_scan, sharding, url_filter, warc
 from .common import table
 
 #: Bytes of a shard in ``op4_sharding``.
@@ -35,6 +35,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return out.select(F.col("__id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("__id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontam": op3_decontam,
     "op4_sharding": op4_sharding,
     "op5_warc": op5_warc,
+    "op7_ngram_join": op7_ngram_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
     "op10_secret_scan": op10_secret_scan,
