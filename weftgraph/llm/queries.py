@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, ngram_join, secret_scan, sharding, url_filter, warc
+from . import bpe, decontam, exact_dedup, ngram_join, pii, quality, secret_scan, sharding, url_filter, warc
 from .common import table
 
 #: Bytes of a shard in ``op4_sharding``.
 SHARD_BYTES = 256 << 10
+#: Key of the surrogates in ``op6_pii``; a deployment passes its own secret.
+PII_KEY = "example-key"
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("__id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("__id").alias("doc_id"), "lang", "n_chars", "perplexity", "threshold", "rejected")
+
+
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.annotate(docs, table(spark, sf_dir, "benchmark"), prefix="")
@@ -35,6 +42,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", F.col("__pii_n").alias("n_entities"), F.col("__pii_types").alias("types"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
     return out.select(F.col("__id").alias("doc_id"), "n_shingles", "component_id")
@@ -62,9 +74,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_quality": op2_quality,
     "op3_decontam": op3_decontam,
     "op4_sharding": op4_sharding,
     "op5_warc": op5_warc,
+    "op6_pii": op6_pii,
     "op7_ngram_join": op7_ngram_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,
