@@ -31,17 +31,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, digest: bool = True)
     return norm.select(*out, *([F.sha2("__norm", 256).alias("__sha")] if digest else []))
 
 
-def survivors(sig: DataFrame) -> DataFrame:
-    """Rows whose length, and then whose (length, prefix hash), is shared with another row."""
-    lengths = sig.groupBy("__n").agg(F.count("*").alias("__c")).where("__c > 1").select("__n")
-    left = sig.join(lengths, "__n", "left_semi")
-    prefixes = left.groupBy("__n", "__p").agg(F.count("*").alias("__c")).where("__c > 1").select("__n", "__p")
+def survivors(counted: DataFrame) -> DataFrame:
+    """Of pre-aggregated rows ``(__n, __p, .., __c)``, those whose length, and then (length, prefix hash), is shared.
+
+    Copies are one row per task before the first shuffle, so a hot length or prefix deals out hashes, not documents.
+    """
+    lengths = counted.groupBy("__n").agg(F.sum("__c").alias("__s")).where("__s > 1").select("__n")
+    left = counted.join(lengths, "__n", "left_semi")
+    prefixes = left.groupBy("__n", "__p").agg(F.sum("__c").alias("__s")).where("__s > 1").select("__n", "__p")
     return left.join(prefixes, ["__n", "__p"], "left_semi")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
     best = F.min(F.struct(-F.col("__cp"), F.col("__id").isNull(), F.col("__id")))
-    return rows.groupBy("__n", "__p", "__sha").agg(F.count("*").alias("__size"), best.alias("__best")).where("__size > 1").select("__n", "__p", "__sha", "__size", F.col("__best").getField("__id").alias("__keep"))
+    return rows.groupBy("__n", "__p", *keys).agg(F.count("*").alias("__c"), best.alias("__best"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """The groups of equal texts among rows with a full hash, from the lengths and prefixes that survive."""
+    same = survivors(_counted(rows, "__sha")).where("__c > 1")
+    return same.select("__n", "__p", "__sha", F.col("__c").alias("__size"), F.col("__best").getField("__id").alias("__keep"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = True) -> DataFrame:
@@ -52,10 +61,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if digest_all:
         sig = materialise(signatures(docs, id_col, text_col), "dedup-sig")
-        groups = _groups(survivors(sig))
+        groups = _groups(sig)
     else:
         sig = materialise(signatures(docs, id_col, text_col, digest=False), "dedup-sig")
-        ids = survivors(sig).select("__id").distinct()
+        ids = sig.join(survivors(_counted(sig)).select("__n", "__p"), ["__n", "__p"], "left_semi").select("__id").distinct()
         again = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id").eqNullSafe(ids["__id"]), "left_semi")
         full = materialise(signatures(again, "__id", "__text"), "dedup-full")
         groups = _groups(full)
