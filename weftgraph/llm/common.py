@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 #: Bytes of one Arrow batch handed to a Python worker, so that many long texts never meet in one batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+#: The most that ``sized`` lets a join broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +41,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, row_bytes: int = 8) -> DataFrame:
+    """A materialised table of fixed-size rows, marked for broadcast if it is measured to fit ``BROADCAST_BYTES``.
+
+    Beyond that the join stays with Spark, which shuffles both sides.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hold Arrow batches to ``BATCH_BYTES``; rows a batch stay as the session has them."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

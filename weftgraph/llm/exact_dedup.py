@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise
+from .common import SPACE_CLASS, materialise, sized
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 128
@@ -82,4 +82,4 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = exact_dedup(docs, id_col, text_col)
     lost = materialise(out.where(~F.col("kept")).select("__id", "text_sha256").distinct(), "dedup-drop")
     sha = F.sha2(normalised(docs[text_col]), 256)
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["__id"]) & (sha == lost["text_sha256"]), "left_anti")
+    return docs.join(sized(lost, 80), docs[id_col].eqNullSafe(lost["__id"]) & (sha == lost["text_sha256"]), "left_anti")

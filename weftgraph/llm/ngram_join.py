@@ -9,11 +9,14 @@ one row per document with its component, found without listing the pairs inside
 3. Adaptive prefixes. Sets that link share at least l shingles of their l-prefixes (the first ``n - ceil(0.75 n) + l`` in
    the order). Each class takes the l of least estimated cost: longer prefixes cost postings, but candidates must then
    share more of them. Two classes are candidates if they share ``min(l, l')`` prefix shingles.
-4. Pivots. Within a shingle's sorted run, classes are first tried against a few central classes of the run, one
-   verification per class and round; what links is joined into components.
-5. The rest, exactly. Runs that lie within one component can't change anything and are dropped. In the others, every
-   class outside the component of the run's first class is paired with all classes of other components, counted, and
-   verified. So every candidate pair is verified or already connected: no link is lost, and there are no caps.
+4. Short runs. Classes that share a prefix shingle form its run. In runs of at most ``LONG`` classes the pairs are listed
+   (so at most ``LONG / 2`` a posting), counted, and kept if they share enough. Groups of such candidates are verified
+   together, each text moving once a group.
+5. Long runs, of a shingle in many classes, are never listed as pairs. Their classes are first tried against a few
+   central classes of the run, one verification per class and round; what links is joined into components, and runs that
+   lie within one component are done. Classes of the runs left are compared within their connected groups block by block,
+   in rows that grow with the blocks and not with the pairs. A pair that shares a long run's shingle is compared there; a
+   pair that shares none has all its shared shingles in short runs. So no link is lost, and there are no caps.
 
 Verification compares whole sets. Texts travel only for classes that are in some candidate pair; a class paired with very
 many others is dealt out in chunks. Runs are streamed in sorted order, so a hot shingle never has to fit in memory.
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, sized
 from .components import connected_components
 
 # Fixed values of the contract.
@@ -50,6 +53,8 @@ MAX_L, VERIFY_COST = 4, 8
 PIVOTS = 3
 #: Partners of one class in one verification group.
 CHUNK = 256
+#: Classes of a run whose pairs are listed; classes, and shingles, of a block.
+LONG, BLOCK, BLOCK_SHINGLES = 64, 128, 1 << 19
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -218,13 +223,11 @@ def _runs(postings: DataFrame) -> DataFrame:
             many = np.zeros(len(t), bool)
             many[:head] = True
             many[head:] = np.repeat(size > 1, size)
-            tail = begins[-1] if len(begins) else 0
             if len(begins) and size[-1] == 1:
                 held = [c[-1:] for c in cols]
                 token = None
             else:
                 token, rank, last = t[-1], int(order[-1]) + 1, (cols[1][-1], cols[2][-1])
-            del tail
             if many.any():
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[many]) for c in cols), pa.array(np.minimum(order[many], 1 << 30).astype(np.int32))], names=["token", "k1", "k2", "n", "l", "rank"])
 
@@ -232,13 +235,18 @@ def _runs(postings: DataFrame) -> DataFrame:
     return dealt.select("token", "k1", "k2", "n", "l").mapInArrow(run, "token long, k1 long, k2 long, n int, l int, rank int")
 
 
+def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, t)`` of the wanted ids; the ids are sent to the scan if they are measured to be few, else both are dealt out."""
+    wanted = materialise(ids.distinct(), "join-wanted")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(sized(wanted), "id")
+    return materialise(found.dropDuplicates(["id"]), "join-texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs ``(a, b)`` of ids whose sets link; b's set is held while its a's stream past in chunks."""
     sizes = pairs.groupBy("b").agg(F.count("*").alias("c"))
     dealt = materialise(pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / CHUNK)).cast("int").alias("part")), "join-pairs")
-    needed = dealt.select(F.col("a").alias("id")).union(dealt.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(needed, "id").dropDuplicates(["id"])
-    texts = materialise(texts, "join-texts")
+    texts = _texts(dealt.select(F.col("a").alias("id")).union(dealt.select("b")), docs, id_col, text_col)
     left = dealt.join(texts, dealt["a"] == texts["id"]).select("b", "part", F.col("a").alias("who"), F.lit(1).alias("kind"), "t")
     right = dealt.select("b", "part").distinct().join(texts, F.col("b") == texts["id"]).select("b", "part", F.col("b").alias("who"), F.lit(0).alias("kind"), "t")
 
@@ -260,8 +268,93 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", "kind").mapInArrow(run, "a long, b long")
 
 
+def compare(sets: list[np.ndarray], sides: list[int], cross: bool) -> list[tuple[int, int]]:
+    """Links among some sets that connect all that link, as positions; with cross, only between the two sides."""
+    n = len(sets)
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+
+    def join(a: int, b: int) -> None:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+
+    if n <= 6:
+        for a in range(n):
+            for b in range(a):
+                if (not cross or sides[a] != sides[b]) and root(a) != root(b) and linked(sets[a], sets[b]):
+                    join(a, b)
+        return out
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = times > 1
+    place = np.cumsum(keep) - 1
+    owner = np.repeat(np.arange(n), sizes)[keep[token]]
+    column = place[token[keep[token]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    inter = np.zeros((n, n), np.float32)
+    width = 4096
+    for begin in range(0, int(keep.sum()), width):
+        lo, hi = np.searchsorted(column, (begin, begin + width))
+        x = np.zeros((n, width), np.float32)
+        x[owner[lo:hi], column[lo:hi] - begin] = 1
+        inter += x @ x.T
+    ok = OVER * inter >= UNDER * (sizes[:, None] + sizes[None, :] - inter)
+    ok &= np.tri(n, n, -1, dtype=bool)
+    if cross:
+        side = np.array(sides)
+        ok &= side[:, None] != side[None, :]
+    for a, b in zip(*np.nonzero(ok), strict=True):
+        join(int(a), int(b))
+    return out
+
+
+def _block_links(dealt: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links ``(a, b)`` within blocks; rows ``(g, i, j, side, rep)``, a block being (g, i, j) of at most two sides."""
+    texts = _texts(dealt.select(F.col("rep").alias("id")), docs, id_col, text_col).withColumnRenamed("id", "rep")
+
+    def run(batches):
+        key, ids, sides, sets = None, [], [], []
+
+        def links():
+            found = compare(sets, sides, key[1] != key[2]) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for g, i, j, side, rep, text in zip(*(b.column(c).to_pylist() for c in ("g", "i", "j", "side", "rep")), _raw(b.column("t")), strict=True):
+                if (g, i, j) != key:
+                    if key is not None:
+                        yield links()
+                    key, ids, sides, sets = (g, i, j), [], [], []
+                ids.append(rep)
+                sides.append(side)
+                sets.append(shingles(text))
+        if key is not None:
+            yield links()
+
+    return dealt.join(texts, "rep").select("g", "i", "j", "side", "rep", "t").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _dealt(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """``(g, rep)`` dealt into blocks of bounded size, every pair of blocks of a group meeting once."""
+    sized_groups = groups.join(known.select("rep", "n"), "rep")
+    sizes = sized_groups.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    rows = groups.join(sizes, "g").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return rows.select("g", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "rep")
+
+
 def _fits(x: str, y: str):
-    return (OVER * F.least(x, y) >= UNDER * F.greatest(x, y)) if x != y else F.lit(True)
+    return OVER * F.least(x, y) >= UNDER * F.greatest(x, y)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, key: str, name: str) -> DataFrame:
@@ -278,42 +371,59 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sig = materialise(_signatures(docs, id_col, text_col), "join-sig")
     rows = sig.where("slot is null").select("id", "n", "k1", "k2")
     # a class stands under the smallest id that has its set
-    classes = materialise(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "join-classes")
+    classes = materialise(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "join-classes")
     levels = spark.sparkContext.broadcast(_levels(sig))  # 2**SKETCH_BITS bytes
     runs = materialise(_runs(_postings(docs, text_col, levels)), "join-runs")
-    shared = materialise(runs.join(classes.where("rep is not null"), ["k1", "k2"]).select("token", "rank", "rep", "n", "l"), "join-shared")
+    known = classes.where("rep is not null")
+    keys = known.select("k1", "k2", "rep")
     links, labels = None, None
 
-    def add(pairs: DataFrame) -> None:
+    def add(found: DataFrame) -> None:
         nonlocal links, labels
-        found = materialise(_verified(pairs, docs, id_col, text_col), "join-links")
+        found = materialise(found, "join-links")
         links = found if links is None else links.unionByName(found)
         labels = materialise(connected_components(links, "a", "b"), "join-labels")
 
-    for r in range(PIVOTS):
-        pivot = shared.where(F.col("rank") == r).select("token", F.col("rep").alias("p"), F.col("n").alias("pn"))
-        mine = shared.where(F.col("rank") != r).select("token", "rep", "n")
-        near = mine.join(pivot, "token").where((F.col("rep") != F.col("p")) & _fits("n", "pn")).groupBy("rep", "p").agg(F.count("*").alias("c"))
-        near = _labelled(_labelled(near, labels, "rep", "cr"), labels, "p", "cp").where("cr <> cp")
-        best = near.groupBy("rep").agg(F.max(F.struct("c", "p")).alias("m")).select(F.col("rep").alias("a"), F.col("m.p").alias("b"))
-        best = materialise(best, "join-try")
-        if best.isEmpty():
-            continue
-        add(best)
-
-    marked = materialise(_labelled(shared, labels, "rep", "comp"), "join-marked")
-    first = marked.where("rank = 0").select("token", F.col("comp").alias("fc"))
-    outside = marked.join(first, "token").withColumn("minor", F.col("comp") != F.col("fc"))
-    contested = outside.where("minor").select("token").distinct()
-    rest = materialise(outside.join(contested, "token", "left_semi").select("token", "rep", "n", "l", "comp", "minor"), "join-rest")
-    m = rest.where("minor").select("token", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("l").alias("al"), F.col("comp").alias("ac"))
-    o = rest.select("token", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("l").alias("bl"), F.col("comp").alias("bc"), "minor")
-    pairs = m.join(o, "token").where((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _fits("an", "bn"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("al", "bl")).alias("l")).where("c >= l").select("a", "b")
+    hot = runs.where(F.col("rank") == LONG).select("token")
+    long = materialise(runs.join(hot, "token", "left_semi").join(keys, ["k1", "k2"]).select("token", "rank", "rep", "n"), "join-long")
+    if not long.isEmpty():
+        for r in range(PIVOTS):
+            pivot = long.where(F.col("rank") == r).select("token", F.col("rep").alias("p"), F.col("n").alias("pn"))
+            near = long.where(F.col("rank") != r).join(pivot, "token").where(_fits("n", "pn")).groupBy("rep", "p").agg(F.count("*").alias("c"))
+            near = _labelled(_labelled(near, labels, "rep", "cr"), labels, "p", "cp").where("cr <> cp")
+            best = materialise(near.groupBy("rep").agg(F.max(F.struct("c", "p")).alias("m")).select(F.col("rep").alias("a"), F.col("m.p").alias("b")), "join-try")
+            if best.isEmpty():
+                continue
+            add(_verified(best, docs, id_col, text_col))
+            long = _labelled(long.drop("comp") if "comp" in long.columns else long, labels, "rep", "comp")
+            open_runs = long.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+            long = materialise(long.join(open_runs, "token", "left_semi"), "join-long")
+        # what the pivots left apart: all classes of a group against all
+        lead = long.groupBy("token").agg(F.min("rep").alias("lead"))
+        groups = materialise(connected_components(long.join(lead, "token").select("rep", "lead"), "rep", "lead"), "join-groups").select(F.col("component").alias("g"), F.col("node").alias("rep"))
+        dealt = materialise(_dealt(groups, known), "join-dealt")
+        if not dealt.isEmpty():
+            add(_block_links(dealt, docs, id_col, text_col))
+
+    short = runs.join(hot, "token", "left_anti")
+    x, y = short.select("token", *[F.col(c).alias("x" + c) for c in ("k1", "k2", "n", "l", "rank")]), short.select("token", *[F.col(c).alias("y" + c) for c in ("k1", "k2", "n", "l", "rank")])
+    pairs = x.join(y, "token").where((F.col("xrank") < F.col("yrank")) & _fits("xn", "yn"))
+    a, b = (F.struct(F.col(f"{side}k1").alias("p"), F.col(f"{side}k2").alias("q")) for side in "xy")
+    low, high = F.when(a < b, a).otherwise(b), F.when(a < b, b).otherwise(a)
+    pairs = pairs.groupBy(low.alias("lo"), high.alias("hi")).agg(F.count("*").alias("c"), F.min(F.least("xl", "yl")).alias("l")).where("c >= l")
+    pairs = pairs.select(F.col("lo.p").alias("k1"), F.col("lo.q").alias("k2"), F.col("hi.p").alias("h1"), F.col("hi.q").alias("h2"))
+    pairs = pairs.join(keys.withColumnRenamed("rep", "a"), ["k1", "k2"]).join(known.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("rep").alias("b")), ["h1", "h2"]).select("a", "b")
+    pairs = _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
     pairs = materialise(pairs, "join-pairs")
     if not pairs.isEmpty():
-        add(pairs)
-    out = rows.join(classes, ["k1", "k2"], "left")
+        groups = materialise(connected_components(pairs, "a", "b"), "join-groups").select(F.col("component").alias("g"), F.col("node").alias("rep"))
+        big = groups.groupBy("g").agg(F.count("*").alias("s")).where(F.col("s") > BLOCK).select("g")
+        found = _block_links(materialise(_dealt(groups.join(big, "g", "left_anti"), known), "join-dealt"), docs, id_col, text_col)
+        apart = materialise(pairs.join(groups.join(big, "g", "left_semi").select(F.col("rep").alias("a")), "a", "left_semi"), "join-apart")
+        if not apart.isEmpty():
+            found = found.unionByName(_verified(apart, docs, id_col, text_col))
+        add(found)
+    out = rows.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")
     out = _labelled(out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))), labels, "rep", "component_id")
     return out.select(F.col("id").alias("__id"), F.col("n").alias("n_shingles"), "component_id")
 
@@ -322,4 +432,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` that are the smallest id of their component, columns as they were."""
     out = jaccard_components(docs, id_col, text_col)
     lost = materialise(out.where("component_id < __id").select("__id").distinct(), "join-drop")
-    return docs.join(lost, docs[id_col].cast("long") == lost["__id"], "left_anti")
+    return docs.join(sized(lost), docs[id_col].cast("long") == lost["__id"], "left_anti")
