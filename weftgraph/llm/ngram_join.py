@@ -239,7 +239,7 @@ def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
     """``(id, t)`` of the wanted ids; the ids are sent to the scan if they are measured to be few, else both are dealt out."""
     wanted = materialise(ids.distinct(), "join-wanted")
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(sized(wanted), "id")
-    return materialise(found.dropDuplicates(["id"]), "join-texts")
+    return materialise(found, "join-texts")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
