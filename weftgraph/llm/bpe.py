@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, trimmed
 
 #: Characters of a piece, from which on the next safe boundary ends it.
 PIECE = 1 << 15
@@ -78,7 +78,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text
             ids = [encode(t.as_py(), path, pattern) for t in b.column(text_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, out_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda b: trimmed(run(b)), schema)
 
 
 def decode_table(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
@@ -91,7 +91,7 @@ def decode_table(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids
             raw = [None if v is None else decode(v, path, pattern) for v in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], names=[*b.schema.names, out_col])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(lambda b: trimmed(run(b)), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,4 +110,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 z.append(hashlib.sha256(decode(ids, path, pattern)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(z, pa.string())], names=["__id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lambda b: trimmed(run(b)), schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 #: Bytes of one Arrow batch handed to a Python worker, so that many long texts never meet in one batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: The most that ``sized`` lets a join broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -61,6 +61,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def trimmed(rows):
+    """Runs a Python task's generator and then returns its freed memory, as workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

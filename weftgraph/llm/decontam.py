@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, trimmed
 
 #: Fixed values of the contract.
 WINDOW = 13
@@ -153,7 +153,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
                 names = [x for x in b.schema.names if x not in (spans_c, items_c, n_c)]
                 yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=[*names, n_c, spans_c, items_c])
 
-        out = out.mapInArrow(search, schema)
+        out = out.mapInArrow(lambda b: trimmed(search(b)), schema)
         first = False
     signed = F.transform(F.coalesce(F.col(spans_c), F.array().cast("array<int>")), lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
     hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x)

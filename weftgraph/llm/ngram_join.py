@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, sized
+from .common import bounded_batches, materialise, sized, trimmed
 from .components import connected_components
 
 # Fixed values of the contract.
@@ -138,7 +138,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.array(np.arange(m), pa.int32()), lists], names=["id", "n", "k1", "k2", "slot", "cells"])
 
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    return src.mapInArrow(run, "id long, n long, k1 long, k2 long, slot int, cells array<long>")
+    return src.mapInArrow(lambda b: trimmed(run(b)), "id long, n long, k1 long, k2 long, slot int, cells array<long>")
 
 
 def _levels(sig: DataFrame) -> np.ndarray:
@@ -156,7 +156,7 @@ def _levels(sig: DataFrame) -> np.ndarray:
 
     width = (1 << SKETCH_BITS) >> SLOT_BITS
     out = np.zeros((1 << SLOT_BITS, width), np.uint8)
-    for r in sig.where("slot is not null").select("slot", "cells").repartition("slot").mapInArrow(add, "slot int, levels binary").collect():
+    for r in sig.where("slot is not null").select("slot", "cells").repartition("slot").mapInArrow(lambda b: trimmed(add(b)), "slot int, levels binary").collect():
         out[r["slot"]] = np.frombuffer(r["levels"], np.uint8)
     return out.ravel()
 
@@ -182,7 +182,7 @@ def _postings(docs: DataFrame, text_col: str, levels) -> DataFrame:
                 cols = [np.concatenate(tokens).view(np.int64), *(np.repeat(m[:, c], m[:, 5]) for c in range(5))]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], names=["token", "k1", "k2", "n", "l", "mid"])
 
-    return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "token long, k1 long, k2 long, n int, l int, mid int")
+    return docs.select(F.col(text_col).alias("__text")).mapInArrow(lambda b: trimmed(run(b)), "token long, k1 long, k2 long, n int, l int, mid int")
 
 
 def _runs(postings: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _runs(postings: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[many]) for c in cols), pa.array(np.minimum(order[many], 1 << 30).astype(np.int32))], names=["token", "k1", "k2", "n", "l", "rank"])
 
     dealt = postings.repartition("token").sortWithinPartitions("token", F.desc("mid"), "n", "k1", "k2")
-    return dealt.select("token", "k1", "k2", "n", "l").mapInArrow(run, "token long, k1 long, k2 long, n int, l int, rank int")
+    return dealt.select("token", "k1", "k2", "n", "l").mapInArrow(lambda b: trimmed(run(b)), "token long, k1 long, k2 long, n int, l int, rank int")
 
 
 def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -265,7 +265,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                     b_out.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", "kind").mapInArrow(run, "a long, b long")
+    return left.unionByName(right).repartition("b", "part").sortWithinPartitions("b", "part", "kind").mapInArrow(lambda b: trimmed(run(b)), "a long, b long")
 
 
 def compare(sets: list[np.ndarray], sides: list[int], cross: bool) -> list[tuple[int, int]]:
@@ -341,7 +341,7 @@ def _block_links(dealt: DataFrame, docs: DataFrame, id_col: str, text_col: str)
         if key is not None:
             yield links()
 
-    return dealt.join(texts, "rep").select("g", "i", "j", "side", "rep", "t").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt.join(texts, "rep").select("g", "i", "j", "side", "rep", "t").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lambda b: trimmed(run(b)), "a long, b long")
 
 
 def _dealt(groups: DataFrame, known: DataFrame) -> DataFrame:
