@@ -64,11 +64,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = _groups(sig)
     else:
         sig = materialise(signatures(docs, id_col, text_col, digest=False), "dedup-sig")
-        ids = sig.join(survivors(_counted(sig)).select("__n", "__p"), ["__n", "__p"], "left_semi").select("__id").distinct()
-        again = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id").eqNullSafe(ids["__id"]), "left_semi")
+        ids = sig.join(survivors(_counted(sig)).select("__n", "__p"), ["__n", "__p"], "left_semi").select(F.col("__id").alias("__i")).distinct()
+        again = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id").eqNullSafe(ids["__i"]), "left_semi")
         full = materialise(signatures(again, "__id", "__text"), "dedup-full")
         groups = _groups(full)
-        sig = sig.join(full.select("__id", "__n", "__p", "__cp", "__sha").distinct(), (sig["__n"] == full["__n"]) & (sig["__p"] == full["__p"]) & (sig["__cp"] == full["__cp"]) & sig["__id"].eqNullSafe(full["__id"]), "left").select(sig["*"], full["__sha"])
+        done = full.select(F.col("__id").alias("__i"), F.col("__n").alias("__m"), F.col("__p").alias("__q"), F.col("__cp").alias("__d"), "__sha").distinct()
+        same = (F.col("__n") == F.col("__m")) & (F.col("__p") == F.col("__q")) & (F.col("__cp") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i"))
+        sig = sig.join(done, same, "left").select("__id", "__cp", "__n", "__p", "__sha")
     out = sig.join(groups, ["__n", "__p", "__sha"], "left")
     keep = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
     return out.select("__id", keep.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("__id")).alias("kept"), F.col("__sha").alias("text_sha256"))
