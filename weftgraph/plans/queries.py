@@ -372,3 +372,27 @@ def parse_diff(spark, d):
 
 def graph_of(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return trade(spark, sf_dir)
+
+
+@query("SELECT 'module:mods/m' || range || '.py' AS src, 'module:mods/m' || (range - 1) || '.py' AS dst FROM range(1, 50)", "python_imports")
+def _imports(spark, d):
+    from ..frontends.python import analyze
+    from ..sources.files import synthetic
+
+    return analyze(synthetic(spark, 50))[0].edges.where("kind = 'imports' and dst like 'module:mods/m%'").select("src", "dst")
+
+
+@query("SELECT 'contains' AS kind, 100 AS edges UNION ALL SELECT 'imports', 99 UNION ALL SELECT 'calls', 50", "gen_synthetic")
+def _synthetic(spark, d):
+    from ..frontends.python import analyze
+    from ..sources.files import synthetic
+
+    return analyze(synthetic(spark, 50))[0].edges.groupBy("kind").agg(F.count("*").alias("edges"))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS b FROM g) SELECT user_id, count(*) AS saves, epoch_us(min(ts)) AS first FROM s GROUP BY user_id, b")
+def debounce_refresh(spark, d):
+    from ..streaming.changes import debounce
+
+    out = debounce(read(spark, d, "events"), "user_id", "ts", "1 hour")
+    return out.select("user_id", "saves", F.unix_micros(F.col("first").cast("timestamp")).alias("first"))
