@@ -24,7 +24,7 @@ def graph(body, head="function f(a, b) {\n"):
         ("try { return g(); } finally { h(); }", {"b1": ["return g();"], "b2": ["h();"]}, "entry>b1:n b1>b2:y b2>exit:n"),
         ("try { g(); } catch (e) { throw e; }", {"b1": ["g();"], "b2": ["catch (e)", "throw e;"]}, "entry>b1:n b1>b2:x b1>exit:n b2>exit:x"),
         ("return 1;\nlost();", {"b1": ["return 1;"], "b2": ["lost();"]}, "entry>b1:n b1>exit:n b2>exit:n"),
-        ("out: for (const x of a) { while (true) { break out; } }\nz();", {"b1": ["const x of a"], "b2": ["z();"], "b3": ["true"], "b4": [], "b5": ["break out;"]}, "entry>b1:n b1>b2:f b1>b3:t b2>exit:n b3>b4:f b3>b5:t b4>b1:b b5>b2:n"),
+        ("out: for (const x of a) { while (true) { break out; } }\nz();", {"b1": ["const x of a"], "b2": ["z();"], "b3": ["true"], "b4": ["break out;"], "b5": []}, "entry>b1:n b1>b2:f b1>b3:t b2>exit:n b3>b4:t b3>b5:f b4>b2:n b5>b1:b"),
         ("const x = a\n  .map((y) => { if (y) { return 1; } })\ng(`}`, '{')", {"b1": ["const x = a", "g(`}`, '{')"]}, "entry>b1:n b1>exit:n"),
     ],
 )
