@@ -47,3 +47,17 @@ def test_rows_are_valid_and_grouped(spark):
     labels = [r[0] for r in rows.where("fact = 'block'").select(block_label(rows.kind, rows.statements, rows.awaits)).collect()]
     assert {"Start", "End", "⏳ await a"} <= set(labels)
     assert parallel_edges(rows).groupBy("src", "dst").count().where("count > 1").count() == 0
+
+
+def test_dataflow():
+    from weftgraph.frontends.dataflow import sites_of
+
+    text = "let top = 1;\nfunction f(a, { b: c = 1 }) {\n  let x;\n  x = a + c;\n  { let x = 2; c += x; }\n  const g = () => { x++; return top; };\n  for (const i of a) { g({ a: i }); }\n}\n"
+    got = {(r[2], r[3], r[4], r[6], r[7], r[8]) for r in sites_of("m.ts", text)}
+    assert got == {
+        ("f", "a", 2, False, "write", 2), ("f", "a", 2, False, "read", 4), ("f", "a", 2, False, "read", 7), ("f", "c", 2, False, "write", 2), ("f", "c", 2, False, "read", 4),
+        ("f", "c", 2, False, "read", 5), ("f", "c", 2, False, "write", 5), ("f", "x", 3, False, "write", 4), ("f", "x", 5, False, "write", 5), ("f", "x", 5, False, "read", 5),
+        ("f", "g", 6, False, "write", 6), ("f", "g", 6, False, "read", 7), ("g", "x", 3, True, "read", 6), ("g", "x", 3, True, "write", 6), ("f", "i", 7, False, "write", 7), ("f", "i", 7, False, "read", 7),
+    }
+    for bad in (None, "", "function f( {", "const", "for (let", "(a) =>", "let {a", "catch ("):
+        list(sites_of("m.ts", bad))
