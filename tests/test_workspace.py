@@ -30,3 +30,11 @@ def test_scores(spark):
     gold = spark.createDataFrame([(1, "symbol", "run", None), (1, "symbol", "run_all", 1), (1, "file", "src/a.ts", None), (2, "symbol", "x", None)], "question int, kind string, expected string, minimum int")
     got = {r["question"]: (round(r["recall"], 3), r["correct"]) for r in ev.score_answers(answers, gold).collect()}
     assert got == {1: (0.667, True), 2: (0.0, False)}
+
+
+def test_queries_register_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as s; q, o = s.queries(), s.oracle_sql(); assert len(q) > 90 and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True)

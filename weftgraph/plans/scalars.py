@@ -71,17 +71,16 @@ def _paths(spark, d):
 
 
 def _scalar(key: str, sql: str, column) -> None:
-    query(f"{_PARTS}{sql} AS v FROM p", key)(lambda spark, d: _paths(spark, d).select("p_partkey", column.alias("v")))
-
-
-_P = F.col("path")
-_scalar("is_test_file", "m < 2", tx.is_test_file(_P))
-_scalar("is_relative", "m > 1", tx.is_relative(_P))
-_scalar("top_segment", "split_part(path, '/', 1)", tx.top_segment(_P))
-_scalar("fuzzy_match", "m = 0", tx.fuzzy_match(_P, "SPY"))
-_scalar("glob_any", "m = 0 OR m = 3", tx.glob_column(_P, ["src/**", "**/*.css"]))
-_scalar("brace_expand", "m < 2", tx.glob_column(_P, ["{src,lib}/**/*.{py,ts}"]))
-_scalar("glob_defaults", "m < 2", tx.glob_column(_P, tx.DEFAULT_INCLUDE))
-_scalar("adapter_for_path", "['python', 'typescript', 'typescript', ''][m + 1]", F.coalesce(tx.language(_P), F.lit("")))
-_scalar("root_prefix_path", "CASE WHEN m = 0 THEN path ELSE 'r' || m || '/' || path END", prefixed(_P, F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("r"), (F.col("p_partkey") % 4).cast("string")))))
-_scalar("display_label", "CASE WHEN m < 2 THEN path || '()' ELSE path END", tx.display_label(F.when(F.col("p_partkey") % 4 == 0, "function").when(F.col("p_partkey") % 4 == 1, "method").otherwise("class"), _P))
+    query(f"{_PARTS}{sql} AS v FROM p", key)(lambda spark, d: _paths(spark, d).select("p_partkey", column(F.col("path")).alias("v")))
+
+
+_scalar("is_test_file", "m < 2", lambda path: tx.is_test_file(path))
+_scalar("is_relative", "m > 1", lambda path: tx.is_relative(path))
+_scalar("top_segment", "split_part(path, '/', 1)", lambda path: tx.top_segment(path))
+_scalar("fuzzy_match", "m = 0", lambda path: tx.fuzzy_match(path, "SPY"))
+_scalar("glob_any", "m = 0 OR m = 3", lambda path: tx.glob_column(path, ["src/**", "**/*.css"]))
+_scalar("brace_expand", "m < 2", lambda path: tx.glob_column(path, ["{src,lib}/**/*.{py,ts}"]))
+_scalar("glob_defaults", "m < 2", lambda path: tx.glob_column(path, tx.DEFAULT_INCLUDE))
+_scalar("adapter_for_path", "['python', 'typescript', 'typescript', ''][m + 1]", lambda path: F.coalesce(tx.language(path), F.lit("")))
+_scalar("root_prefix_path", "CASE WHEN m = 0 THEN path ELSE 'r' || m || '/' || path END", lambda path: prefixed(path, F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("r"), (F.col("p_partkey") % 4).cast("string")))))
+_scalar("display_label", "CASE WHEN m < 2 THEN path || '()' ELSE path END", lambda path: tx.display_label(F.when(F.col("p_partkey") % 4 == 0, "function").when(F.col("p_partkey") % 4 == 1, "method").otherwise("class"), path))
