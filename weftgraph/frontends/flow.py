@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.traverse import bfs
 from .lexical import _TS_ARGS, LANGUAGES, Brackets, blanked
 
 FLOW = "path string, fn int, name string, fact string, id string, kind string, statements array<string>, awaits boolean, src string, dst string, label string, start_line int, end_line int"
@@ -495,3 +496,18 @@ def validate_flow(rows: DataFrame) -> DataFrame:
     out = out.unionByName(say(e.where("dst = 'entry' or src = 'exit'"), "edge into entry or out of exit"))
     out = out.unionByName(say(e.groupBy("path", "fn", "src", "dst", "kind", "label").count().where("count > 1"), "duplicate edge"))
     return out.unionByName(say(e.where("label is not null and kind <> 'case'"), "label on another kind")).distinct()
+
+
+def dead_blocks(rows: DataFrame) -> DataFrame:
+    """``path, fn, id`` of blocks that no path from the entry reaches."""
+    key = lambda c: F.concat_ws("\x00", "path", F.col("fn").cast("string"), c)
+    b = rows.where("fact = 'block'").select("path", "fn", "id", "kind", key("id").alias("key"))
+    e = rows.where("fact = 'edge'").select(key("src").alias("src"), key("dst").alias("dst"))
+    met = bfs(e, b.where("kind = 'entry'").select(F.col("key").alias("id")))
+    return b.join(met.select(F.col("id").alias("key")), "key", "left_anti").select("path", "fn", "id")
+
+
+def variable_blocks(rows: DataFrame, sites: DataFrame) -> DataFrame:
+    """``path, fn, id, variable, access`` of the sites that lie in a block's lines."""
+    b = rows.where("fact = 'block' and start_line is not null").select("path", "fn", "id", "start_line", "end_line")
+    return b.join(sites.select("path", "variable", "access", "line"), "path").where("line between start_line and end_line").select("path", "fn", "id", "variable", "access").distinct()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CHARS_A_TOKEN, display_label, estimate_tokens, is_test_file, kind_label
+from ..functions.text import CHARS_A_TOKEN, display_label, estimate_tokens, fuzzy_match, is_test_file, kind_label, top_segment
 from ..schema import CodeGraph
-from .relational import inbound_weight, induced
-from .traverse import KINDS, bfs
+from .relational import degrees, inbound_weight, induced
+from .traverse import KINDS, bfs, reach
 
 SUGGESTIONS = 5
 
@@ -55,6 +55,13 @@ def listable(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("file").isNotNull() & ~F.col("kind").isin("module", "folder") & ~F.coalesce("external", F.lit(False)))
 
 
+def symbol_line() -> Column:
+    """A symbol's line of the map, over the columns of nodes and ``inbound``."""
+    name = F.concat(kind_label(F.col("kind")), F.lit(" "), F.col("name"), F.coalesce("signature", F.lit("")))
+    place = F.coalesce(F.concat(F.lit(" ·"), F.col("start_line").cast("string")), F.lit(""))
+    return F.concat(F.lit("  "), name, place, F.when(F.col("inbound") > 0, F.concat(F.lit(" ←"), F.col("inbound").cast("string"))).otherwise(""))
+
+
 def repo_map(g: CodeGraph, ranks: DataFrame, budget: int = 2000) -> DataFrame:
     """``(pos, file, line)`` of the largest ranked prefix whose rendered text fits the budget, one symbol at least.
 
@@ -62,8 +69,7 @@ def repo_map(g: CodeGraph, ranks: DataFrame, budget: int = 2000) -> DataFrame:
     two characters, so no more than the budget's characters of the ranking can be needed: a top-k, then one window.
     """
     syms = listable(g.nodes).join(ranks, "id").join(inbound_weight(g.edges), "id", "left")
-    text = F.concat(F.lit("  "), kind_label(F.col("kind")), F.lit(" "), F.col("name"), F.coalesce("signature", F.lit("")), F.coalesce(F.concat(F.lit(" ·"), F.col("start_line").cast("string")), F.lit("")), F.when(F.col("inbound") > 0, F.concat(F.lit(" ←"), F.col("inbound").cast("string"))).otherwise(""))
-    top = syms.select("id", "file", F.round("score", 12).alias("score"), "start_line", text.alias("line")).orderBy(F.desc("score"), "id").limit(int(budget * CHARS_A_TOKEN / 2) + 1)
+    top = syms.select("id", "file", F.round("score", 12).alias("score"), "start_line", symbol_line().alias("line")).orderBy(F.desc("score"), "id").limit(int(budget * CHARS_A_TOKEN / 2) + 1)
     order = Window.orderBy(F.desc("score"), "id")
     first = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "id")) == 1
     sized = top.withColumn("first", first).withColumn("pos", F.row_number().over(order))
@@ -103,6 +109,15 @@ def clean_path(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\t.*$", ""), '^"|"$', ""), "^[ab]/", "")
 
 
+def span_within(start: Column, end: Column, outer_start: Column, outer_end: Column) -> Column:
+    """Both ends inclusive."""
+    return (start >= outer_start) & (end <= outer_end)
+
+
+def span_contains_strict(start: Column, end: Column, inner_start: Column, inner_end: Column) -> Column:
+    return span_within(inner_start, inner_end, start, end) & ~((start == inner_start) & (end == inner_end))
+
+
 def enclosing(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """The innermost node of each ``(file, line)``: latest start, then earliest end, then id."""
     spans = nodes.where("kind <> 'folder' and start_line is not null").select("id", "file", "start_line", "end_line")
@@ -120,6 +135,31 @@ def impact(g: CodeGraph, lines: DataFrame, depth: int = 2) -> DataFrame:
     return hit.join(g.nodes.select("id", "file"), "id").select("id", role.alias("role"), F.coalesce(is_test_file(F.col("file")), F.lit(False)).alias("is_test"))
 
 
+def importers(g: CodeGraph, module: str) -> DataFrame:
+    """Modules that import one, over any number of steps, itself at depth 0."""
+    return reach(g, [module], kinds=("imports",), reverse=True)
+
+
+def path_text(nodes: DataFrame, path: DataFrame) -> DataFrame:
+    """``(pos, id)`` of a shortest path as one row ``path``, its names joined by arrows; empty if there is none."""
+    row = F.array_sort(F.collect_list(F.struct("pos", "name")))
+    return path.join(nodes.select("id", "name"), "id").agg(F.array_join(F.transform(row, lambda r: r["name"]), " → ").alias("path"))
+
+
+def hover_details(g: CodeGraph) -> DataFrame:
+    """``id, kind, label, place, in_degree, out_degree`` of every node; a node without edges has zeros."""
+    place = F.coalesce(F.concat_ws(":", "file", F.col("start_line").cast("string")), F.lit(""))
+    n = g.nodes.join(degrees(g.edges), "id", "left")
+    return n.select("id", "kind", display_label(F.col("kind"), F.col("name")).alias("label"), place.alias("place"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("in_degree", "out_degree")])
+
+
+def search_filter(nodes: DataFrame, text: str, kinds_off=(), segments_off=()) -> DataFrame:
+    """Nodes of enabled kinds and top folders whose label or path fuzzily matches."""
+    path = F.coalesce("file", F.lit(""))
+    hit = fuzzy_match(display_label(F.col("kind"), F.col("name")), text) | fuzzy_match(path, text)
+    return nodes.where(~F.col("kind").isin(*kinds_off) & ~top_segment(path).isin(*segments_off) & hit)
+
+
 def slice_graph(g: CodeGraph, ids: DataFrame) -> CodeGraph:
     return induced(g, ids)
 

@@ -166,3 +166,8 @@ def mark_import_cycles(g: CodeGraph, strict: bool = False) -> DataFrame:
     both = (F.col("cs") == F.col("cd")) if strict else F.col("cs").isNotNull() & F.col("cd").isNotNull()
     flag = F.when((F.col("kind") == "imports") & ~F.coalesce("type_only", F.lit(False)) & both, True)
     return e.withColumn("in_cycle", flag).select(*g.edges.columns)
+
+
+def containment_cycles(g: CodeGraph) -> DataFrame:
+    """``id``: nodes that contain themselves over some number of steps."""
+    return vertices_in_cycles(g.edges.where("kind = 'contains'").select("src", "dst"))

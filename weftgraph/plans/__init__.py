@@ -3,6 +3,6 @@
 
 def registered() -> tuple[dict, dict]:
     """All queries and their SQL; the modules register on import."""
-    from . import languages, queries, scalars  # noqa: F401
+    from . import languages, queries, scalars, services  # noqa: F401
 
     return queries.QUERIES, queries.ORACLES

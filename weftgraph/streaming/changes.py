@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,29 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
 def merge_facts(old: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
     """Facts of untouched files as they were, those of touched ones replaced; resolution then runs over all facts."""
     return old.join(touched.select("path").distinct(), "path", "left_anti").unionByName(fresh)
+
+
+def dependency_index(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(file, imports)``: pairs of files of which one imports the other, externals left out."""
+    own = nodes.where("file is not null").select("id", "file")
+    e = edges.where("kind = 'imports'").join(own.select(F.col("id").alias("src"), "file"), "src").join(own.select(F.col("id").alias("dst"), F.col("file").alias("imports")), "dst")
+    return e.where("file <> imports").select("file", "imports").distinct()
+
+
+def dirty_closure(index: DataFrame, touched: DataFrame, levels: int = 2) -> DataFrame:
+    """``(file, role)``: touched files and their direct importers are ``dirty``; what those import within levels is ``context``."""
+    hit = touched.select(F.col("path").alias("file"))
+    dirty = hit.unionByName(index.join(hit.select(F.col("file").alias("imports")), "imports", "left_semi").select("file")).distinct()
+    near = front = dirty
+    for _ in range(levels):
+        front = index.join(front, "file", "left_semi").select(F.col("imports").alias("file")).distinct()
+        near = near.unionByName(front)
+    seen = near.distinct().join(dirty.withColumn("role", F.lit("dirty")), "file", "left")
+    return seen.select("file", F.coalesce("role", F.lit("context")).alias("role"))
+
+
+def followed(events: DataFrame, session: str, order: list[str], file: str = "file") -> DataFrame:
+    """Events ``following, pinned, <file>`` that switch the shown file: followed, not pinned, another file than the last such."""
+    live = events.where("following AND NOT pinned")
+    last = F.lag(file).over(Window.partitionBy(session).orderBy(*order))
+    return live.withColumn("__last", last).where(~F.col("__last").eqNullSafe(F.col(file))).drop("__last")
