@@ -145,6 +145,20 @@ def test_pii_collisions_try_again(spark, monkeypatch):
     assert len({s for _, s in got}) == 4 and not {s for _, s in got} & {"s0", "s1"}
 
 
+def test_pii_many_entities_of_a_short_phone_format(spark):
+    import re
+
+    texts = [(k, f"call +{10000 + k}") for k in range(150)] + [(200 + k, f"call +123-{k:02}") for k in range(50)] + [(300 + k, f"call +456-{k:02}") for k in range(100)] + [(400, "call +1 706 555 3138"), (401, "call +17065553138")]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(docs(spark, texts), "k").collect()}
+    digits = {i: re.sub("[^0-9]", "", t) for i, t in got.items()}
+    real = {i: re.sub("[^0-9]", "", t) for i, t in texts}
+    assert digits[400] == digits[401] and digits[400][0] == "1" and digits[400] != real[400]
+    del digits[401]
+    assert len(set(digits.values())) == len(digits) and all(digits[i] != real[i] for i in digits)
+    assert not {d for i, d in digits.items() if not 300 <= i < 400} & set(real.values())
+    assert all(re.fullmatch(r"call \+123-[0-9]{2}", got[k]) for k in range(200, 250)) and all(got[k].startswith("call +456-") for k in range(300, 400))
+
+
 def test_ngram_join_against_brute_force(spark, monkeypatch):
     rnd = random.Random(5)
     base = [f"t{rnd.randrange(10**6)}" for _ in range(80)]

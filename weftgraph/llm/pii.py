@@ -8,7 +8,10 @@ honorific) and script (Latin or Cyrillic); given and family names are entities o
 
 Surrogates are functions of (key, type, canonical form, attempt). A collision check over the distinct entities, never
 over the texts, finds surrogates that two entities share or that are real entities of the input; those entities alone
-try again. So different entities stay different and none of the output's entities is one of the input's.
+try again. So different entities stay different and none of the output's entities is one of the input's. A phone
+number's country code is the longest that one of its mentions sets off. Phone and national numbers that tries don't
+settle are dealt the unused values of their format; only where it has fewer of those than entities do the others get
+another real entity's value.
 
 Only rows with an entity are taken apart. A hot entity is one row of the surrogate table; mentions are pre-aggregated
 before the distinct entities are shuffled, and AQE can split the mentions in the join back.
@@ -19,7 +22,7 @@ result; very long texts are taken apart whole; the marks U+0001 and U+0002 withi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -42,6 +45,8 @@ SYLLABLES = {"latin": "ba be bi bo da de di do fa fe fi fo ka ke ki ko la le li
 ENDINGS = {("latin", "given", "f"): "na", ("latin", "given", "m"): "ton", ("latin", "given", "x"): "ley", ("cyrillic", "given", "f"): "на", ("cyrillic", "given", "m"): "слав", ("cyrillic", "given", "x"): "ль", ("latin", "family", "f"): "well", ("latin", "family", "m"): "well", ("latin", "family", "x"): "well", ("cyrillic", "family", "f"): "ова", ("cyrillic", "family", "m"): "ов", ("cyrillic", "family", "x"): "ко"}
 
 MAX_TRIES = 40
+#: Tries after which phone and national numbers are dealt the unused values of their formats.
+DIGIT_TRIES = 6
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _SEGMENT = "array<struct<type:string,raw:string,gender:string>>"
 
@@ -130,41 +135,101 @@ def surrogate(key: str, kind: Column, canon: Column, gender: Column, tries: Colu
     return F.when(kind == "email", F.concat(local, F.lit("@"), domain)).when(kind == "ip", F.concat_ws(".", *[octet(k) for k in range(4)])).when(kind == "card", F.concat(body, last.cast("string"))).when(kind.isin("phone", "ssn"), plain).otherwise(name)
 
 
+def _code(kind: Column, raw: Column) -> Column:
+    """How many leading digits of a mention are a country code, which stays."""
+    return F.when((kind == "phone") & F.startswith(raw, F.lit("+")), F.length(F.regexp_extract(raw, r"^\+([0-9]{1,3})(?![0-9])", 1))).otherwise(0)
+
+
 def rendered(kind: Column, raw: Column, sub: Column) -> Column:
     """The surrogate in the mention's own format."""
     chars = F.split(raw, "")
-    keep = F.when((kind == "phone") & F.startswith(raw, F.lit("+")), F.length(F.regexp_extract(raw, r"^\+([0-9]{1,3})(?![0-9])", 1))).otherwise(0)
-    step = lambda a, c: F.struct((a["i"] + F.rlike(c, F.lit("^[0-9]$")).cast("int")).alias("i"), F.concat(a["s"], F.when(F.rlike(c, F.lit("^[0-9]$")) & (a["i"] >= keep), F.substring(sub, a["i"] + 1, F.lit(1))).otherwise(c)).alias("s"))
+    step = lambda a, c: F.struct((a["i"] + F.rlike(c, F.lit("^[0-9]$")).cast("int")).alias("i"), F.concat(a["s"], F.when(F.rlike(c, F.lit("^[0-9]$")), F.substring(sub, a["i"] + 1, F.lit(1))).otherwise(c)).alias("s"))
     digits = F.aggregate(chars, F.struct(F.lit(0).alias("i"), F.lit("").alias("s")), step, lambda a: a["s"])
     cased = F.when(raw == F.upper(raw), F.upper(sub)).otherwise(F.initcap(sub))
     return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind.isin("given", "family"), cased).otherwise(sub)
 
 
-def _compared(kind: Column, form: Column) -> Column:
-    """What must differ: of a phone number the digits that no rendering keeps as a country code."""
-    return F.when(kind == "phone", F.substring(form, 4, 100)).otherwise(form)
+_FORMAT = ["type", "code", "n"]
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` numbered from 0 by column ``o`` within their format, over all tasks."""
+    s = materialise(rows.repartitionByRange(*_FORMAT, "o").sortWithinPartitions(*_FORMAT, "o").withColumn("__i", F.monotonically_increasing_id()), "pii-ranked")
+    s = s.withColumn("__p", F.shiftright("__i", 33))
+    sizes = s.groupBy(*_FORMAT, "__p").agg(F.count("*").alias("__c"), F.min("__i").alias("__lo"))
+    before = F.sum("__c").over(Window.partitionBy(*_FORMAT).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*_FORMAT, "__p", "__lo", F.coalesce(before, F.lit(0)).alias("__b"))
+    return s.join(sizes, [*_FORMAT, "__p"]).withColumn("rank", F.col("__i") - F.col("__lo") + F.col("__b")).drop("o", "__i", "__p", "__lo", "__b")
+
+
+def _dealt(left: DataFrame, entities: DataFrame, done: DataFrame, key: str, code: int) -> DataFrame:
+    """``type, canon, sub`` of the digit entities that tries left: the unused values of their formats, dealt in keyed order.
+
+    A format is a length and a country code of ``code`` digits. Its values are listed, which is in proportion to the
+    entities, as tries only fail where most values are used. Entities beyond the unused values get real ones, never
+    their own: as many values as entities there always are.
+    """
+    order = lambda c: _hex(key, F.lit("deal"), F.col(c))
+    left = left.select("type", "canon", F.substring("canon", 1, code).alias("code"), F.length("canon").alias("n"))
+    # values in parts of at most 10 000, so that no array is long
+    many, few = F.greatest(F.col("n") - code - 4, F.lit(0)), F.least(F.col("n") - code, F.lit(4))
+    upto = lambda w: F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(10), w).cast("long") - 1))
+    values = left.select(*_FORMAT).distinct().withColumn("hi", upto(many)).withColumn("lo", upto(few))
+    number = F.lpad((F.col("hi") * F.pow(F.lit(10), few).cast("long") + F.col("lo")).cast("string"), F.col("n") - code, F.lit("0"))
+    values = values.select(*_FORMAT, F.concat("code", number).alias("sub"))
+    values = materialise(values.join(done.select("type", "sub"), ["type", "sub"], "left_anti"), "pii-values")
+    unused = values.join(entities.select("type", F.col("canon").alias("sub")), ["type", "sub"], "left_anti")
+    first = _ranked(left.withColumn("o", order("canon"))).join(_ranked(unused.withColumn("o", order("sub"))), [*_FORMAT, "rank"])
+    first = materialise(first.select("type", "canon", "sub"), "pii-dealt")
+    rest = materialise(left.join(first, ["type", "canon"], "left_anti"), "pii-rest")
+    if rest.isEmpty():
+        return first
+    # own values come first on both sides and in one order, so that the next value is never an entity's own
+    values = values.join(first.select("type", "sub"), ["type", "sub"], "left_anti")
+    own = rest.select("type", F.col("canon").alias("sub"), F.lit(True).alias("own"))
+    values = values.join(own, ["type", "sub"], "left").withColumn("o", F.struct(F.col("own").isNull().alias("x"), order("sub").alias("y"))).drop("own")
+    values = materialise(values, "pii-open")
+    sizes = values.groupBy(*_FORMAT).agg(F.count("*").alias("size"))
+    there = values.select("type", F.col("sub").alias("canon"), F.lit(True).alias("there"))
+    rest = rest.join(there, ["type", "canon"], "left").withColumn("o", F.struct(F.col("there").isNull().alias("x"), order("canon").alias("y"))).drop("there")
+    rest = _ranked(rest).join(sizes, _FORMAT).withColumn("rank", F.pmod(F.col("rank") + 1, F.col("size")))
+    return first.unionByName(rest.join(_ranked(values), [*_FORMAT, "rank"]).select("type", "canon", "sub"))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """``type, canon, sub`` for distinct ``type, canon, gender``: tries again until no two share a surrogate."""
-    todo = entities.withColumn("tries", F.lit(0))
+    """``type, canon, sub`` for distinct ``type, canon, gender``: tries again until no two share a surrogate.
+
+    ``keep``, where there is such a column, is the length of a phone's country code, which the surrogate begins with.
+    """
+    if "keep" not in entities.columns:
+        entities = entities.withColumn("keep", F.lit(0))
     done = None
-    for _ in range(MAX_TRIES):
-        cand = materialise(todo.withColumn("sub", surrogate(key, F.col("type"), F.col("canon"), F.col("gender"), F.col("tries"))), "pii-try")
-        # the first by its canonical form keeps a shared surrogate; taken ones and real entities are out
-        cand = cand.withColumn("chk", _compared(F.col("type"), F.col("sub")))
-        first = cand.groupBy("type", "chk").agg(F.min("canon").alias("__first"))
-        real = entities.select("type", _compared(F.col("type"), F.col("canon")).alias("chk"))
-        if done is not None:
-            real = real.unionByName(done.select("type", _compared(F.col("type"), F.col("sub")).alias("chk")))
-        judged = cand.join(first, ["type", "chk"]).join(real.distinct().withColumn("__bad", F.lit(True)), ["type", "chk"], "left")
-        judged = materialise(judged.withColumn("ok", (F.col("canon") == F.col("__first")) & F.col("__bad").isNull()).select("type", "canon", "gender", "tries", "sub", "ok"), "pii-judged")
-        good = judged.where("ok").select("type", "canon", "sub")
-        done = good if done is None else done.unionByName(good)
-        todo = judged.where("not ok").select("type", "canon", "gender", (F.col("tries") + 1).alias("tries"))
-        if todo.isEmpty():
-            return done
-    raise RuntimeError("surrogates still collide: a type's format has too few values for its entities")
+    # long codes first: they have the fewest values, which formats with a shorter code or none could use as well
+    for code in sorted((r["keep"] for r in entities.select("keep").distinct().collect()), reverse=True) or [0]:
+        todo = entities.where(F.col("keep") == code).withColumn("tries", F.lit(0))
+        for attempt in range(1, MAX_TRIES + 1):
+            new = surrogate(key, F.col("type"), F.col("canon"), F.col("gender"), F.col("tries"))
+            cand = materialise(todo.withColumn("sub", F.concat(F.substring("canon", 1, code), F.substring(new, code + 1, 1 << 30)) if code else new), "pii-try")
+            # the first by its canonical form keeps a shared surrogate; taken ones and real entities are out
+            first = cand.groupBy("type", "sub").agg(F.min("canon").alias("__first"))
+            real = entities.select("type", F.col("canon").alias("sub"))
+            if done is not None:
+                real = real.unionByName(done.select("type", "sub"))
+            judged = cand.join(first, ["type", "sub"]).join(real.distinct().withColumn("__bad", F.lit(True)), ["type", "sub"], "left")
+            judged = materialise(judged.withColumn("ok", (F.col("canon") == F.col("__first")) & F.col("__bad").isNull()).select("type", "canon", "gender", "tries", "sub", "ok"), "pii-judged")
+            good = judged.where("ok").select("type", "canon", "sub")
+            done = good if done is None else done.unionByName(good)
+            todo = judged.where("not ok").select("type", "canon", "gender", (F.col("tries") + 1).alias("tries"))
+            if attempt == DIGIT_TRIES:
+                left = todo.where(F.col("type").isin("phone", "ssn"))
+                if not left.isEmpty():
+                    done = done.unionByName(materialise(_dealt(left, entities, done, key, code), "pii-exact"))
+                    todo = todo.where(~F.col("type").isin("phone", "ssn"))
+            if todo.isEmpty():
+                break
+        else:
+            raise RuntimeError("surrogates still collide: a type's format has too few values for its entities")
+    return done
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -181,8 +246,8 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     mentions = found.select("__rid", F.posexplode("__seg").alias("__pos", "__s")).where("__s.type is not null")
     mentions = mentions.select("__rid", "__pos", F.col("__s.type").alias("type"), F.col("__s.raw").alias("raw"), F.coalesce("__s.gender", F.lit("x")).alias("gender")).withColumn("canon", canonical(F.col("type"), F.col("raw")))
     mentions = materialise(mentions, "pii-mentions")
-    # a name met with and without a clear honorific takes the clear one
-    entities = materialise(mentions.groupBy("type", "canon").agg(F.min(F.when(F.col("gender") != "x", F.col("gender"))).alias("g")).select("type", "canon", F.coalesce("g", F.lit("x")).alias("gender")), "pii-entities")
+    # a name met with and without a clear honorific takes the clear one, a phone its longest country code
+    entities = materialise(mentions.groupBy("type", "canon").agg(F.min(F.when(F.col("gender") != "x", F.col("gender"))).alias("g"), F.max(_code(F.col("type"), F.col("raw"))).alias("keep")).select("type", "canon", F.coalesce("g", F.lit("x")).alias("gender"), "keep"), "pii-entities")
     subs = materialise(surrogates(entities, key), "pii-subs")
     new = mentions.join(subs, ["type", "canon"]).select("__rid", "__pos", "type", rendered(F.col("type"), F.col("raw"), F.col("sub")).alias("new"))
     by_row = new.groupBy("__rid").agg(F.map_from_entries(F.collect_list(F.struct("__pos", "new"))).alias("__new"), F.count("*").cast("long").alias("__pii_n"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("__pii_types"))
