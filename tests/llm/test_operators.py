@@ -246,6 +246,17 @@ def test_quality_without_labels_rejects_nothing(spark):
     assert out.count() == len(EDGE) and out.where("rejected").count() == 0
 
 
+def test_quality_thresholds_use_every_label_not_trained_on(spark):
+    texts = [(k, lang, t) for lang, base, t in (("en", 0, "the cat sat on the mat"), ("de", 100, "völlig andere Wörter")) for k in range(base, base + 40)]
+    d = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k, _, _ in texts], "doc_id long, quality int, toxic int")
+    got = {}
+    for r in quality.classify(d, labels, train_rows=4).collect():
+        got.setdefault(r["lang"], set()).add((round(r["perplexity"], 6), round(r["threshold"], 6)))
+    # 36 of 40 at least aren't trained on, so each language has its own threshold, which its one text is at
+    assert all(len(v) == 1 and all(abs(p - t) < 1e-5 for p, t in v) for v in got.values()) and len(got) == 2
+
+
 def test_bpe_pieces_and_round_trip(spark):
     import public_tokenizers
 
