@@ -100,6 +100,17 @@ def test_impact_depths(small, spark):
     assert len(rows(an.impact(small, lines, 2), "id")) == 3
 
 
+def test_enclosing_looks_up_a_line_of_every_customer(spark):
+    from weftgraph.plans import registered
+
+    d = "/root/testdata/sf0.001"
+    t = {n: spark.read.parquet(f"{d}/{n}.parquet").collect() for n in ("region", "nation", "customer")}
+    region = {r["r_regionkey"]: r["r_name"] for r in t["region"]}
+    path = {r["n_nationkey"]: f"{region[r['n_regionkey']]}/{r['n_name']}" for r in t["nation"]}
+    want = sorted((path[c["c_nationkey"]], c["c_custkey"] * 100 + 50, f"class:{path[c['c_nationkey']]}#{c['c_name']}") for c in t["customer"])
+    assert rows(registered()[0]["enclosing_all"](spark, d), "file", "line", "id") == want and len(want) == 150
+
+
 def test_map_budget_is_monotone_and_never_empty(small):
     ranks = rk.pagerank(small)
     counts = [an.repo_map(small, ranks, b).count() for b in (1, 10, 20, 1000)]

@@ -335,6 +335,14 @@ def enclosing(spark, d):
     return an.enclosing(g.nodes, lines)
 
 
+@query("WITH l AS (SELECT (SELECT r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = c_nationkey) AS file, c_name, c_custkey * 100 + 50 AS line FROM customer) SELECT file, CAST(line AS INT) AS line, 'class:' || file || '#' || c_name AS id FROM l")
+def enclosing_all(spark, d):
+    """As ``enclosing``, with a line in every customer's class."""
+    g = trade(spark, d)
+    lines = g.nodes.where("kind = 'class' and start_line is not null").select("file", (F.col("start_line") + 49).alias("line"))
+    return an.enclosing(g.nodes, lines)
+
+
 @query(f"WITH {TRADE}, ch AS (SELECT id FROM nodes WHERE id = 'module:AFRICA/NATION_0'), one AS (SELECT DISTINCT src AS id FROM edges WHERE kind = 'imports' AND dst IN (FROM ch)), two AS (SELECT DISTINCT src AS id FROM edges WHERE kind = 'imports' AND dst IN (FROM one)) SELECT id, CASE WHEN id IN (FROM ch) THEN 'changed' ELSE 'reached' END AS role, false AS is_test FROM (SELECT id FROM ch UNION SELECT id FROM one UNION SELECT id FROM two)")
 def impact(spark, d):
     return an.impact(trade(spark, d), spark.createDataFrame([("AFRICA/NATION_0", 900000000)], "file string, line int"))
