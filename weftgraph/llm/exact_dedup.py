@@ -1,8 +1,12 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-Texts are equal when identical after deleting white space. Each level only looks at the rows the level before left
-standing. Rows that travel are fixed-size keys (never texts); hot groups are pre-aggregated map-side before each
-shuffle and the final join back has the hot keys on the streamed side, which AQE can split.
+Texts are equal when identical after deleting white space. The first scan takes each row's length and prefix hash, a few
+bytes a row. Rows whose length nobody shares are settled; of the rest, those whose (length, prefix hash) nobody shares.
+Only rows of surviving (length, prefix hash) keys are read again in full and grouped by their full hash.
+
+Every level is a map-side combined count, so a hot group is a row per task before each shuffle. The surviving keys are
+broadcast to the second scan if they are measured to be few; beyond that Spark deals the second scan's rows by key, and
+AQE can split a hot one. The join back has the hot keys on the streamed side, which AQE can split too.
 
 Edge cases: a null text counts as empty, so all null, empty and blank texts are one group; ties on code points go to
 the smallest doc_id; rows that repeat with the same id and text count in ``group_size`` and are all marked kept,
@@ -24,64 +28,67 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", "")
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, digest: bool = True) -> DataFrame:
-    """``__id, __cp, __n, __p`` and, with digest, ``__sha``: one scan, narrow, no shuffle."""
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``__id, __cp, __n, __p, __norm``: narrow, no shuffle."""
     norm = docs.select(F.col(id_col).alias("__id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("__cp"), normalised(F.col(text_col)).alias("__norm"))
-    out = [F.col("__id"), F.col("__cp"), F.length("__norm").alias("__n"), F.xxhash64(F.substring("__norm", 1, PREFIX)).alias("__p")]
-    return norm.select(*out, *([F.sha2("__norm", 256).alias("__sha")] if digest else []))
-
+    return norm.select("__id", "__cp", F.length("__norm").alias("__n"), F.xxhash64(F.substring("__norm", 1, PREFIX)).alias("__p"), "__norm")
 
-def survivors(counted: DataFrame) -> DataFrame:
-    """Of pre-aggregated rows ``(__n, __p, .., __c)``, those whose length, and then (length, prefix hash), is shared.
 
-    Copies are one row per task before the first shuffle, so a hot length or prefix deals out hashes, not documents.
-    """
-    lengths = counted.groupBy("__n").agg(F.sum("__c").alias("__s")).where("__s > 1").select("__n")
-    left = counted.join(lengths, "__n", "left_semi")
-    prefixes = left.groupBy("__n", "__p").agg(F.sum("__c").alias("__s")).where("__s > 1").select("__n", "__p")
-    return left.join(prefixes, ["__n", "__p"], "left_semi")
+def survivors(sig: DataFrame) -> DataFrame:
+    """The keys ``(__n, __p)`` that several rows share, looked for only among rows whose length is shared."""
+    lengths = materialise(sig.groupBy("__n").agg(F.count("*").alias("__c")).where("__c > 1").select("__n"), "dedup-lengths")
+    left = sig.join(sized(lengths), "__n", "left_semi")
+    return materialise(left.groupBy("__n", "__p").agg(F.count("*").alias("__c")).where("__c > 1").select("__n", "__p"), "dedup-prefixes")
 
 
-def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
+    """One row per input row: ``__id, __cp, __n, __p, __sha, __size, __keep, kept``; ``__sha`` is null where nobody asked for it."""
+    sig = materialise(_read(docs, id_col, text_col).drop("__norm"), "dedup-sig")
+    shared = survivors(sig)
+    again = _read(docs, id_col, text_col)
+    hashed = [*sig.columns, F.sha2("__norm", 256).alias("__sha")]
+    if digest_all:
+        full = materialise(again.select(*hashed), "dedup-full")
+        members = full.join(sized(shared, 16), ["__n", "__p"], "left_semi")
+    else:
+        full = members = materialise(again.join(sized(shared, 16), ["__n", "__p"], "left_semi").select(*hashed), "dedup-full")
     best = F.min(F.struct(-F.col("__cp"), F.col("__id").isNull(), F.col("__id")))
-    return rows.groupBy("__n", "__p", *keys).agg(F.count("*").alias("__c"), best.alias("__best"))
-
-
-def _groups(rows: DataFrame) -> DataFrame:
-    """The groups of equal texts among rows with a full hash, from the lengths and prefixes that survive."""
-    same = survivors(_counted(rows, "__sha")).where("__c > 1")
-    return same.select("__n", "__p", "__sha", F.col("__c").alias("__size"), F.col("__best").getField("__id").alias("__keep"))
+    same = members.groupBy("__n", "__p", "__sha").agg(F.count("*").alias("__size"), best.alias("__best")).where("__size > 1")
+    out = full.join(same, ["__n", "__p", "__sha"], "left").select("__id", "__cp", "__n", "__p", "__sha", "__size", F.col("__best.__id").alias("__keep"))
+    if not digest_all:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("__sha", "string"), ("__size", "long"))]
+        alone = sig.join(sized(shared, 16), ["__n", "__p"], "left_anti")
+        out = out.unionByName(alone.select("__id", "__cp", "__n", "__p", *none, F.lit(None).cast(sig.schema["__id"].dataType).alias("__keep")))
+    keep = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
+    return out.withColumn("__keep", keep).withColumn("kept", F.col("__keep").eqNullSafe(F.col("__id")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = True) -> DataFrame:
     """One row per input row: ``__id, keep_id, group_size, kept, text_sha256``.
 
-    ``digest_all``: the caller wants the digest of every row, so the first scan computes it. Without it the full hash is
-    computed in a second scan for the surviving rows alone, and ``text_sha256`` is null for the others.
+    ``digest_all``: the caller wants the digest of every row, so the second scan computes it for all; the groups still come
+    from the survivors. Without it ``text_sha256`` is null for rows that the first two levels settled.
     """
-    if digest_all:
-        sig = materialise(signatures(docs, id_col, text_col), "dedup-sig")
-        groups = _groups(sig)
-    else:
-        sig = materialise(signatures(docs, id_col, text_col, digest=False), "dedup-sig")
-        ids = sig.join(survivors(_counted(sig)).select("__n", "__p"), ["__n", "__p"], "left_semi").select(F.col("__id").alias("__i")).distinct()
-        again = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id").eqNullSafe(ids["__i"]), "left_semi")
-        full = materialise(signatures(again, "__id", "__text"), "dedup-full")
-        groups = _groups(full)
-        done = full.select(F.col("__id").alias("__i"), F.col("__n").alias("__m"), F.col("__p").alias("__q"), F.col("__cp").alias("__d"), "__sha").distinct()
-        same = (F.col("__n") == F.col("__m")) & (F.col("__p") == F.col("__q")) & (F.col("__cp") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i"))
-        sig = sig.join(done, same, "left").select("__id", "__cp", "__n", "__p", "__sha")
-    out = sig.join(groups, ["__n", "__p", "__sha"], "left")
-    keep = F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__keep"))
-    return out.select("__id", keep.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("__id")).alias("kept"), F.col("__sha").alias("text_sha256"))
+    out = _judged(docs, id_col, text_col, digest_all)
+    return out.select("__id", F.col("__keep").alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), "kept", F.col("__sha").alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, columns as they were; only the dropped ids are shuffled against the texts.
+    """The rows of ``docs`` that stay, columns as they were.
 
-    A null id is never the one that stays unless its whole group has null ids, and such rows all stay.
+    A null id is never the one that stays unless its whole group has null ids, and such rows all stay. Dropped rows are
+    known by (id, lengths, prefix hash); only where one id has several texts under one such key is the full hash asked again.
     """
-    out = exact_dedup(docs, id_col, text_col)
-    lost = materialise(out.where(~F.col("kept")).select("__id", "text_sha256").distinct(), "dedup-drop")
-    sha = F.sha2(normalised(docs[text_col]), 256)
-    return docs.join(sized(lost, 80), docs[id_col].eqNullSafe(lost["__id"]) & (sha == lost["text_sha256"]), "left_anti")
+    out = materialise(_judged(docs, id_col, text_col, digest_all=False).where("__sha is not null"), "dedup-judged")
+    key = ["__id", "__cp", "__n", "__p"]
+    by = out.groupBy(*key).agg(F.min("__sha").alias("__lo"), F.max("__sha").alias("__hi"), F.max(~F.col("kept")).alias("__lost")).where("__lost")
+    by = materialise(by, "dedup-lost")
+    clash = by.where("__lo <> __hi").select(*[F.col(c).alias(c + "_") for c in key])
+    several = out.where(~F.col("kept")).join(clash, F.col("__id").eqNullSafe(F.col("__id_")) & (F.col("__cp") == F.col("__cp_")) & (F.col("__n") == F.col("__n_")) & (F.col("__p") == F.col("__p_")), "left_semi")
+    lost = by.where("__lo = __hi").select(*key, F.lit(None).cast("string").alias("__sha"))
+    lost = materialise(lost.unionByName(several.select(*key, "__sha").distinct()), "dedup-drop")
+    norm = normalised(docs[text_col])
+    # id and length are the join's key; the rest, which takes white space out, is asked for only where they agree
+    near = docs[id_col].eqNullSafe(lost["__id"]) & (F.length(F.coalesce(docs[text_col], F.lit(""))) == lost["__cp"])
+    same = (F.length(norm) == lost["__n"]) & (F.xxhash64(F.substring(norm, 1, PREFIX)) == lost["__p"]) & (lost["__sha"].isNull() | (F.sha2(norm, 256) == lost["__sha"]))
+    return docs.join(sized(lost, 100), near & F.coalesce(same, F.lit(False)), "left_anti")
