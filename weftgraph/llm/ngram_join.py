@@ -9,23 +9,28 @@ one row per document with its component, found without listing the pairs inside
 3. Adaptive prefixes. Sets that link share at least l shingles of their l-prefixes (the first ``n - ceil(0.75 n) + l`` in
    the order). Each class takes the l of least estimated cost: longer prefixes cost postings, but candidates must then
    share more of them. Two classes are candidates if they share ``min(l, l')`` prefix shingles.
-4. Short runs. Classes that share a prefix shingle form its run. In runs of at most ``LONG`` classes the pairs are listed
-   (so at most ``LONG / 2`` a posting), counted, and kept if they share enough. Groups of such candidates are verified
-   together, each text moving once a group.
-5. Long runs, of a shingle in many classes, are never listed as pairs. Their classes are first tried against a few
-   central classes of the run, one verification per class and round; what links is joined into components, and runs that
-   lie within one component are done. Classes of the runs left are compared within their connected groups block by block,
-   in rows that grow with the blocks and not with the pairs. A pair that shares a long run's shingle is compared there; a
-   pair that shares none has all its shared shingles in short runs. So no link is lost, and there are no caps.
+4. Short runs. Classes that share a prefix shingle form its run. Postings are dealt by ranges of (shingle, class), so a hot
+   shingle spreads over as many tasks as its size asks for; a run that a range's end cuts is put together again as a few
+   rows. In runs of at most ``LONG`` classes the pairs are listed (so at most ``LONG / 2`` a posting), counted, and kept if
+   they share enough. Groups of such candidates are verified together, each text moving once a group.
+5. Long runs, of a shingle in many classes, are never listed as pairs. Their classes are first tried against the
+   ``PIVOTS`` pivots that they share most shingles with, a run having a central pivot and two by hash; what links is joined
+   into components, and runs that lie within one component are done. Classes of the runs left are compared within their
+   connected groups block by block. A pair that shares a long run's shingle is compared there; a pair that shares none has
+   all its shared shingles in short runs. So no link is lost, and there are no caps.
+
+What grows beyond the input is the rest of step 5: m classes that share shingles of long runs and that the pivots leave
+apart are compared in all pairs of blocks of ``BLOCK``, so that each text is copied ``m / BLOCK`` times.
 
 Verification compares whole sets. Texts travel only for classes that are in some candidate pair; a class paired with very
-many others is dealt out in chunks. Runs are streamed in sorted order, so a hot shingle never has to fit in memory.
+many others is dealt out in chunks. Runs are streamed in sorted order and held for ``LONG`` rows at most.
 
 Shingles are compared by 64-bit hashes.
 
 Edge cases: null, empty and blank texts have no set, link with nothing, and are their own component; texts of fewer than
-five words are one shingle; rows that repeat with one id are one document; a null id takes part as a text without an id
-and its ``component_id`` is the smallest id linked to it, or null; an empty table gives an empty result.
+five words are one shingle; rows that repeat with one id are one document; a row with a null id belongs to the component
+of the rows with an id that have its set, and has a null ``component_id`` and no other links where there are none; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, sized, trimmed
@@ -49,12 +54,12 @@ SKETCH_BITS = 20
 SLOT_BITS = 10
 #: The longest multi-match prefix tried, and what verifying one candidate costs in postings read.
 MAX_L, VERIFY_COST = 4, 8
-#: Classes of a run that are tried as pivots before the exact rest.
-PIVOTS = 3
+#: Pivots that a class of a long run is tried against before the exact rest.
+PIVOTS = 2
 #: Partners of one class in one verification group.
 CHUNK = 256
 #: Classes of a run whose pairs are listed; classes, and shingles, of a block.
-LONG, BLOCK, BLOCK_SHINGLES = 64, 128, 1 << 19
+LONG, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 19
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -185,54 +190,79 @@ def _postings(docs: DataFrame, text_col: str, levels) -> DataFrame:
     return docs.select(F.col(text_col).alias("__text")).mapInArrow(lambda b: trimmed(run(b)), "token long, k1 long, k2 long, n int, l int, mid int")
 
 
+_RUNS = "kind int, token long, k1 long, k2 long, n int, l int, mid int, h1 long, h2 long"
+#: Kinds of rows: a pair of classes that share a short run's shingle; a class of a long run, or of one that a range's end cuts.
+_PAIR, _MEMBER = 0, 1
+
+
+def _pairs_of(t: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray):
+    """The pairs within runs of one size each time, as positions; only those whose sizes fit."""
+    for s in np.unique(size):
+        first = start[size == s]
+        i, j = np.triu_indices(s, 1)
+        x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+        lo, hi = np.minimum(t["n"][x], t["n"][y]), np.maximum(t["n"][x], t["n"][y])
+        fits = OVER * lo.astype(np.int64) >= UNDER * hi.astype(np.int64)
+        yield x[fits], y[fits]
+
+
 def _runs(postings: DataFrame) -> DataFrame:
-    """Postings of shingles that two classes share, numbered within their run, the most central class first."""
+    """Pairs of short runs and members of all others, from postings sorted within ranges of (token, class)."""
+    names = ["token", "k1", "k2", "n", "l", "mid"]
+
+    def members(t, pick):
+        m = {c: t[c][pick] for c in names}
+        k = len(m["token"])
+        cols = [pa.array(np.full(k, _MEMBER, np.int32)), *(pa.array(m[c]) for c in names), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["kind", *names, "h1", "h2"])
 
     def run(batches):
-        held = None  # the only row so far of the last run
-        token, rank, last = None, 0, None
+        held = {c: np.zeros(0, np.int32 if c in ("n", "l", "mid") else np.int64) for c in names}
+        first, flushed, last = None, None, None  # the range's first token; one whose run is already long; the last posting
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("token", "k1", "k2", "n", "l")]
-            if not len(cols[0]):
+            t = {c: b.column(c).to_numpy() for c in names}
+            if not b.num_rows:
                 continue
-            if held is not None:
-                cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
-                token, rank, last, held = None, 0, None, None
-            t, k1, k2 = cols[:3]
-            new = np.ones(len(t), bool)
-            new[1:] = t[1:] != t[:-1]
-            again = np.zeros(len(t), bool)
-            again[1:] = ~new[1:] & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-            if token is not None and t[0] == token:
-                new[0] = False
-                again[0] = last == (k1[0], k2[0])
-            cols = [c[~again] for c in cols]
-            if not len(cols[0]):
+            same = np.zeros(b.num_rows, bool)
+            same[1:] = (t["token"][1:] == t["token"][:-1]) & (t["k1"][1:] == t["k1"][:-1]) & (t["k2"][1:] == t["k2"][:-1])
+            same[0] = last == tuple(t[c][0] for c in names[:3])
+            last = tuple(t[c][-1] for c in names[:3])
+            t = {c: np.concatenate((held[c], t[c][~same])) for c in names}
+            if not len(t["token"]):
                 continue
-            # a row that repeats the one before never begins a run, so runs keep their first rows
-            t, new = cols[0], new[~again]
-            begins = np.flatnonzero(new)
-            start = np.zeros(len(t), np.int64)
-            start[begins] = begins
-            np.maximum.accumulate(start, out=start)
-            order = np.arange(len(t)) - start
-            open_run = len(begins) == 0 or begins[0] != 0
-            head = begins[0] if len(begins) and open_run else (len(t) if open_run else 0)
-            order[:head] += rank
-            size = np.diff(np.append(begins, len(t)))
-            many = np.zeros(len(t), bool)
-            many[:head] = True
-            many[head:] = np.repeat(size > 1, size)
-            if len(begins) and size[-1] == 1:
-                held = [c[-1:] for c in cols]
-                token = None
-            else:
-                token, rank, last = t[-1], int(order[-1]) + 1, (cols[1][-1], cols[2][-1])
-            if many.any():
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[many]) for c in cols), pa.array(np.minimum(order[many], 1 << 30).astype(np.int32))], names=["token", "k1", "k2", "n", "l", "rank"])
-
-    dealt = postings.repartition("token").sortWithinPartitions("token", F.desc("mid"), "n", "k1", "k2")
-    return dealt.select("token", "k1", "k2", "n", "l").mapInArrow(lambda b: trimmed(run(b)), "token long, k1 long, k2 long, n int, l int, rank int")
+            first = t["token"][0] if first is None else first
+            start = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1]))
+            size = np.diff(np.append(start, len(t["token"])))
+            of = t["token"][start]
+            # the last run may go on; it is held until it is long, and then passed on as it comes
+            keep = np.zeros(len(start), bool)
+            keep[-1] = of[-1] != first and of[-1] != flushed and size[-1] <= LONG
+            alone = (of == first) | (of == flushed) | (size > LONG)
+            if alone[-1]:
+                flushed = of[-1]
+            if alone.any():
+                yield members(t, np.repeat(alone, size))
+            short = ~alone & ~keep & (size > 1)
+            for x, y in _pairs_of(t, start[short], size[short]):
+                for at in range(0, len(x), 1 << 15):
+                    i, j = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+                    none = pa.nulls(len(i), pa.int32())
+                    cols = [pa.array(np.full(len(i), _PAIR, np.int32)), pa.nulls(len(i), pa.int64()), pa.array(t["k1"][i]), pa.array(t["k2"][i]), none, pa.array(np.minimum(t["l"][i], t["l"][j])), none, pa.array(t["k1"][j]), pa.array(t["k2"][j])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["kind", *names, "h1", "h2"])
+            held = {c: v[np.repeat(keep, size)] for c, v in t.items()}
+        if len(held["token"]):
+            yield members(held, slice(None))
+
+    dealt = postings.repartitionByRange("token", "k1").sortWithinPartitions("token", "k1", "k2")
+    return dealt.mapInArrow(lambda b: trimmed(run(b)), _RUNS)
+
+
+def _cut_pairs(cut: DataFrame) -> DataFrame:
+    """``k1, k2, h1, h2, l`` of the short runs that ranges' ends cut, few rows of each."""
+    x, y = (cut.select("token", *[F.col(c).alias(side + c) for c in ("k1", "k2", "n", "l")]) for side in "xy")
+    later = (F.col("xk1") < F.col("yk1")) | ((F.col("xk1") == F.col("yk1")) & (F.col("xk2") < F.col("yk2")))
+    both = x.join(y, "token").where(later & _fits("xn", "yn"))
+    return both.select(F.col("xk1").alias("k1"), F.col("xk2").alias("k2"), F.col("yk1").alias("h1"), F.col("yk2").alias("h2"), F.least("xl", "yl").alias("l"))
 
 
 def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -384,34 +414,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = found if links is None else links.unionByName(found)
         labels = materialise(connected_components(links, "a", "b"), "join-labels")
 
-    hot = runs.where(F.col("rank") == LONG).select("token")
-    long = materialise(runs.join(hot, "token", "left_semi").join(keys, ["k1", "k2"]).select("token", "rank", "rep", "n"), "join-long")
+    members = runs.where(F.col("kind") == _MEMBER).select("token", "k1", "k2", "n", "l", "mid")
+    hot = materialise(members.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > LONG).select("token"), "join-hot")
+    long = members.join(sized(hot), "token", "left_semi").join(keys, ["k1", "k2"]).select("token", "rep", "n", "mid")
+    long = materialise(long, "join-long")
     if not long.isEmpty():
-        for r in range(PIVOTS):
-            pivot = long.where(F.col("rank") == r).select("token", F.col("rep").alias("p"), F.col("n").alias("pn"))
-            near = long.where(F.col("rank") != r).join(pivot, "token").where(_fits("n", "pn")).groupBy("rep", "p").agg(F.count("*").alias("c"))
-            near = _labelled(_labelled(near, labels, "rep", "cr"), labels, "p", "cp").where("cr <> cp")
-            best = materialise(near.groupBy("rep").agg(F.max(F.struct("c", "p")).alias("m")).select(F.col("rep").alias("a"), F.col("m.p").alias("b")), "join-try")
-            if best.isEmpty():
-                continue
-            add(_verified(best, docs, id_col, text_col))
-            long = _labelled(long.drop("comp") if "comp" in long.columns else long, labels, "rep", "comp")
-            open_runs = long.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-            long = materialise(long.join(open_runs, "token", "left_semi"), "join-long")
+        best = lambda *by: F.max(F.struct(*by, F.col("rep").alias("p"), F.col("n").alias("pn")))
+        pivot = long.groupBy("token").agg(best("mid").alias("x"), best(F.xxhash64("rep")).alias("y"), best(F.xxhash64("rep", F.lit(1))).alias("z"))
+        pivot = pivot.select("token", F.explode(F.array_distinct(F.array(*[F.struct(F.col(c).getField("p").alias("p"), F.col(c).getField("pn").alias("pn")) for c in "xyz"]))).alias("v"))
+        pivot = materialise(pivot.select("token", "v.p", "v.pn"), "join-pivots")
+        near = long.join(sized(pivot, 20), "token").where((F.col("rep") != F.col("p")) & _fits("n", "pn")).groupBy("rep", "p").agg(F.count("*").alias("c"))
+        near = near.withColumn("o", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("c"), "p"))).where(F.col("o") <= PIVOTS)
+        add(_verified(materialise(near.select(F.col("rep").alias("a"), F.col("p").alias("b")), "join-try"), docs, id_col, text_col))
         # what the pivots left apart: all classes of a group against all
-        lead = long.groupBy("token").agg(F.min("rep").alias("lead"))
-        groups = materialise(connected_components(long.join(lead, "token").select("rep", "lead"), "rep", "lead"), "join-groups").select(F.col("component").alias("g"), F.col("node").alias("rep"))
-        dealt = materialise(_dealt(groups, known), "join-dealt")
-        if not dealt.isEmpty():
-            add(_block_links(dealt, docs, id_col, text_col))
-
-    short = runs.join(hot, "token", "left_anti")
-    x, y = short.select("token", *[F.col(c).alias("x" + c) for c in ("k1", "k2", "n", "l", "rank")]), short.select("token", *[F.col(c).alias("y" + c) for c in ("k1", "k2", "n", "l", "rank")])
-    pairs = x.join(y, "token").where((F.col("xrank") < F.col("yrank")) & _fits("xn", "yn"))
-    a, b = (F.struct(F.col(f"{side}k1").alias("p"), F.col(f"{side}k2").alias("q")) for side in "xy")
-    low, high = F.when(a < b, a).otherwise(b), F.when(a < b, b).otherwise(a)
-    pairs = pairs.groupBy(low.alias("lo"), high.alias("hi")).agg(F.count("*").alias("c"), F.min(F.least("xl", "yl")).alias("l")).where("c >= l")
-    pairs = pairs.select(F.col("lo.p").alias("k1"), F.col("lo.q").alias("k2"), F.col("hi.p").alias("h1"), F.col("hi.q").alias("h2"))
+        long = _labelled(long, labels, "rep", "comp")
+        lead = long.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("lead")).where("x <> y").select("token", "lead")
+        lead = materialise(lead, "join-open")
+        if not lead.isEmpty():
+            groups = materialise(connected_components(long.join(sized(lead, 16), "token").select("rep", "lead"), "rep", "lead"), "join-groups").select(F.col("component").alias("g"), F.col("node").alias("rep"))
+            add(_block_links(materialise(_dealt(groups, known), "join-dealt"), docs, id_col, text_col))
+
+    cut = members.join(sized(hot), "token", "left_anti")
+    pairs = runs.where(F.col("kind") == _PAIR).select("k1", "k2", "h1", "h2", "l").unionByName(_cut_pairs(cut))
+    pairs = pairs.groupBy("k1", "k2", "h1", "h2").agg(F.count("*").alias("c"), F.min("l").alias("l")).where("c >= l")
     pairs = pairs.join(keys.withColumnRenamed("rep", "a"), ["k1", "k2"]).join(known.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("rep").alias("b")), ["h1", "h2"]).select("a", "b")
     pairs = _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select("a", "b")
     pairs = materialise(pairs, "join-pairs")
