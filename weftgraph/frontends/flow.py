@@ -471,6 +471,47 @@ def flow(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, FLOW)
 
 
+SPANS = "path string, fn int, name string, start_line int, start_col int, end_line int"
+
+
+def spans_of(path: str, text: str | None) -> Iterator[tuple]:
+    """The rows of ``SPANS`` of one file, numbered as in ``FLOW``; an unbalanced file has none."""
+    text = text or ""
+    code = blanked(text, LANGUAGES["typescript"].quiet)
+    brackets = Brackets(code)
+    if brackets.balanced:
+        for n, (name, start, _, end) in enumerate(functions_of(text, code, brackets), 1):
+            start += len(code[start:]) - len(code[start:].lstrip())
+            yield (path, n, name, code.count("\n", 0, start) + 1, start - code.rfind("\n", 0, start), code.count("\n", 0, end) + 1)
+
+
+def spans(files: DataFrame) -> DataFrame:
+    """Where each function of ``files(path, text)`` stands; lines and columns from 1."""
+    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for b in batches:
+            rows = [r for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True) for r in spans_of(p, t)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in SPANS.split(", ")])
+
+    return files.select("path", "text").mapInArrow(run, SPANS)
+
+
+def cfg_at_line(where: DataFrame, lines: DataFrame) -> DataFrame:
+    """``path, line, fn, name`` of the function of fewest lines around each line of ``lines(path, line)``, the first on ties."""
+    hit = lines.select("path", "line").distinct().join(where, "path").where("line between start_line and end_line")
+    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "fn", "name")).alias("b")
+    return hit.groupBy("path", "line").agg(best).select("path", "line", "b.fn", "b.name")
+
+
+def dataflow_for_span(where: DataFrame, sites: DataFrame, asked: DataFrame) -> DataFrame:
+    """The ``sites`` of the functions that begin at ``asked(path, start_line, start_col)``."""
+    key = ["path", "start_line", "start_col"]
+    fns = where.join(asked.select(*key).distinct(), key, "left_semi").select("path", "fn")
+    return sites.join(fns, ["path", "fn"], "left_semi")
+
+
 def block_label(kind: Column, statements: Column, awaits: Column) -> Column:
     first = F.when(kind == "entry", "Start").when(kind == "exit", "End").otherwise(F.coalesce(F.try_element_at(statements, F.lit(1)), F.lit("")))
     return F.concat(F.when(awaits, "⏳ ").otherwise(""), first, F.when(F.size(statements) > 1, " ⋯").otherwise(""))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # What is analysed and what never is.
 DEFAULT_INCLUDE = ["**/*.{ts,tsx,mts,cts,js,jsx,mjs,cjs}", "**/*.py", "**/*.go", "**/*.java", "**/*.rs", "**/*.rb", "**/*.cs"]
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "py": "python", "go": "go", "java": "java", "rs": "rust", "rb": "ruby", "cs": "csharp"}
-TEST_FILE = [r"(^|/)(__tests__|tests?|spec)/", r"\.(test|spec)\.[cm]?[jt]sx?$", r"(^|/)(test_[^/]*|[^/]*_test)\.py$"]
+TEST_FILE = [r"(^|/)(__tests__|tests|spec)/", r"\.(test|spec)\.[cm]?[jt]sx?$", r"(^|/)(test_[^/]+|[^/]+_test)\.py$"]
 KIND_LABELS = {"function": "fn", "method": "method", "class": "class", "interface": "interface", "enum": "enum", "variable": "const", "namespace": "ns", "module": "module", "folder": "folder"}
 CHARS_A_TOKEN = 3.7
 MINIFIED_LENGTH, MINIFIED_LINE = 20000, 400
@@ -88,6 +88,16 @@ def display_label(kind: Column, name: Column) -> Column:
     return F.when(kind.isin("function", "method"), F.concat(name, F.lit("()"))).otherwise(name)
 
 
+# Colours of nodes by kind and of edges by tone, this repository's own.
+NODE_COLOURS = {"module": "#4c78a8", "folder": "#72879c", "namespace": "#7f7f7f", "class": "#f58518", "interface": "#54a24b", "enum": "#b279a2", "function": "#e45756", "method": "#ff9da6", "variable": "#9d755d"}
+TONE_COLOURS = {"normal": "#555555", "muted": "#b0b0b0", "cycle": "#d62728", "heritage": "#2ca02c"}
+
+
+def palette(kind: Column, colours: dict[str, str], other: str = "#555555") -> Column:
+    """The colour of a kind or tone."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in colours.items() for x in kv]), kind), F.lit(other))
+
+
 def emphasis(kind: Column, cnt: Column, type_only: Column, low: Column, in_cycle: Column) -> tuple[Column, Column]:
     """``(tone, width)`` of an edge."""
     no = F.lit(False)

@@ -11,6 +11,8 @@ from .relational import degrees, inbound_weight, induced
 from .traverse import KINDS, bfs, reach
 
 SUGGESTIONS = 5
+#: Lines of the narrowest bucket of spans, also the ratio of widths; how many widths there are (BUCKET ** LEVELS lines and more).
+BUCKET, LEVELS = 64, 5
 
 
 def symbol_matches(nodes: DataFrame, ref: str) -> DataFrame:
@@ -32,6 +34,15 @@ def resolve_symbol(nodes: DataFrame, ref: str) -> DataFrame:
     return suggestions(nodes, ref).select(F.lit("suggestion").alias("status"), "id")
 
 
+def resolve_module_status(nodes: DataFrame, ref: str) -> DataFrame:
+    """``(status, id)`` of a module, as ``resolve_symbol``."""
+    found = resolve_module(nodes, ref)
+    n = found.limit(2).count()
+    if n:
+        return found.select(F.lit("resolved" if n == 1 else "ambiguous").alias("status"), "id")
+    return suggestions(nodes.where("kind = 'module'"), ref).select(F.lit("suggestion").alias("status"), "id")
+
+
 def resolve_module(nodes: DataFrame, ref: str) -> DataFrame:
     return nodes.where((F.col("kind") == "module") & F.array_contains(F.array("qn", F.coalesce("file", F.lit("")), "id"), ref)).select("id")
 
@@ -119,9 +130,19 @@ def span_contains_strict(start: Column, end: Column, inner_start: Column, inner_
 
 
 def enclosing(nodes: DataFrame, lines: DataFrame) -> DataFrame:
-    """The innermost node of each ``(file, line)``: latest start, then earliest end, then id."""
+    """The innermost node of each ``(file, line)``: latest start, then earliest end, then id.
+
+    Spans stand in each bucket of lines they touch, at a width of at most 64 buckets a span, and a line asks one bucket of
+    each width, so that a line meets the spans near it and not all of its file.
+    """
     spans = nodes.where("kind <> 'folder' and start_line is not null").select("id", "file", "start_line", "end_line")
-    hit = lines.select("file", "line").distinct().join(spans, "file").where("line between start_line and end_line")
+    # the least width 64, 64 * 64, .. of which the span touches few buckets
+    level = F.greatest(F.lit(1), F.ceil(F.log(F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(2)).cast("double")) / F.log(F.lit(float(BUCKET)))).cast("int") - 1)
+    width = F.pow(F.lit(BUCKET), F.col("level")).cast("long")
+    at = lambda c: F.floor(F.col(c) / width)
+    spans = spans.where("end_line >= start_line").withColumn("level", F.least(level, F.lit(LEVELS))).withColumn("bucket", F.explode(F.sequence(at("start_line"), at("end_line"))))
+    asked = lines.select("file", "line").distinct().withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(1, LEVELS + 1)]))).withColumn("bucket", at("line"))
+    hit = asked.join(spans, ["file", "level", "bucket"]).where("line between start_line and end_line")
     best = F.min(F.struct((-F.col("start_line")).alias("s"), "end_line", "id"))
     return hit.groupBy("file", "line").agg(best.alias("b")).select("file", "line", F.col("b.id").alias("id"))
 

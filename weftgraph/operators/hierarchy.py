@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,28 +11,32 @@ from ..schema import CodeGraph, edge_id, padded
 from ..storage import stored
 from .relational import lift_edges, parents
 
-MAX_DEPTH = 64
 # What still fits an overview.
 MAX_MODULES, MAX_EDGES, FOLD_THRESHOLD, MAX_LAID_OUT = 250, 600, 40, 1500
 
 
 def chase(start: DataFrame, step: DataFrame) -> DataFrame:
-    """``(id, to)`` followed through ``step(id, parent)`` to a fixpoint; containment is shallow, so rounds are few."""
-    now = start
-    hop = step.select(F.col("id").alias("to"), F.col("parent").alias("up"))
-    for _ in range(MAX_DEPTH):
-        nxt = stored(now.join(hop, "to", "left").select("id", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "chase")
-        now = nxt.select("id", "to")
-        if nxt.where("moved").isEmpty():
-            return now
+    """``(id, to)`` followed through ``step(id, parent)`` to its end, by pointer doubling: a chain of depth d takes log2 d rounds.
+
+    ``step`` is stored once and only its own narrow rows are joined in a round.
+    """
+    hop = stored(step.select("id", "parent"), "chase")
+    for _ in range(2 + math.ceil(math.log2(1 + hop.count()))):
+        up = hop.select(F.col("id").alias("parent"), F.col("parent").alias("up"))
+        if hop.join(up, "parent", "left_semi").isEmpty():
+            ends = hop.select(F.col("id").alias("to"), F.col("parent").alias("up"))
+            return start.join(ends, "to", "left").select("id", F.coalesce("up", "to").alias("to"))
+        hop = stored(hop.join(up, "parent", "left").select("id", F.coalesce("up", "parent").alias("parent")), "chase")
     raise ValueError("containment has a cycle")
 
 
 def collapse_modules(g: CodeGraph) -> CodeGraph:
     """Every node folds into its nearest module or folder; contains edges go, the others are lifted."""
+    # read three times each below: stored, so that what is behind them runs once
+    g = CodeGraph(stored(g.nodes, "nodes"), stored(g.edges, "edges"))
     top = g.nodes.where("kind in ('module', 'folder')").select("id")
     up = parents(g.edges).join(top, "id", "left_anti")
-    target = chase(g.nodes.select("id", F.col("id").alias("to")), up)
+    target = stored(chase(g.nodes.select("id", F.col("id").alias("to")), up), "chased")
     keep = target.select(F.col("to").alias("id")).distinct()
     return CodeGraph(g.nodes.join(keep, "id", "left_semi"), lift_edges(g.edges, target))
 
@@ -45,9 +51,10 @@ def _folder_nodes(paths: DataFrame) -> DataFrame:
     return padded(rows, "id string, kind string, name string, qn string, file string, start_line int, end_line int, exported boolean, external boolean, signature string")
 
 
-def collapse_folders(g: CodeGraph, depth: int = 1) -> CodeGraph:
+def collapse_folders(g: CodeGraph, depth: int = 1, modules: CodeGraph | None = None) -> CodeGraph:
+    """``modules``: the graph collapsed to modules, where the caller has it."""
     depth = max(1, depth)
-    m = collapse_modules(g)
+    m = modules or collapse_modules(g)
     path = m.nodes.select("id", _folder(depth).alias("path"))
     folders = path.where("path is not null")
     target = folders.select("id", F.concat(F.lit("folder:"), "path").alias("to"))
@@ -58,11 +65,14 @@ def collapse_folders(g: CodeGraph, depth: int = 1) -> CodeGraph:
 def best_folder_depth(g: CodeGraph, deepest: int = 4) -> int:
     """The least depth with several folders and an edge at one; else the depth of most folders, the first on ties."""
     best, most = 1, -1
+    m = collapse_modules(g)
+    m = CodeGraph(stored(m.nodes, "modules"), stored(m.edges, "lifted"))
     for d in range(1, deepest + 1):
-        f = collapse_folders(g, d)
+        f = collapse_folders(g, d, m)
         folders = f.nodes.where("kind = 'folder'").select("id")
         n = folders.count()
-        if n > 1 and not f.edges.join(folders, (F.col("src") == folders["id"]) | (F.col("dst") == folders["id"]), "left_semi").isEmpty():
+        ends = f.edges.select(F.col("src").alias("id")).unionByName(f.edges.select(F.col("dst").alias("id")))
+        if n > 1 and not ends.join(folders, "id", "left_semi").isEmpty():
             return d
         if n > most:
             best, most = d, n
@@ -79,6 +89,7 @@ def folder_hierarchy(g: CodeGraph, depth: int = 1) -> CodeGraph:
 
 def expand_nodes(g: CodeGraph, expanded: list[str]) -> CodeGraph:
     """A node shows if it has no parent or its parent is expanded; others stand behind where their parent lands."""
+    g = CodeGraph(g.nodes, stored(g.edges, "edges"))
     hidden = parents(g.edges).where(~F.col("parent").isin(*expanded)) if expanded else parents(g.edges)
     target = chase(g.nodes.select("id", F.col("id").alias("to")), hidden)
     shown = target.where("id = to").select("id")

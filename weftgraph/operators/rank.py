@@ -147,8 +147,9 @@ def scc(edges: DataFrame, few: int = FEW) -> DataFrame:
     return done if done is not None else edges.sparkSession.createDataFrame([], "id string, scc string")
 
 
-def vertices_in_cycles(edges: DataFrame) -> DataFrame:
-    parts = scc(edges)
+def vertices_in_cycles(edges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``parts``: the components, where the caller has them."""
+    parts = scc(edges) if parts is None else parts
     big = parts.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1").select("scc")
     loops = edges.where("src = dst").select(F.col("src").alias("id"))
     return parts.join(big, "scc", "left_semi").select("id").union(loops).distinct()
@@ -159,8 +160,9 @@ def mark_import_cycles(g: CodeGraph, strict: bool = False) -> DataFrame:
     own = g.nodes.where("kind = 'module' and not coalesce(external, false)").select("id")
     value = g.edges.where("kind = 'imports' and not coalesce(type_only, false)")
     value = value.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    parts = scc(value.select("src", "dst"))
-    cyclic = parts.join(vertices_in_cycles(value.select("src", "dst")), "id", "left_semi")
+    value = stored(value.select("src", "dst"), "value-imports")
+    parts = scc(value)
+    cyclic = parts.join(vertices_in_cycles(value, parts), "id", "left_semi")
     s, d = cyclic.select(F.col("id").alias("src"), F.col("scc").alias("cs")), cyclic.select(F.col("id").alias("dst"), F.col("scc").alias("cd"))
     e = g.edges.drop("in_cycle").join(s, "src", "left").join(d, "dst", "left")
     both = (F.col("cs") == F.col("cd")) if strict else F.col("cs").isNotNull() & F.col("cd").isNotNull()

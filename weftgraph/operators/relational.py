@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_column
 from ..schema import CodeGraph, edge_id
+from ..storage import stored
+
+
+# The kinds of nodes and edges.
+NODE_KINDS = ["module", "folder", "namespace", "class", "interface", "enum", "function", "method", "variable"]
+EDGE_KINDS = ["contains", "imports", "calls", "extends", "implements"]
 
 
 def path_of(g: CodeGraph) -> Column:
@@ -51,12 +57,17 @@ def parents(edges: DataFrame) -> DataFrame:
 
 
 def union_graphs(*graphs: CodeGraph) -> CodeGraph:
-    """A union that keeps one row an id."""
-    first, *rest = graphs
-    nodes, edges = first.nodes, first.edges
-    for g in rest:
-        nodes, edges = nodes.unionByName(g.nodes), edges.unionByName(g.edges)
-    return CodeGraph(nodes.dropDuplicates(["id"]), edges.dropDuplicates(["id"]))
+    """A union that keeps one row an id: that of the first graph that has it, there the least row."""
+
+    def first(tables: list[DataFrame]) -> DataFrame:
+        rest = [c for c in tables[0].columns if c != "id"]
+        both = [t.select("id", F.struct(F.lit(k).alias("__at"), *rest).alias("r")) for k, t in enumerate(tables)]
+        out = both[0]
+        for t in both[1:]:
+            out = out.unionByName(t)
+        return out.groupBy("id").agg(F.min("r").alias("r")).select("id", "r.*").select(*tables[0].columns)
+
+    return CodeGraph(first([g.nodes for g in graphs]), first([g.edges for g in graphs]))
 
 
 def rebase(g: CodeGraph, prefix: str) -> CodeGraph:
@@ -128,7 +139,8 @@ def fragment_merge(nodes: DataFrame, edges: DataFrame, order: str) -> CodeGraph:
 
 def validate(g: CodeGraph) -> DataFrame:
     """``message`` rows: repeated ids, edges without ends, ids that don't fit, attributes where they can't be, bad spans."""
-    n, e = g.nodes, g.edges
+    # each part reads them again: stored, so that what is behind them runs once
+    n, e = stored(g.nodes, "nodes"), stored(g.edges, "edges")
     ids = n.select("id")
     say = lambda df, text, col="id": df.select(F.concat(F.lit(text + ": "), F.col(col)).alias("message"))
     parts = [
@@ -137,6 +149,7 @@ def validate(g: CodeGraph) -> DataFrame:
         say(e.where(F.col("id") != edge_id(F.col("kind"), F.col("src"), F.col("dst"))), "edge id"), say(n.where(F.substring_index("id", ":", 1) != F.col("kind")), "node id"),
         say(e.where("cnt < 2"), "count below two"), say(e.where("type_only is not null and kind <> 'imports'"), "type-only edge"), say(e.where("in_cycle is not null and kind <> 'imports'"), "cycle flag"),
         say(e.where("low is not null and kind <> 'calls'"), "confidence"), say(parents(e).groupBy("id").count().where("count > 1"), "several parents"),
+        say(parents(e).where("id = parent"), "contains itself"), say(n.where(~F.col("kind").isin(*NODE_KINDS)), "node kind"), say(e.where(~F.col("kind").isin(*EDGE_KINDS)), "edge kind"),
         say(n.where("start_line < 1 or end_line < start_line or file like '%\\\\\\\\%'"), "span"),
     ]
     out = parts[0]

@@ -48,10 +48,10 @@ def _walk_task(pairs: DataFrame, seeds: DataFrame, max_depth: int | None) -> Dat
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, few: int = FEW) -> DataFrame:
     """``(id, depth)`` of all nodes that ``seeds(id)`` reach along ``edges(src, dst)``."""
-    pairs = stored(edges.select("src", "dst").distinct(), "bfs-edges")
-    if pairs.count() <= few:
+    pairs, seeds = stored(edges.select("src", "dst").distinct(), "bfs-edges"), stored(seeds.select("id").distinct(), "bfs-seeds")
+    if pairs.count() + seeds.count() <= few:
         return stored(_walk_task(pairs, seeds, max_depth), "bfs")
-    visited = stored(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "bfs")
+    visited = seeds.withColumn("depth", F.lit(0))
     front, level = visited.select("id"), 0
     while (max_depth is None or level < max_depth) and not front.isEmpty():
         level += 1
@@ -89,6 +89,29 @@ def ancestors(g: CodeGraph, ids: DataFrame) -> DataFrame:
     return bfs(up, ids)
 
 
+def containment_chains(g: CodeGraph) -> DataFrame:
+    """``(id, ancestor, steps)``: each node's containers, itself at 0; a round joins the chains found to one more step."""
+    up = stored(parents(g.edges).select(F.col("id").alias("ancestor"), F.col("parent").alias("up")), "chain-up")
+    front = stored(g.nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("steps")), "chain")
+    out, most = front, up.count()
+    while not front.isEmpty():
+        front = stored(front.join(up, "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("steps") + 1).alias("steps")), "chain")
+        out = out.unionByName(front)
+        most -= 1
+        if most < -1:
+            raise ValueError("containment has a cycle")
+    return out
+
+
+def common_ancestor(g: CodeGraph, pairs: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``ancestor``: the nearest container of both, which may be one of them; null where there is none."""
+    chains = stored(containment_chains(g), "chains")
+    a, b = (chains.select(F.col("id").alias(c), "ancestor", F.col("steps").alias(c + "_steps")) for c in "ab")
+    met = pairs.distinct().join(a, "a").join(b, ["b", "ancestor"])
+    best = met.groupBy("a", "b").agg(F.min_by("ancestor", F.struct("a_steps", "ancestor")).alias("ancestor"))
+    return pairs.join(best, ["a", "b"], "left").select("a", "b", "ancestor")
+
+
 def slice_around(g: CodeGraph, start: str, hops: int = 1) -> CodeGraph:
     """The undirected neighbourhood over all but containment, with the containers of what is kept."""
     e = g.edges.where("kind <> 'contains'").select("src", "dst")

@@ -360,7 +360,7 @@ def glob_match(spark, d):
 _P = "CASE doc_id % 5 WHEN 0 THEN 'src/test_' || doc_id || '.py' WHEN 1 THEN 'spec/a.ts' WHEN 2 THEN 'lib/x.spec.mjs' WHEN 3 THEN './lib/' || lang || '.RS' ELSE '@org/pkg/deep' END"
 
 
-@query(f"WITH p AS (SELECT doc_id, {_P} AS path, text FROM documents) SELECT doc_id, regexp_matches(path, '(?i)(^|/)(__tests__|tests?|spec)/|\\.(test|spec)\\.[cm]?[jt]sx?$|(^|/)(test_[^/]*|[^/]*_test)\\.py$') AS is_test, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 3 THEN 'rust' WHEN 4 THEN '' ELSE 'typescript' END AS language, path LIKE './%' AS relative, regexp_extract(path, '^(@[^/]+/[^/]+|[^/]*)', 1) AS package, length(text) >= 20000 AND length(text) / (length(text) - length(replace(text, chr(10), '')) + 1) > 400 AS minified, CAST(ceil(length(text) / 3.7) AS BIGINT) AS tokens FROM p")
+@query(f"WITH p AS (SELECT doc_id, {_P} AS path, text FROM documents) SELECT doc_id, regexp_matches(path, '(?i)(^|/)(__tests__|tests|spec)/|\\.(test|spec)\\.[cm]?[jt]sx?$|(^|/)(test_[^/]+|[^/]+_test)\\.py$') AS is_test, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 3 THEN 'rust' WHEN 4 THEN '' ELSE 'typescript' END AS language, path LIKE './%' AS relative, regexp_extract(path, '^(@[^/]+/[^/]+|[^/]*)', 1) AS package, length(text) >= 20000 AND length(text) / (length(text) - length(replace(text, chr(10), '')) + 1) > 400 AS minified, CAST(ceil(length(text) / 3.7) AS BIGINT) AS tokens FROM p")
 def path_classifiers(spark, d):
     p = read(spark, d, "documents").withColumn("path", F.expr(_P))
     c = F.col

@@ -8,7 +8,7 @@ from ..export import text as ex
 from ..frontends.dataflow import sites
 from ..functions import text as tx
 from ..schema import CodeGraph
-from ..sources.packages import prefixed
+from ..sources.packages import prefixed, split_roots
 from .graphs import read
 from .queries import query
 
@@ -84,3 +84,16 @@ _scalar("glob_defaults", "m < 2", lambda path: tx.glob_column(path, tx.DEFAULT_I
 _scalar("adapter_for_path", "['python', 'typescript', 'typescript', ''][m + 1]", lambda path: F.coalesce(tx.language(path), F.lit("")))
 _scalar("root_prefix_path", "CASE WHEN m = 0 THEN path ELSE 'r' || m || '/' || path END", lambda path: prefixed(path, F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("r"), (F.col("p_partkey") % 4).cast("string")))))
 _scalar("display_label", "CASE WHEN m < 2 THEN path || '()' ELSE path END", lambda path: tx.display_label(F.when(F.col("p_partkey") % 4 == 0, "function").when(F.col("p_partkey") % 4 == 1, "method").otherwise("class"), path))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN ['web', 'api'][p_partkey % 3 + 1] END AS root, CASE WHEN p_partkey % 3 < 2 THEN 'src/a' || p_partkey || '.ts' END AS rest FROM part")
+def root_split_path(spark, d):
+    head = F.element_at(F.array(F.lit("web"), F.lit("api"), F.lit("other")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    paths = read(spark, d, "part").select("p_partkey", F.concat(head, F.lit("/src/a"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"))
+    return split_roots(paths, spark.createDataFrame([(0, "web"), (1, "api")], "pos int, name string")).select("p_partkey", "root", "rest")
+
+
+@query("SELECT p_partkey, ['#4c78a8', '#f58518', '#555555'][CAST(p_partkey % 3 AS INT) + 1] AS colour FROM part")
+def palette(spark, d):
+    kind = F.element_at(F.array(F.lit("module"), F.lit("class"), F.lit("unknown")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", tx.palette(kind, tx.NODE_COLOURS).alias("colour"))

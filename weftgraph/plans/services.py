@@ -172,3 +172,49 @@ def span_within(spark, d):
     s = read(spark, d, "part").selectExpr(*_SPANS.split(", "))
     ten, forty = F.lit(10), F.lit(40)
     return s.select("p_partkey", an.span_within(F.col("a"), F.col("b"), ten, forty).alias("within"), an.span_contains_strict(ten, forty, F.col("a"), F.col("b")).alias("strictly"))
+
+
+_NESTED = "function outer(a) {\n  function inner(b) {\n    return b;\n  }\n  return inner(a);\n}\n"
+
+
+def _nested(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.lit(_NESTED).alias("text"))
+
+
+@query("SELECT c_custkey AS k, CAST(1 + c_custkey % 7 AS INT) AS line, CASE WHEN c_custkey % 7 BETWEEN 1 AND 3 THEN 'inner' ELSE 'outer' END AS name FROM customer WHERE c_custkey % 7 < 6")
+def cfg_at_line(spark, d):
+    files = _nested(spark, d)
+    lines = files.select("path", (F.lit(1) + F.col("path").cast("long") % 7).cast("int").alias("line"))
+    return fl.cfg_at_line(fl.spans(files), lines).select(F.col("path").cast("long").alias("k"), "line", "name")
+
+
+@query("SELECT c_custkey AS k, v.* FROM customer CROSS JOIN (VALUES ('b', 'write', 2::INT), ('b', 'read', 3::INT)) AS v(variable, access, line)")
+def dataflow_for_span(spark, d):
+    files = _nested(spark, d)
+    where = fl.spans(files)
+    asked = where.where("name = 'inner'").select("path", "start_line", "start_col")
+    return fl.dataflow_for_span(where, sites(files), asked).select(F.col("path").cast("long").alias("k"), "variable", "access", "line")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents", "file_digests")
+def _digests(spark, d):
+    return ch.digests(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")).select(F.col("path").cast("long").alias("doc_id"), "digest")
+
+
+@query("SELECT CASE WHEN count(*) FILTER (doc_id % 3 = 0) = 0 THEN 'cached' ELSE 'partial' END AS pass, count(*) FILTER (doc_id % 3 = 0) AS changed FROM documents", "incremental_decision")
+def _decision(spark, d):
+    files = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    edited = files.withColumn("text", F.when(F.col("path").cast("long") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    return ch.decision(ch.digests(files), ch.digests(edited))
+
+
+@query(f"WITH {TRADE}, c AS (SELECT dst AS id, src AS parent FROM edges WHERE kind = 'contains'), p AS (SELECT parent, min(id) AS a, max(id) AS b FROM c GROUP BY 1) SELECT a, b, CASE WHEN a = b THEN a ELSE parent END AS ancestor FROM p")
+def common_ancestor(spark, d):
+    g = trade(spark, d)
+    pairs = tv.parents(g.edges).groupBy("parent").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
+    return tv.common_ancestor(g, pairs)
+
+
+@query(f"WITH {TRADE}, f AS (SELECT id FROM nodes WHERE kind = 'module' AND qn = 'nowhere') SELECT 'suggestion' AS status, id FROM nodes WHERE kind = 'module' AND contains(lower(name), 'a') OR kind = 'module' AND contains(lower(qn), 'a') ORDER BY id LIMIT 5")
+def resolve_module_status(spark, d):
+    return an.resolve_module_status(trade(spark, d).nodes, "A")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import DEFAULT_INCLUDE, glob_column, is_test_file, looks_minified
 
 # Folders and files that are never analysed.
-DEFAULT_EXCLUDE = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/out/**", "**/.git/**", "**/coverage/**", "**/vendor/**", "**/__pycache__/**", "**/*.min.js", "**/*.d.ts"]
+DEFAULT_EXCLUDE = ["**/node_modules/**", "**/dist/**", "**/build/**", "**/out/**", "**/.git/**", "**/coverage/**", "**/.next/**", "**/.nuxt/**", "**/.svelte-kit/**", "**/.turbo/**", "**/.cache/**", "**/.vscode-test/**", "**/vendor/**", "**/fixtures/**", "**/testdata/**", "**/__pycache__/**", "**/*.min.js", "**/*.d.ts"]
 MOST_BYTES = 512 << 10
 
 

@@ -72,5 +72,16 @@ def root_prefixes(roots: DataFrame) -> DataFrame:
     return roots.withColumn("prefix", F.lit("") if alone else F.when(n > 1, F.concat("name", F.lit("~"), n.cast("string"))).otherwise(F.col("name")))
 
 
+def split_roots(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
+    """``paths`` with ``root`` and ``rest``: the first root by position whose prefix the path stands below, both null if none."""
+    prefixes = root_prefixes(roots).select(F.col("pos").alias("__pos"), F.col("name").alias("__root"), F.col("prefix").alias("__prefix"))
+    # a prefix is a path's first segment, or empty for a single root, so the join is on equality
+    head = F.when(F.lit(roots.limit(2).count() < 2), F.lit("")).otherwise(F.substring_index(path, "/", 1))
+    first = prefixes.groupBy("__prefix").agg(F.min_by("__root", "__pos").alias("root"))
+    rest = F.when(F.col("__prefix") == "", F.col(path)).when(F.instr(path, "/") > 0, F.expr(f"substring({path}, length(__prefix) + 2)"))
+    out = paths.withColumn("__head", head).join(first, F.col("__head") == F.col("__prefix"), "left").withColumn("rest", rest)
+    return out.withColumn("root", F.when(F.col("rest").isNotNull(), F.col("root"))).drop("__head", "__prefix")
+
+
 def prefixed(path, prefix):
     return F.when(prefix == "", path).otherwise(F.concat(prefix, F.lit("/"), path))

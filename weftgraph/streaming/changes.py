@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def debounce(events: DataFrame, key: str, ts: str, gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
     """One row per burst: a key's events no further apart than the gap, with its end and size. Batch or stream."""
@@ -25,6 +27,57 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("path")
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """``path, digest``: what is kept of a pass to compare the next one with."""
+    return files.select("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+
+
+def decision(old: DataFrame, new: DataFrame, same_options: bool = True) -> DataFrame:
+    """One row ``pass, changed``: ``cold`` if options or the set of paths differ, ``cached`` if nothing does, else ``partial``.
+
+    ``old, new``: as of ``digests``.
+    """
+    a, b = old.select("path", F.col("digest").alias("a")), new.select("path", F.col("digest").alias("b"))
+    both = a.join(b, "path", "full")
+    n = both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("other"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
+    cold = F.lit(not same_options) | (F.col("other") > 0)
+    return n.select(F.when(cold, "cold").when(F.col("changed") == 0, "cached").otherwise("partial").alias("pass"), "changed")
+
+
+class Incremental:
+    """Passes over file sets, in batch or from ``writeStream.foreachBatch(analyzer.on_batch)`` of whole snapshots.
+
+    ``extract(files)`` gives facts with a ``path``; a partial pass extracts only the dirty files (changed ones and their
+    direct importers, by ``index(facts)``: ``file, imports``) and keeps the others' facts. State is two stored tables.
+    ``progress(phase, done, total)`` is told of every pass; it may raise to stop before the next phase.
+    """
+
+    def __init__(self, extract, index, progress=None):
+        self.extract, self.index, self.tell = extract, index, progress or (lambda *_: None)
+        self.known = self.facts = self.options = self.last = None
+
+    def analyze(self, files: DataFrame, options=None) -> DataFrame:
+        fresh = stored(digests(files), "digests")
+        first = self.known is None
+        self.last = "cold" if first else decision(self.known, fresh, options == self.options).first()["pass"]
+        self.tell(self.last, 0, 1)
+        if self.last == "cold":
+            self.facts = stored(self.extract(files), "facts")
+        elif self.last == "partial":
+            old = self.known.select("path", F.col("digest").alias("was"))
+            touched = stored(fresh.join(old, "path").where("digest <> was").select("path"), "touched")
+            near = dirty_closure(self.index(self.facts), touched, 0).where("role = 'dirty'").select(F.col("file").alias("path"))
+            near = stored(near, "dirty")
+            again = files.join(near, "path", "left_semi")
+            self.facts = stored(merge_facts(self.facts, self.extract(again), near), "facts")
+        self.known, self.options = fresh, options
+        self.tell(self.last, 1, 1)
+        return self.facts
+
+    def on_batch(self, files: DataFrame, _batch: int) -> None:
+        self.analyze(files)
+
+
 def merge_facts(old: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
     """Facts of untouched files as they were, those of touched ones replaced; resolution then runs over all facts."""
     return old.join(touched.select("path").distinct(), "path", "left_anti").unionByName(fresh)
