@@ -241,8 +241,12 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     pieces = F.split(marked, "\x01", -1)
     first = F.array(_segment(F.lit(None).cast("string"), F.element_at(pieces, 1), F.lit(None).cast("string")))
     whole = F.concat(first, F.flatten(F.transform(F.slice(pieces, 2, F.size(pieces)), _segments)))
-    split = docs.select("*", F.monotonically_increasing_id().alias("__rid"), F.when(has, whole).alias("__seg"))
-    found = materialise(split.where("__seg is not null").select("__rid", *[F.col(f"`{c}`") for c in docs.columns if c != text_col], "__seg"), "pii-rows")
+    # written once, with segments or the text, so that the expressions above run once a row; a struct, so that no name clashes
+    split = docs.select("*", F.when(has, whole).alias("__pii_seg"))
+    kept = [F.when(F.col("__pii_seg").isNull(), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    split = split.select(F.struct(*kept).alias("__row"), F.col("__pii_seg").alias("__seg"), F.monotonically_increasing_id().alias("__rid"))
+    split = materialise(split, "pii-rows")
+    found = split.where("__seg is not null")
     mentions = found.select("__rid", F.posexplode("__seg").alias("__pos", "__s")).where("__s.type is not null")
     mentions = mentions.select("__rid", "__pos", F.col("__s.type").alias("type"), F.col("__s.raw").alias("raw"), F.coalesce("__s.gender", F.lit("x")).alias("gender")).withColumn("canon", canonical(F.col("type"), F.col("raw")))
     mentions = materialise(mentions, "pii-mentions")
@@ -250,9 +254,10 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     entities = materialise(mentions.groupBy("type", "canon").agg(F.min(F.when(F.col("gender") != "x", F.col("gender"))).alias("g"), F.max(_code(F.col("type"), F.col("raw"))).alias("keep")).select("type", "canon", F.coalesce("g", F.lit("x")).alias("gender"), "keep"), "pii-entities")
     subs = materialise(surrogates(entities, key), "pii-subs")
     new = mentions.join(subs, ["type", "canon"]).select("__rid", "__pos", "type", rendered(F.col("type"), F.col("raw"), F.col("sub")).alias("new"))
-    by_row = new.groupBy("__rid").agg(F.map_from_entries(F.collect_list(F.struct("__pos", "new"))).alias("__new"), F.count("*").cast("long").alias("__pii_n"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("__pii_types"))
-    joined = F.array_join(F.transform("__seg", lambda s, i: F.coalesce(F.element_at("__new", i), s["raw"])), "")
-    changed = found.join(by_row, "__rid").withColumn(text_col, joined)
-    rest = split.where("__seg is null").withColumns({"__pii_n": F.lit(0).cast("long"), "__pii_types": F.lit("")})
-    out = [*[F.col(f"`{c}`") for c in docs.columns], F.col("__pii_n"), F.col("__pii_types")]
-    return changed.select(*out).unionByName(rest.select(*out))
+    by_row = new.groupBy("__rid").agg(F.collect_list(F.struct(F.col("__pos").alias("i"), F.col("new").alias("s"))).alias("__new"), F.count("*").cast("long").alias("__pii_n"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("__pii_types"))
+    plain = F.filter(F.transform("__seg", lambda s, i: F.when(s["type"].isNull(), F.struct(i.alias("i"), s["raw"].alias("s")))), lambda x: x.isNotNull())
+    joined = F.array_join(F.transform(F.sort_array(F.concat(plain, "__new")), lambda x: x["s"]), "")
+    row = lambda new: [(new if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns]
+    changed = found.join(by_row, "__rid").select(*row(joined), "__pii_n", "__pii_types")
+    rest = split.where("__seg is null").select(*row(F.col("__row").getField(text_col)), F.lit(0).cast("long").alias("__pii_n"), F.lit("").alias("__pii_types"))
+    return changed.unionByName(rest)
