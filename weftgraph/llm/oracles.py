@@ -62,6 +62,20 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM w
 """
 
+OP7 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i) WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.c + b.c - i)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT DISTINCT x AS doc_id, x AS met FROM both_ways UNION SELECT r.doc_id, b.y FROM r JOIN both_ways b ON b.x = r.met)
+SELECT doc_id, CAST(coalesce(c, 0) AS BIGINT) AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(met) AS m FROM r GROUP BY 1) USING (doc_id)
+"""
+
 OP8 = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS cp, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
@@ -101,4 +115,4 @@ FROM d LEFT JOIN a USING (doc_id)
 """.replace("\\\\1'", "\\1'").replace("\\\\2'", "\\2'").replace("\\\\x", "\\x")
 
 
-ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_decontam": OP3, "op4_sharding": OP4, "op5_warc": OP5, "op8_exact_dedup": OP8, "op10_secret_scan": _op10()}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1, "op3_decontam": OP3, "op4_sharding": OP4, "op5_warc": OP5, "op7_ngram_join": OP7, "op8_exact_dedup": OP8, "op10_secret_scan": _op10()}
