@@ -54,7 +54,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> Da
         full = members = materialise(again.join(sized(shared, 16), ["__n", "__p"], "left_semi").select(*hashed), "dedup-full")
     best = F.min(F.struct(-F.col("__cp"), F.col("__id").isNull(), F.col("__id")))
     same = members.groupBy("__n", "__p", "__sha").agg(F.count("*").alias("__size"), best.alias("__best")).where("__size > 1")
-    out = full.join(same, ["__n", "__p", "__sha"], "left").select("__id", "__cp", "__n", "__p", "__sha", "__size", F.col("__best.__id").alias("__keep"))
+    # stored, so that the join back is one of two plain tables, whose hot keys AQE can split or do without a shuffle
+    same = materialise(same, "dedup-groups")
+    out = full.join(sized(same, 120), ["__n", "__p", "__sha"], "left").select("__id", "__cp", "__n", "__p", "__sha", "__size", F.col("__best.__id").alias("__keep"))
     if not digest_all:
         none = [F.lit(None).cast(t).alias(c) for c, t in (("__sha", "string"), ("__size", "long"))]
         alone = sig.join(sized(shared, 16), ["__n", "__p"], "left_anti")
