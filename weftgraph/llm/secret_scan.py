@@ -5,8 +5,10 @@ row per (blob, rule version) that has ever been scanned, with its spans. A run s
 each once however many paths share it, appends them, and joins the ledger back to all paths. DataFrame functions only.
 
 Addressing reads each text once anyway, so the same pass tests one anchor expression (a superset of all rules); only
-representatives of unseen blobs that pass it move their text to the scan. Rows of the manifest are fixed-size; a blob
-that a third of the paths share is one row on the build side of the join back, and AQE can split the other side.
+representatives of unseen blobs that pass it are scanned, in the tasks that read them while their keys are measured to
+be few, else dealt out by id. Rows of the manifest are fixed-size; a blob that a third of the paths share is one row on
+the build side of the join back, and AQE can split the other side. Two runs at once may both append a pair; the ledger's
+reader takes one row of each blob, and equal pairs have equal spans.
 
 Spans are code points, end exclusive. A rule's pattern runs leftmost and non-overlapping; matches whose kept part is too
 short are dropped but still consume their text.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import materialise, scratch, sized
 
 LEDGER = "blob string, rule_version string, spans array<struct<start:int,ord:int,kind:string,end:int>>"
 
@@ -53,6 +55,8 @@ ADDED = [
 ]
 RULES = BASE + ADDED
 RULE_VERSION = "2"
+#: Matches of a text that are gathered at a time.
+CHUNK = 256
 
 #: Every text with a span matches this.
 ANCHOR = r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|AKIA[A-Z0-9]|[0-9a-f]{16}|gh[pousr]_|xox[abeprs]-|AIza|eyJ|-----BEGIN "
@@ -62,6 +66,11 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def rule_spans(text: Column, rule: Rule, ordinal: int) -> Column:
     """The rule's spans of a text: marks are set around matches, and the pieces' lengths give the positions.
 
@@ -71,18 +80,29 @@ def rule_spans(text: Column, rule: Rule, ordinal: int) -> Column:
     marked = F.regexp_replace(clean, f"({rule.head})({rule.body})", "\x01$1\x03$2\x02")
     pieces = F.split(marked, "\x01", -1)
 
+    kind = "struct<start:int,ord:int,kind:string,end:int>"
+    width = lambda p: F.length(p) - 2  # noqa: E731  of a piece without its two marks
+
     def step(acc: Column, piece: Column) -> Column:
         match = F.substring_index(piece, "\x02", 1)
         length = F.length(match) - 1
         measured = F.length(F.substring_index(match, "\x03", -1)) if rule.measured == "body" else length
-        start = acc["pos"]
-        found = F.struct(start.alias("start"), F.lit(ordinal).alias("ord"), F.lit(rule.kind).alias("kind"), (start + length).alias("end"))
-        rest = F.length(piece) - F.length(match) - 1
-        return F.struct((start + length + rest).alias("pos"), F.when(measured >= rule.least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+        found = F.struct(acc["pos"].alias("start"), F.lit(ordinal).alias("ord"), F.lit(rule.kind).alias("kind"), (acc["pos"] + length).alias("end"))
+        return F.struct((acc["pos"] + width(piece)).alias("pos"), F.when(measured >= rule.least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+
+    none = F.array().cast(f"array<{kind}>")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, p: a + width(p))
+    gathered = lambda c, at: F.aggregate(c, F.struct(at.alias("pos"), none.alias("out")), step, lambda a: a["out"])
+
+    # an array that grows is copied at each step, so pieces are gathered in chunks, whose offsets come first
+    def chunked(pieces: Column) -> Column:
+        count = F.size(pieces) - 1
+        parts = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / CHUNK).cast("int")), lambda k: F.slice(pieces, k * CHUNK + 2, F.least(F.lit(CHUNK), count - k * CHUNK)))
+        begin = F.struct(F.length(F.element_at(pieces, 1)).alias("pos"), F.array().cast("array<int>").alias("out"))
+        offsets = lambda chunks: F.aggregate(chunks, begin, lambda a, c: F.struct((a["pos"] + total(c)).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")), lambda a: a["out"])
+        return F.when(count > 0, _let(parts, lambda chunks: F.flatten(F.zip_with(chunks, offsets(chunks), gathered)))).otherwise(none)
 
-    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
-    first = F.struct(F.length(F.element_at(pieces, 1)).alias("pos"), none.alias("out"))
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, step, lambda acc: acc["out"])
+    return _let(pieces, chunked)
 
 
 def spans_of(text: Column, rules=None) -> Column:
@@ -111,14 +131,15 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
         seen = spark.createDataFrame([], LEDGER)
     reps = manifest.groupBy("blob").agg(F.min_by("__id", F.col("__id")).alias("__rep"), F.max("__may").alias("__may")).join(seen.select("blob"), "blob", "left_anti")
     reps = materialise(reps, "unseen")
-    texts = docs.select(F.col(id_col).alias("__i"), text.alias("__t"), blob_of(F.col(text_col)).alias("__b")).where(F.rlike("__t", F.lit(anchor)) if anchor else F.lit(True))
-    due = reps.where("__may")
-    hits = texts.join(due, (F.col("__b") == due["blob"]) & F.col("__i").eqNullSafe(due["__rep"]))
-    hits = hits.select("blob", spans_of(F.col("__t"), rules).alias("spans")).dropDuplicates(["blob"])
+    due = materialise(reps.where("__may").select("blob", "__rep"), "due")
+    # by id, which costs nothing; only rows with a representative's id are addressed again
+    texts = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t"))
+    hits = texts.join(sized(due, 100), F.col("__i").eqNullSafe(due["__rep"]) & (blob_of(F.col("__t")) == due["blob"]))
+    hits = hits.select("blob", spans_of(F.coalesce("__t", F.lit("")), rules).alias("spans")).dropDuplicates(["blob"])
     rows = reps.select("blob").join(hits, "blob", "left")
     empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     rows.select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans")).write.mode("append").parquet(ledger)
-    known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version).select("blob", "spans")
+    known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
     return manifest.select("__id", "blob").join(known, "blob").select("__id", "blob", "spans")
 
 
