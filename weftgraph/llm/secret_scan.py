@@ -139,7 +139,10 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
     rows = reps.select("blob").join(hits, "blob", "left")
     empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     rows.select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans")).write.mode("append").parquet(ledger)
-    known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version).select("blob", "spans").dropDuplicates(["blob"])
+    known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version).select("blob", "spans")
+    known = known.join(manifest.select("blob").distinct(), "blob", "left_semi").dropDuplicates(["blob"])
+    # stored, so that the join back is one of two plain tables, whose hot blobs AQE can split
+    known = materialise(known, "known")
     return manifest.select("__id", "blob").join(known, "blob").select("__id", "blob", "spans")
 
 
