@@ -108,7 +108,7 @@ def test_enclosing_looks_up_a_line_of_every_customer(spark):
     region = {r["r_regionkey"]: r["r_name"] for r in t["region"]}
     path = {r["n_nationkey"]: f"{region[r['n_regionkey']]}/{r['n_name']}" for r in t["nation"]}
     want = sorted((path[c["c_nationkey"]], c["c_custkey"] * 100 + 50, f"class:{path[c['c_nationkey']]}#{c['c_name']}") for c in t["customer"])
-    assert rows(registered()[0]["enclosing_all"](spark, d), "file", "line", "id") == want and len(want) == 150
+    assert rows(registered()[0]["enclosing"](spark, d), "file", "line", "id") == want and len(want) == 150
 
 
 def test_map_budget_is_monotone_and_never_empty(small):

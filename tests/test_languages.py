@@ -72,3 +72,44 @@ def test_rust_paths(spark):
 def test_java_prefers_the_shortest_path(spark):
     e, _ = edges(spark, "java", [("x/A.java", "import p.B;\nimport java.util.*;\n"), ("long/src/p/B.java", ""), ("src/p/B.java", "")])
     assert set(e) == {"imports:module:x/A.java->module:src/p/B.java", "imports:module:x/A.java->module:external:java.util"}
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("function f(a, b = 2) {}\n", "(a, b = 2)"),
+        ("export function g<T>(a: { x: T }): { y: T } { return a; }\n", "(a: { x: T }): { y: T }"),
+        ("const h = async (x: number /* one */): Promise<void> => {};\n", "(x: number): Promise<void>"),
+        ("const k = x => x;\n", "(x)"),
+        ("function broken(\n", None),
+    ],
+)
+def test_signatures_as_written(text, expected):
+    assert [f[8] for f in facts_of("f", text, LANGUAGES["typescript"]) if f[0] == "decl"][1:] == [expected]
+
+
+@pytest.mark.parametrize(
+    "comment, expected",
+    [("/** One.\n * Two. */\n", "One."), ("/**\n *\n * Late\n */\n", "Late"), ("/** @internal */\n", None), ("/* plain */\n", None), ("/***/\n", None), ("// line\n", None), ("/** far */\nlet x;\n", None)],
+)
+def test_doc_lines(comment, expected):
+    assert [f[9] for f in facts_of("f", comment + "export class A {}\n", LANGUAGES["typescript"]) if f[1] == "class"] == [expected]
+
+
+def test_heritage_clauses():
+    text = "class A<T = B<C>> extends N.B<{}> {}\nclass D extends E<X, Y<Z>> implements F, G.H<I> {}\ninterface J extends K, L {}\nclass M {}\nconst extended = 1;\n"
+    assert [f[1:3] for f in facts_of("f", text, LANGUAGES["typescript"]) if f[0] == "heritage"] == [("extends", "N.B"), ("extends", "E"), ("implements", "F"), ("implements", "G.H"), ("extends", "K"), ("extends", "L")]
+
+
+def test_heritage_prefers_the_import_and_skips_unknown_names(spark):
+    files = [
+        ("a.ts", "import { Base as B, type Mark } from './b';\nclass A extends B implements Mark, Local, Gone {}\ninterface Local {}\nnamespace N { export class In {} }\nclass C extends N.In {}\nclass E extends Error {}\n"),
+        ("b.ts", "export class Base {}\nexport interface Mark {}\n"),
+    ]
+    e, _ = edges(spark, "typescript", files)
+    assert sorted((r["kind"], r["src"], r["dst"], r["line"]) for r in e.values() if r["kind"] != "imports") == [
+        ("extends", "class:a.ts#A", "class:b.ts#Base", 2),
+        ("extends", "class:a.ts#C", "class:a.ts#N.In", 5),
+        ("implements", "class:a.ts#A", "interface:a.ts#Local", 2),
+        ("implements", "class:a.ts#A", "interface:b.ts#Mark", 2),
+    ]

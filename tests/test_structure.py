@@ -12,7 +12,7 @@ from weftgraph.streaming import changes
 
 def graph(spark, nodes, edges):
     """Nodes ``(id, file, start, end)`` and edges ``(kind, src, dst)``."""
-    n = [(i, i.split(":")[0], i, i, f, a, b, None, False, None) for i, f, a, b in nodes]
+    n = [(i, i.split(":")[0], i, i, f, a, b, None, False, None, None) for i, f, a, b in nodes]
     e = [(f"{k}:{s}->{d}", k, s, d, None, None, None, None, None) for k, s, d in edges]
     return CodeGraph(spark.createDataFrame(n, NODES), spark.createDataFrame(e, EDGES))
 

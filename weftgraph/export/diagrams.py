@@ -5,6 +5,7 @@ from __future__ import annotations
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.layout import Layout, layout
 from ..schema import CodeGraph
@@ -92,18 +93,29 @@ def to_plantuml_class(g: CodeGraph) -> str:
     return "\n".join([*lines, "@enduml"]) + "\n"
 
 
+def flow_charts(rows: DataFrame) -> DataFrame:
+    """``path, fn, text``: every function's blocks and edges as a chart from top to bottom, entry and exit first, then by number."""
+    place = lambda c: F.when(F.col(c) == "entry", 0).when(F.col(c) == "exit", 1).otherwise(F.regexp_extract(c, r"(\d+)$", 1).try_cast("int") + 2)
+    say = lambda c: F.replace(c, F.lit('"'), F.lit("#quot;"))
+    told = F.array_join(F.when(F.size("statements") > 0, F.col("statements")).otherwise(F.array(F.lit(" "))), "<br/>")
+    told = F.when(F.col("kind") == "entry", "Start").when(F.col("kind") == "exit", "End").otherwise(told)
+    told = say(F.concat(F.when(F.coalesce("awaits", F.lit(False)), "⏳ ").otherwise(""), told))
+    basic = F.col("kind") == "basic"
+    block = F.concat(F.lit("  "), "id", F.when(basic, '["').otherwise('(["'), told, F.when(basic, '"]').otherwise('"])'))
+    note = F.when(F.coalesce("label", F.lit("")) != "", F.col("label")).when(F.col("kind") == "normal", "").otherwise(F.col("kind"))
+    arrow = F.when(F.col("kind").isin("exception", "finally"), " -.->").otherwise(" -->")
+    edge = F.concat(F.lit("  "), "src", arrow, F.when(note != "", F.concat(F.lit("|"), say(note), F.lit("|"))).otherwise(""), F.lit(" "), "dst")
+    is_edge = F.col("fact") == "edge"
+    line = F.struct(is_edge.alias("e"), F.when(is_edge, place("src")).otherwise(place("id")).alias("a"), F.when(is_edge, place("dst")).alias("b"), F.when(is_edge, edge).otherwise(block).alias("t"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"])
+    text = F.concat(F.array_join(F.concat(F.array(F.lit("flowchart TD")), lines), "\n"), F.lit("\n"))
+    return rows.where(F.col("fact").isin("block", "edge")).groupBy("path", "fn").agg(text.alias("text"))
+
+
 def flow_mermaid(rows: DataFrame, path: str, fn: int) -> str:
-    """One function's blocks and edges as a chart from top to bottom; other functions' rows aren't fetched."""
-    one = rows.where((rows["path"] == path) & (rows["fn"] == fn) & rows["fact"].isin("block", "edge")).collect()
-    lines, say = ["flowchart TD"], lambda s: s.replace('"', "#quot;")
-    for r in (r for r in one if r["fact"] == "block"):
-        text = {"entry": "Start", "exit": "End"}.get(r["kind"]) or "<br/>".join(r["statements"] or [" "])
-        shape = ("([", "])") if r["kind"] != "basic" else ("[", "]")
-        lines.append(f'  {r["id"]}{shape[0]}"{say(("⏳ " if r["awaits"] else "") + text)}"{shape[1]}')
-    for r in (r for r in one if r["fact"] == "edge"):
-        note = r["label"] or ("" if r["kind"] == "normal" else r["kind"])
-        lines.append(f"  {r['src']} {'-.->' if r['kind'] in ('exception', 'finally') else '-->'}{f'|{say(note)}|' if note else ''} {r['dst']}")
-    return "\n".join(lines) + "\n"
+    """One function's chart; other functions' rows aren't fetched."""
+    one = flow_charts(rows.where((rows["path"] == path) & (rows["fn"] == fn))).first()
+    return one["text"] if one else "flowchart TD\n"
 
 
 for _name, _ext, _run in (("svg", ".svg", to_svg), ("drawio", ".drawio", to_drawio), ("mermaid-class", ".class.mmd", to_mermaid_class), ("plantuml-class", ".class.puml", to_plantuml_class)):

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: ``parent`` is the ``seq`` of the owner within the file, null for the module.
-FACTS = "path string, lang string, fact string, kind string, name string, qn string, parent int, start_line int, end_line int, exported boolean, seq int"
-_TYPES = [pa.string()] * 6 + [pa.int32()] * 3 + [pa.bool_(), pa.int32()]
+FACTS = "path string, lang string, fact string, kind string, name string, qn string, parent int, start_line int, end_line int, exported boolean, signature string, doc string, seq int"
+_TYPES = [pa.string()] * 6 + [pa.int32()] * 3 + [pa.bool_(), pa.string(), pa.string(), pa.int32()]
 
 # Words that stand before a bracket without being calls or declarations.
 KEYWORDS = set("if for while switch catch return new else do try throw import case".split())
@@ -171,15 +171,60 @@ def block_ends(code: str) -> tuple[dict[int, int], bool]:
     return ends, whole and not held
 
 
+_RESULT = re.compile(r"\s*:\s*((?:[^{};=\n]|\{[^{}]*\})+?)\s*(?=\{|=>|;|\n|$)")
+_HERITAGE = re.compile(r"\b(extends|implements)\b((?:(?!\b(?:extends|implements)\b).)*)", re.S)
+
+
+def signature_of(text: str, code: str, brackets: Brackets, name_end: int) -> str | None:
+    """Parameters and result of a TypeScript callable as they are written; types that aren't written aren't inferred."""
+    single = re.compile(r"\s*(?::[^=;\n]+)?=\s*(?:async\s+)?([\w$]+)\s*=>").match(code, name_end)
+    if single:
+        return f"({single[1]})"
+    begin = code.find("(", name_end)
+    end = brackets.close.get(begin)
+    if end is None:
+        return None
+    result = _RESULT.match(code, end + 1)
+    written = lambda a, b: re.sub(r"\s+", " ", re.sub(r"\s*(?:/\*.*?\*/|//[^\n]*)", "", text[a:b], flags=re.S)).strip()
+    return written(begin, end + 1) + (f": {written(*result.span(1))}" if result else "")
+
+
+def doc_of(text: str, start: int) -> str | None:
+    """The first line of the ``/**`` comment directly before an offset; null where a tag comes first."""
+    before = text[:start].rstrip()
+    begin = before.rfind("/*")
+    if not before.endswith("*/") or not before.startswith("/**", begin) or len(before) - begin < 5:
+        return None
+    lines = (re.sub(r"^\s*\*?\s*", "", x).strip() for x in before[begin + 3 : -2].split("\n"))
+    first = next((x for x in lines if x), "")
+    return first if first and not first.startswith("@") else None
+
+
+def heritage_of(code: str, name_end: int) -> Iterator[tuple[str, str, int]]:
+    """``(extends or implements, name, offset)`` of the clauses between a type's name and its body."""
+    depth, end = 0, name_end
+    for m in re.compile(r"=>|[<>{;]").finditer(code, name_end):
+        depth += (m[0] == "<") - (m[0] == ">")
+        if depth <= 0 and m[0] in "{;":
+            end = m.start()
+            break
+    head = code[name_end:end].replace("=>", "  ")
+    while (bare := re.sub(r"<[^<>]*>", lambda m: " " * len(m[0]), head)) != head:
+        head = bare
+    for clause in _HERITAGE.finditer(head):
+        for m in re.finditer(r"(?:^|,)\s*([A-Za-z_$][\w$.]*)\s*(?=,|$)", clause[2].rstrip()):
+            yield clause[1], m[1], name_end + clause.start(2) + m.start(1)
+
+
 def facts_of(path: str, text: str | None, lang: Language) -> Iterator[tuple]:
-    """``(fact, kind, name, qn, parent, start_line, end_line, exported)``; declarations come in source order."""
+    """``(fact, kind, name, qn, parent, start_line, end_line, exported, signature, doc)``; declarations come in source order."""
     text = text or ""
     code = blanked(text, lang.quiet)
     breaks = [m.start() for m in re.finditer("\n", code)]
     line = lambda at: bisect_left(breaks, at) + 1
     brackets = Brackets(code)
     ends, whole = block_ends(code) if lang.blocks else ({}, brackets.balanced)
-    yield "decl", "module", path.rsplit("/", 1)[-1], path, None, 1, len(breaks) + 1, None
+    yield "decl", "module", path.rsplit("/", 1)[-1], path, None, 1, len(breaks) + 1, None, None, None
 
     found: dict[int, tuple] = {}
     keywords = KEYWORDS | OWN_KEYWORDS[lang.name]
@@ -197,7 +242,7 @@ def facts_of(path: str, text: str | None, lang: Language) -> Iterator[tuple]:
             found[at] = (start, end, kind, name, body, m)
     rows = sorted(found.items(), key=lambda x: (x[1][0], -x[1][1]))
     bodied = {(v[2], v[3]) for _, v in rows if v[4]}
-    names, kinds, shown, stack = set(), {}, [], []
+    names, kinds, shown, stack, heritage = set(), {}, [], [], []
     exports = {x.split(" as ")[0].strip() for m in re.finditer(r"\bexport\s*\{([^}]*)\}(?!\s*from)", code) for x in m[1].split(",")} if lang.name == "typescript" else set()
     if lang.name == "typescript":
         rows = sorted([*rows, *_variables(code, found)], key=lambda x: (x[1][0], -x[1][1]))
@@ -216,9 +261,17 @@ def facts_of(path: str, text: str | None, lang: Language) -> Iterator[tuple]:
         shown.append((start, end, seq))
         names.add(at)
         kinds[seq] = real
-        yield "decl", real, name, qn, up[3] if up else None, line(start), line(max(start, end - 1)), out or None
+        signature = doc = None
+        if lang.name == "typescript":
+            signature = signature_of(text, code, brackets, m.end("name")) if real in ("function", "method") else None
+            doc = doc_of(text, start if kind != "variable" else m.end() - len(m[0].lstrip("{}; \t\r\n")))
+            heritage += [(how, base, seq, line(o)) for how, base, o in heritage_of(code, m.end("name"))] if real in ("class", "interface") else []
+        yield "decl", real, name, qn, up[3] if up else None, line(start), line(max(start, end - 1)), out or None, signature, doc
         stack.append((start, end, "class" if real == "class" else real, seq, code.find("{", at) if not lang.blocks else at, qn))
 
+    for how, base, seq, at in heritage:
+        yield "heritage", how, base, None, seq, at, at, None, None, None
+
     starts = [s for s, _, _ in shown]
 
     def owner(at: int) -> int | None:
@@ -233,7 +286,7 @@ def facts_of(path: str, text: str | None, lang: Language) -> Iterator[tuple]:
             spec = text[m.end("q") : code.find(g["q"], m.end("q"))] if g.get("q") else g.get("name")
             if spec:
                 bound = g.get("names")
-                yield "import", "type" if g.get("type") else None, spec, re.sub(r"\s+", " ", bound).strip() if bound else None, owner(m.start()), line(m.start()), line(m.start()), None
+                yield "import", "type" if g.get("type") else None, spec, re.sub(r"\s+", " ", bound).strip() if bound else None, owner(m.start()), line(m.start()), line(m.start()), None, None, None
     for m in re.finditer(lang.call, code, re.M):
         g = m.groupdict()
         name = g["name"] or g.get("dotted") or g.get("bare")
@@ -244,9 +297,9 @@ def facts_of(path: str, text: str | None, lang: Language) -> Iterator[tuple]:
         how = "new" if re.search(r"\bnew$", before) else "this" if re.search(r"\bthis\s*\.$", before) else "member" if before.endswith((".", "::")) else None
         if re.search(r"\b(?:function|class)\s*\*?$", before) or kinds.get(owner(at)) == "interface":
             continue
-        yield "call", how, name, None, owner(at), line(at), line(at), None
+        yield "call", how, name, None, owner(at), line(at), line(at), None, None, None
     if not whole:
-        yield "problem", "warning", "file has syntax errors", None, None, 1, 1, None
+        yield "problem", "warning", "file has syntax errors", None, None, 1, 1, None, None, None
 
 
 def _variables(code: str, names: dict) -> Iterator[tuple[int, tuple]]:

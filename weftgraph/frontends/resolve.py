@@ -100,7 +100,8 @@ def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None =
     """The graph and diagnostics of the files of one language (``lexical.LANGUAGES``).
 
     Calls: by name within the file to the first callable, with low confidence; in TypeScript also through named
-    imports, ``this`` and ``new`` with full confidence, and an unknown plain name gives an ``unresolved`` node.
+    imports, ``this`` and ``new`` with full confidence, and an unknown plain name gives an ``unresolved`` node. TypeScript
+    also has extends and implements edges, and signatures and doc lines as they are written.
     """
     f = lexical.facts(files, lang)
     d = declared(f)
@@ -134,7 +135,10 @@ def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None =
         external = external.unionByName(to_calls.where("startswith(dst, 'function:unresolved#')").select(F.col("dst").alias("id"), F.lit("function").alias("kind"), F.substring_index("dst", "#", -1).alias("name"), F.substring_index("dst", "#", -1).alias("qn"), F.lit(True).alias("external")).distinct())
     n = F.count("*")
     to_calls = to_calls.where("src <> dst").groupBy("src", "dst").agg(F.when(n > 1, n).alias("cnt"), F.when(F.min("low"), True).alias("low")).withColumn("kind", F.lit("calls"))
-    e = padded(contains, EDGES).unionByName(padded(to_calls, EDGES)).unionByName(padded(imports, EDGES)).withColumn("id", edge_id(F.col("kind"), F.col("src"), F.col("dst")))
+    e = padded(contains, EDGES).unionByName(padded(to_calls, EDGES)).unionByName(padded(imports, EDGES))
+    if lang == "typescript":
+        e = e.unionByName(padded(_heritage(f, owner, d, found), EDGES))
+    e = e.withColumn("id", edge_id(F.col("kind"), F.col("src"), F.col("dst")))
     nodes = padded(d.withColumn("file", F.col("path")), NODES).unionByName(padded(external, NODES))
     problems = f.where("fact = 'problem'").select(F.col("kind").alias("severity"), F.col("name").alias("message"), F.col("path").alias("file"))
     if lang == "typescript":
@@ -143,6 +147,30 @@ def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None =
     return CodeGraph(nodes, padded(e, EDGES)), problems
 
 
+def _bound(found: DataFrame, first: DataFrame) -> DataFrame:
+    """``path, name, away, bound``: names that a file takes from another by a named import, and what they stand for there."""
+    part = F.explode(F.split(F.regexp_extract("names", r"\{([^}]*)\}", 1), ","))
+    bound = found.where("target is not null and names like '%{%'").select("path", "target", part.alias("b")).withColumn("b", F.trim("b")).where("b <> ''")
+    local = F.regexp_replace(F.substring_index("b", " as ", -1), "^type ", "")
+    bound = bound.select("path", F.col("target"), F.regexp_replace(F.substring_index("b", " as ", 1), "^type ", "").alias("far"), local.alias("name"))
+    away = first.select(F.col("path").alias("target"), F.col("name").alias("far"), F.col("dst").alias("away"))
+    return bound.join(away, ["target", "far"], "left").groupBy("path", "name").agg(F.min("away").alias("away"), F.lit(True).alias("bound"))
+
+
+def _heritage(f: DataFrame, owner: DataFrame, d: DataFrame, found: DataFrame) -> DataFrame:
+    """``kind, src, dst, line`` of extends and implements clauses, resolved in the file by qualified name, else by name, then through named imports.
+
+    A name that is neither declared nor imported (a library's type) gives no edge.
+    """
+    types = d.where("kind in ('class', 'interface')")
+    by_name = types.groupBy("path", "name").agg(F.min_by("id", "seq").alias("dst"))
+    by_qn = types.groupBy("path", F.col("qn").alias("name")).agg(F.min_by("id", "seq").alias("exact"))
+    h = f.where("fact = 'heritage'").select("path", "kind", "name", "parent", F.col("start_line").alias("line")).join(owner, ["path", "parent"])
+    h = h.join(by_qn, ["path", "name"], "left").join(by_name, ["path", "name"], "left").join(_bound(found, by_name), ["path", "name"], "left")
+    e = h.select("kind", F.col("owner").alias("src"), F.coalesce("exact", "away", "dst").alias("dst"), "line").where("src <> dst")
+    return e.groupBy("kind", "src", "dst").agg(F.min("line").alias("line"))
+
+
 def _script_calls(calls: DataFrame, d: DataFrame, found: DataFrame, first) -> DataFrame:
     """``src, dst, low``: this-methods within the owner's class; plain names in the file, then through imports."""
     methods = d.where("kind = 'method'").groupBy("path", F.col("parent").alias("cls"), "name").agg(F.min_by("id", "seq").alias("dst"))
@@ -150,11 +178,7 @@ def _script_calls(calls: DataFrame, d: DataFrame, found: DataFrame, first) -> Da
     own = calls.where("how = 'this'").join(inside, "src").join(methods, ["path", "cls", "name"]).select("src", "dst", F.lit(False).alias("low"))
     plain = calls.where("how is null or how = 'new'")
     local = plain.join(first(["function", "class"]), ["path", "name"], "left")
-    part = F.explode(F.split(F.regexp_extract("names", r"\{([^}]*)\}", 1), ","))
-    bound = found.where("target is not null and names like '%{%'").select("path", "target", part.alias("b")).withColumn("b", F.trim("b")).where("b <> ''")
-    bound = bound.select("path", F.col("target"), F.regexp_replace(F.substring_index("b", " as ", 1), "^type ", "").alias("far"), F.substring_index("b", " as ", -1).alias("name"))
-    away = first(["function", "class"]).select(F.col("path").alias("target"), F.col("name").alias("far"), F.col("dst").alias("away"))
-    bound = bound.join(away, ["target", "far"], "left").groupBy("path", "name").agg(F.first("away").alias("away"), F.lit(True).alias("bound"))
+    bound = _bound(found, first(["function", "class"]))
     r = local.join(bound, ["path", "name"], "left")
     known = r.select("src", F.coalesce("dst", "away").alias("dst"), F.lit(False).alias("low")).where("dst is not null")
     lost = r.where("dst is null and bound is null and how is null").where(~F.col("name").isin(sorted(lexical.GLOBALS)))

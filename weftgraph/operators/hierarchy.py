@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CodeGraph, edge_id, padded
+from ..schema import NODES, CodeGraph, edge_id, padded
 from ..storage import stored
 from .relational import lift_edges, parents
 
@@ -48,7 +48,7 @@ def _folder(depth: int):
 
 def _folder_nodes(paths: DataFrame) -> DataFrame:
     rows = paths.select(F.concat(F.lit("folder:"), "path").alias("id"), F.lit("folder").alias("kind"), F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("qn"))
-    return padded(rows, "id string, kind string, name string, qn string, file string, start_line int, end_line int, exported boolean, external boolean, signature string")
+    return padded(rows, NODES)
 
 
 def collapse_folders(g: CodeGraph, depth: int = 1, modules: CodeGraph | None = None) -> CodeGraph:

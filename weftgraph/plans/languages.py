@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..export.diagrams import flow_charts
 from ..frontends.flow import block_label, flow, parallel_edges, validate_flow
 from ..frontends.resolve import analyze
 from ..operators import evaluation as ev
@@ -107,6 +108,36 @@ def cfg_block_label(spark, d):
     return _flows(spark, d).where("fact = 'block'").select("name", "id", block_label(F.col("kind"), F.col("statements"), F.col("awaits")).alias("label"))
 
 
+_CHART = "flowchart TD\n" + "".join(f'  {i}{a}"{"⏳ " if w else ""}{t}"{b}\n' for i, t, w in sorted(_BLOCKS, key=lambda r: (r[0] != "entry", r[0] != "exit", r[0])) for a, b in [("([", "])") if i in ("entry", "exit") else ("[", "]")])
+_CHART += "".join(f"  {a} {'-.->' if k == 'exception' else '-->'}{f'|{n or k}|' if n or k != 'normal' else ''} {b}\n" for a, b, k, n in _FLOW)
+
+
+@query(f"SELECT 'c' || c_custkey || '.ts' AS path, 1 AS fn, '{_CHART}' AS text FROM customer")
+def export_cfg_mermaid(spark, d):
+    return flow_charts(_flows(spark, d))
+
+
+_TYPES = 'import { Shape@P@ as Next, type Mark@P@ } from "./c@P@";\n\n/** A mark. */\nexport interface Mark@K@ extends Mark@P@ { size: number; }\n\n/**\n * Shape number @K@.\n * @see none\n */\nexport class Shape@K@<T extends object = never> extends Next<Map<string, T>> implements Mark@K@, Gone {\n  size = 1;\n  /** Its area. */\n  area(scale: number, from?: string): number { return scale; }\n}\n\n// no doc\nexport const double = (x: number) => 2 * x;\n'
+_EACH_TYPE = "WITH c AS (SELECT c_custkey AS k, c_custkey + 1 AS p, c_custkey + 1 IN (SELECT c_custkey FROM customer) AS known, 'src/c' || c_custkey || '.ts#' AS f, 'src/c' || (c_custkey + 1) || '.ts#' AS g FROM customer) "
+
+
+def _typed(spark, d):
+    k, p = F.col("c_custkey").cast("string"), (F.col("c_custkey") + 1).cast("string")
+    text = F.replace(F.replace(F.lit(_TYPES), F.lit("@K@"), k), F.lit("@P@"), p)
+    return analyze(read(spark, d, "customer").select(F.concat(F.lit("src/c"), k, F.lit(".ts")).alias("path"), text.alias("text")), "typescript")[0]
+
+
+@query(_EACH_TYPE + "SELECT 'implements' AS kind, 'class:' || f || 'Shape' || k AS src, 'interface:' || f || 'Mark' || k AS dst, 10 AS line FROM c UNION ALL SELECT 'extends', 'class:' || f || 'Shape' || k, 'class:' || g || 'Shape' || p, 10 FROM c WHERE known UNION ALL SELECT 'extends', 'interface:' || f || 'Mark' || k, 'interface:' || g || 'Mark' || p, 4 FROM c WHERE known")
+def ts_heritage(spark, d):
+    return _typed(spark, d).edges.where("kind in ('extends', 'implements')").select("kind", "src", "dst", "line")
+
+
+@query(_EACH_TYPE + "SELECT 'interface:' || f || 'Mark' || k AS id, '' AS signature, 'A mark.' AS doc FROM c UNION ALL SELECT 'class:' || f || 'Shape' || k, '', 'Shape number ' || k || '.' FROM c UNION ALL SELECT 'method:' || f || 'Shape' || k || '.area', '(scale: number, from?: string): number', 'Its area.' FROM c UNION ALL SELECT 'function:' || f || 'double', '(x: number)', '' FROM c")
+def ts_signature(spark, d):
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return _typed(spark, d).nodes.where("kind <> 'module'").select("id", text("signature"), text("doc"))
+
+
 @query("SELECT path, fn, problem FROM (SELECT '' AS path, 0 AS fn, '' AS problem) WHERE path <> ''")
 def cfg_validate(spark, d):
     return validate_flow(_flows(spark, d))

@@ -328,16 +328,9 @@ def _strict(spark, d):
     return rk.mark_import_cycles(transitions(spark, d), strict=True).select("id", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
 
 
-@query("WITH l AS (SELECT c_custkey, (SELECT r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = c_nationkey) AS file, c_name, c_custkey * 100 + 50 AS line FROM customer WHERE c_custkey <= 20) SELECT file, CAST(line AS INT) AS line, 'class:' || file || '#' || c_name AS id FROM l")
-def enclosing(spark, d):
-    g = trade(spark, d)
-    lines = g.nodes.where("kind = 'class' and start_line <= 2001").select("file", (F.col("start_line") + 49).alias("line"))
-    return an.enclosing(g.nodes, lines)
-
-
 @query("WITH l AS (SELECT (SELECT r_name || '/' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = c_nationkey) AS file, c_name, c_custkey * 100 + 50 AS line FROM customer) SELECT file, CAST(line AS INT) AS line, 'class:' || file || '#' || c_name AS id FROM l")
-def enclosing_all(spark, d):
-    """As ``enclosing``, with a line in every customer's class."""
+def enclosing(spark, d):
+    """A line in every customer's class."""
     g = trade(spark, d)
     lines = g.nodes.where("kind = 'class' and start_line is not null").select("file", (F.col("start_line") + 49).alias("line"))
     return an.enclosing(g.nodes, lines)
@@ -382,20 +375,38 @@ def graph_of(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return trade(spark, sf_dir)
 
 
-@query("SELECT 'module:mods/m' || range || '.py' AS src, 'module:mods/m' || (range - 1) || '.py' AS dst FROM range(1, 50)", "python_imports")
-def _imports(spark, d):
+_PYTHON = "from pkg.c@P@ import work\n\ndef helper():\n    return 1\n\nclass C@K@:\n    def run(self):\n        return helper()\n\ndef work():\n    return helper() + helper()\n"
+_PY_EDGES = [("contains", "module:@F@", "function:@F@#helper"), ("contains", "module:@F@", "class:@F@#C@K@"), ("contains", "class:@F@#C@K@", "method:@F@#C@K@.run"), ("contains", "module:@F@", "function:@F@#work"), ("calls", "method:@F@#C@K@.run", "function:@F@#helper"), ("calls", "function:@F@#work", "function:@F@#helper")]
+_PY_SQL = "WITH c AS (SELECT 'pkg/c' || c_custkey || '.py' AS f, c_custkey AS k, c_custkey + 1 AS p, c_custkey + 1 IN (SELECT c_custkey FROM customer) AS known FROM customer) "
+_PY_IMPORT = "SELECT {}'module:' || f AS src, CASE WHEN known THEN 'module:pkg/c' || p || '.py' ELSE 'module:external:pkg.c' || p END AS dst FROM c"
+
+
+def _python(spark, d):
+    """One Python file a customer, that imports the next customer's file."""
     from ..frontends.python import analyze
-    from ..sources.files import synthetic
 
-    return analyze(synthetic(spark, 50))[0].edges.where("kind = 'imports' and dst like 'module:mods/m%'").select("src", "dst")
+    k, p = F.col("c_custkey").cast("string"), (F.col("c_custkey") + 1).cast("string")
+    text = F.replace(F.replace(F.lit(_PYTHON), F.lit("@K@"), k), F.lit("@P@"), p)
+    return analyze(read(spark, d, "customer").select(F.concat(F.lit("pkg/c"), k, F.lit(".py")).alias("path"), text.alias("text")))[0]
+
+
+@query(_PY_SQL + _PY_IMPORT.format(""), "python_imports")
+def _imports(spark, d):
+    return _python(spark, d).edges.where("kind = 'imports'").select("src", "dst")
+
+
+@query(_PY_SQL + " UNION ALL ".join([*(f"SELECT '{kind}' AS kind, replace(replace('{a}', '@F@', f), '@K@', k::VARCHAR) AS src, replace(replace('{b}', '@F@', f), '@K@', k::VARCHAR) AS dst FROM c" for kind, a, b in _PY_EDGES), _PY_IMPORT.format("'imports', ")]))
+def analyze_python(spark, d):
+    return _python(spark, d).edges.select("kind", "src", "dst")
 
 
-@query("SELECT 'contains' AS kind, 100 AS edges UNION ALL SELECT 'imports', 99 UNION ALL SELECT 'calls', 50", "gen_synthetic")
-def _synthetic(spark, d):
+@query("WITH p AS (SELECT count(*) AS n FROM part) SELECT 'contains' AS kind, 2 * n AS edges FROM p UNION ALL SELECT 'imports', 2 * n - 1 FROM p UNION ALL SELECT 'calls', n FROM p")
+def gen_synthetic(spark, d):
+    """A generated project of as many modules as there are parts; imports of one file count once."""
     from ..frontends.python import analyze
     from ..sources.files import synthetic
 
-    return analyze(synthetic(spark, 50))[0].edges.groupBy("kind").agg(F.count("*").alias("edges"))
+    return analyze(synthetic(spark, read(spark, d, "part").count()))[0].edges.groupBy("kind").agg(F.count("*").alias("edges"))
 
 
 @query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS cut FROM events), s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS b FROM g) SELECT user_id, count(*) AS saves, epoch_us(min(ts)) AS first FROM s GROUP BY user_id, b")

@@ -26,7 +26,7 @@ def dataflow_extract(spark, d):
 def _regions(spark, d) -> CodeGraph:
     """Regions as modules that import the next one: five rows, for the text exporters."""
     r = read(spark, d, "region").select("r_regionkey", F.col("r_name").alias("name"))
-    nodes = r.select(F.concat(F.lit("module:"), "name").alias("id"), F.lit("module").alias("kind"), "name", F.col("name").alias("qn"), F.col("name").alias("file"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(None).cast("boolean").alias("exported"), F.lit(None).cast("boolean").alias("external"), F.lit(None).cast("string").alias("signature"))
+    nodes = r.select(F.concat(F.lit("module:"), "name").alias("id"), F.lit("module").alias("kind"), "name", F.col("name").alias("qn"), F.col("name").alias("file"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(None).cast("boolean").alias("exported"), F.lit(None).cast("boolean").alias("external"), *[F.lit(None).cast("string").alias(c) for c in ("signature", "doc")])
     to = r.select((F.col("r_regionkey") - 1).alias("r_regionkey"), F.col("name").alias("to"))
     e = r.join(to, "r_regionkey").select(F.concat(F.lit("imports:module:"), "name", F.lit("->module:"), "to").alias("id"), F.lit("imports").alias("kind"), F.concat(F.lit("module:"), "name").alias("src"), F.concat(F.lit("module:"), "to").alias("dst"), *[F.lit(None).cast(t).alias(c) for c, t in (("line", "int"), ("cnt", "long"), ("type_only", "boolean"), ("low", "boolean"), ("in_cycle", "boolean"))])
     return CodeGraph(nodes, e)

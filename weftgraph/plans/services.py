@@ -119,12 +119,6 @@ def variable_blocks(spark, d):
     return hit.select(F.col("path").cast("long").alias("k"), "variable", "access")
 
 
-@query("SELECT count(*) - 1 AS blocks FROM (VALUES (1), (2), (3)) AS v(x)")
-def export_cfg_mermaid(spark, d):
-    one = fl.flow(_dead(spark, d).limit(1).withColumn("path", F.lit("a.ts")))
-    return spark.createDataFrame([(dg.flow_mermaid(one, "a.ts", 1).count("(["),)], "blocks long")
-
-
 @query("SELECT conv_id * 1000 + turn AS run, CAST(turn AS BIGINT) AS input_tokens, CASE WHEN turn % 2 = 0 THEN CAST(length(text) AS BIGINT) END AS output_tokens, CAST(turn + CASE WHEN turn % 2 = 0 THEN length(text) ELSE 0 END AS BIGINT) AS total_tokens, CAST(1 AS BIGINT) AS tool_calls, text AS answer FROM conversations WHERE text IS NOT NULL")
 def read_transcripts(spark, d):
     usage = F.struct(F.col("turn").alias("input_tokens"), F.when(F.col("turn") % 2 == 0, F.length("text")).alias("output_tokens"))

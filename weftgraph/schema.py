@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "id string, kind string, name string, qn string, file string, start_line int, end_line int, exported boolean, external boolean, signature string"
+NODES = "id string, kind string, name string, qn string, file string, start_line int, end_line int, exported boolean, external boolean, signature string, doc string"
 EDGES = "id string, kind string, src string, dst string, line int, cnt bigint, type_only boolean, low boolean, in_cycle boolean"
 FILES = "path string, text string"
 DIAGNOSTICS = "severity string, message string, file string"
