@@ -5,7 +5,10 @@ import random
 import re
 import struct
 
-from weftgraph.llm import bpe, decontam, exact_dedup, ngram_join, pii, quality, secret_scan, url_filter, warc
+import duckdb
+import pandas as pd
+
+from weftgraph.llm import bpe, decontam, exact_dedup, ngram_join, oracles, pii, quality, secret_scan, url_filter, warc
 
 from .test_operators import docs
 
@@ -161,6 +164,22 @@ def test_url_filter_against_brute_force_propagation(spark):
     assert url_filter.url_filter(d.limit(0)).count() == 0
 
 
+def test_url_filter_sql_follows_all_links(spark):
+    """Several links in a page, of every form; the registered SQL gives the same rows."""
+    rnd = random.Random(9)
+    hosts = ["A.com", "b.com", "bad.net", "c.org", "example.net", "x.Example.com"]
+    urls = [f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'fr', 'de'])}/{k % 9}{rnd.choice(['', '?q=1&r=2', '#f'])}" for k in range(80)]
+    refs = [*rnd.sample(urls, 12), "//b.com/en/1", "/fr/3", "2", "http://none", "x?q=1&amp;r=2", ""]
+    forms = ['<link rel="canonical" href="{}">', "<LINK href={} rel=canonical>", '<meta http-equiv="Refresh" content="0; URL={}">']
+    page = lambda: "".join(rnd.choice(forms).format(rnd.choice(refs)) for _ in range(rnd.choice([0, 0, 1, 2])))
+    rows = [(k, u, page()) for k, u in enumerate(urls)] + [(90, None, forms[0].format(urls[0])), (91, "b.com", forms[0].format(urls[0])), (92, urls[0], None), (93, "http://two.com/", forms[0].format("http://b.com/z") + forms[0].format("http://bad.net/z"))]
+    got = {r["__id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    assert got == {r[0]: r[1:] for r in con.execute(oracles.ORACLES["op1_url_filter"]).fetchall()}
+    assert got[93][2:] == (None, "block") and len({v[2:] for v in got.values()}) > 3
+
+
 def test_warc_empty_and_null_ids(spark):
     d = spark.createDataFrame([(None, "u", "x"), (3, None, "y" * 3000), (4, None, "y" * 3000)], "page_id long, url string, html string").selectExpr("*", "1 AS __uri", "2 AS __k")
     got = {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(d).collect()}

@@ -4,20 +4,46 @@ from __future__ import annotations
 
 from . import secret_scan
 
-OP1 = r"""
-WITH p AS (
-  SELECT page_id, url,
-    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages
-), r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-own AS (
-  SELECT p.*, (SELECT max_by(h || r.p, length(h || r.p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p)) AS rule
-  FROM p
-), k AS (
-  SELECT page_id, regexp_replace(translate(regexp_extract(url, '(?s)^(.*?://[^/?#]*)([^#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '(?s)^(.*?://[^/?#]*)([^#]*)', 2), '^$', '') AS u FROM pages
-)
-SELECT page_id, host, path, rule, coalesce((SELECT v FROM r WHERE h || r.p = rule), 'allow') AS verdict FROM own
+def _lowered(x: str) -> str:
+    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _host(x: str) -> str:
+    return "coalesce(" + _lowered(rf"regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1)") + ", '')"
+
+
+def _path(x: str) -> str:
+    return rf"coalesce(regexp_extract({x}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _key(x: str) -> str:
+    parts = r"'(?s)^(.*?://[^/?#]*)([^#]*)'"
+    return f"CASE WHEN contains({x}, '://') THEN {_lowered(f'regexp_extract({x}, {parts}, 1)')} || regexp_extract({x}, {parts}, 2) END"
+
+
+_RULE = "(SELECT max_by(h || r.p, length(h || r.p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p))"
+
+#: Components by the closure of the links.
+OP1 = rf"""
+WITH RECURSIVE r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+page AS (SELECT page_id, url, html, {_host("url")} AS host, {_path("url")} AS path, {_key("url")} AS u FROM pages),
+own AS (SELECT page_id, host, path, u, {_RULE} AS rule FROM page),
+found AS (
+  SELECT url, u AS src, trim(replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))), '&amp;', '&')) AS ref,
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1) AS folder
+  FROM page WHERE u IS NOT NULL AND html IS NOT NULL
+), target AS (
+  SELECT src, CASE WHEN contains(ref, '://') THEN ref WHEN starts_with(ref, '//') THEN regexp_extract(url, '(?s)^(.*?):', 1) || ':' || ref WHEN starts_with(ref, '/') THEN root || ref
+    WHEN ends_with(folder, '/') AND folder <> regexp_extract(url, '(?s)^(.*?://)', 1) THEN folder || ref ELSE root || '/' || ref END AS t
+  FROM found WHERE ref <> ''
+), link AS (SELECT src, dst FROM (SELECT src, {_key("t")} AS dst FROM target) WHERE src <> dst),
+edge AS (SELECT src, dst FROM link UNION SELECT dst, src FROM link),
+reach(a, b) AS (SELECT src, src FROM edge UNION SELECT a, dst FROM reach JOIN edge ON b = src),
+node AS (SELECT b, {_host("b")} AS host, {_path("b")} AS path FROM (SELECT DISTINCT b FROM reach)),
+blocked AS (SELECT DISTINCT a FROM reach WHERE b IN (SELECT b FROM (SELECT b, {_RULE} AS rule FROM node) AS n JOIN r ON h || r.p = n.rule WHERE v = 'block'))
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN (SELECT v FROM r WHERE h || r.p = rule) WHEN u IN (SELECT a FROM blocked) THEN 'block' ELSE 'allow' END AS verdict FROM own
 """
 
 OP3 = r"""

@@ -77,13 +77,12 @@ def _absolute(base: Column, ref: Column) -> Column:
 
 
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(src, dst)`` url keys: canonical links and meta refreshes of the pages."""
+    """``(src, dst)`` url keys: all canonical links and meta refreshes of the pages."""
     found = pages.where(F.col(url).isNotNull() & F.rlike(F.col(html), F.lit(r"(?i)canonical|http-equiv")))
-    link = F.regexp_extract(F.col(html), r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    meta = F.regexp_extract(F.col(html), r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    both = found.select(F.col(url).alias("__u"), F.explode(F.array(href, to)).alias("__r"))
+    tags = lambda pattern, ref: F.transform(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(0)), lambda t: F.regexp_extract(t, ref, 1))
+    href = tags(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    to = tags(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    both = found.select(F.col(url).alias("__u"), F.explode(F.concat(href, to)).alias("__r"))
     return both.select(url_key(F.col("__u")).alias("src"), url_key(_absolute(F.col("__u"), F.col("__r"))).alias("dst")).where("src is not null and dst is not null and src <> dst")
 
 
