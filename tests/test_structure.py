@@ -79,3 +79,14 @@ def test_what_is_a_test_file(spark):
     paths = ["src/test/a.ts", "src/tests/a.ts", "a/test_.py", "a/test_x.py", "a/_test.py", "a/x_test.py", "a.spec.ts"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(tx.is_test_file(tx.F.col("p")).alias("v")).collect()
     assert [r["v"] for r in got] == [False, True, False, True, False, True, True]
+
+
+def test_nested_exports_of_any_containment():
+    from weftgraph.export.text import _nested
+
+    nodes = [{"id": i} for i in "abcdefg"]
+    holds = lambda *pairs: [{"kind": "contains", "src": s, "dst": t} for s, t in pairs]
+    got = lambda edges: " ".join(f"{len(pad) // 2}{n['id']}{step[0]}" for pad, n, step in _nested(nodes, edges))
+    assert got([]) == "1al 1bl 1cl 1dl 1el 1fl 1gl"
+    # b is held twice, c and d hold each other, e holds itself, x isn't a node
+    assert got(holds(("a", "b"), ("f", "b"), ("c", "d"), ("d", "c"), ("e", "e"), ("x", "g"), ("b", "g"))) == "1ao 2bo 3gl 2bc 1ac 1el 1fl 1co 2dl 1cc"

@@ -32,19 +32,55 @@ def _regions(spark, d) -> CodeGraph:
     return CodeGraph(nodes, e)
 
 
-def _export(key: str, run, match: str) -> None:
-    """How many edges an export of the regions has."""
+def _places(spark, d) -> CodeGraph:
+    """Regions as folders that contain their nations, modules that import the next one."""
+    r = read(spark, d, "region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("folder"))
+    n = read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    no = lambda *typed: [F.lit(None).cast(t).alias(c) for c, t in typed]
+    rest = no(("exported", "boolean"), ("external", "boolean"), ("signature", "string"), ("doc", "string"))
+    folders = r.select(F.concat(F.lit("folder:"), "folder").alias("id"), F.lit("folder").alias("kind"), F.col("folder").alias("name"), F.col("folder").alias("qn"), *no(("file", "string"), ("start_line", "int"), ("end_line", "int")), *rest)
+    modules = n.select(F.concat(F.lit("module:"), "name").alias("id"), F.lit("module").alias("kind"), "name", F.col("name").alias("qn"), F.col("name").alias("file"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), *rest)
+    holds = n.join(r, "region").select(F.lit("contains").alias("kind"), F.concat(F.lit("folder:"), "folder").alias("src"), F.concat(F.lit("module:"), "name").alias("dst"))
+    to = n.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("name").alias("to"))
+    uses = n.join(to, "n_nationkey").select(F.lit("imports").alias("kind"), F.concat(F.lit("module:"), "name").alias("src"), F.concat(F.lit("module:"), "to").alias("dst"))
+    edges = holds.unionByName(uses).select(F.concat("kind", F.lit(":"), "src", F.lit("->"), "dst").alias("id"), "kind", "src", "dst", *no(("line", "int"), ("cnt", "long"), ("type_only", "boolean"), ("low", "boolean"), ("in_cycle", "boolean")))
+    return CodeGraph(folders.unionByName(modules), edges)
+
+
+PLACES = r"""WITH f AS (SELECT r_regionkey AS region, 'folder:' || r_name AS id, r_name AS name, regexp_replace('folder:' || r_name, '[^A-Za-z0-9]', '_', 'g') AS n FROM region),
+m AS (SELECT n_nationkey AS k, n_regionkey AS region, 'module:' || n_name AS id, n_name AS name, regexp_replace('module:' || n_name, '[^A-Za-z0-9]', '_', 'g') AS n FROM nation),
+u AS (SELECT a.id AS src, b.id AS dst, a.n AS sn, b.n AS dn, 'imports:' || a.id || '->' || b.id AS id FROM m a JOIN m b ON b.k = a.k + 1),
+"""
+
+
+def _export(key: str, run, inner: str, outer: str, edge: str, text: str) -> None:
+    """The whole text of an export of the regions and nations. ``inner``: a nation's lines, ``outer``: a region's around ``held``."""
 
     def f(spark, d):
-        return spark.createDataFrame([(sum(match in line for line in run(_regions(spark, d)).splitlines()),)], "edges long")
+        return spark.createDataFrame([(run(_places(spark, d)),)], "text string")
 
-    query("SELECT count(*) - 1 AS edges FROM region", key)(f)
+    held = f"h AS (SELECT region, string_agg({inner}, '' ORDER BY id) AS held FROM m GROUP BY region), b AS (SELECT string_agg({outer}, '' ORDER BY f.id) AS boxes FROM f JOIN h USING (region)), l AS (SELECT string_agg({edge}, '' ORDER BY id) AS links FROM u)"
+    query(f"{PLACES}{held} SELECT replace({text}, '~', chr(10)) AS text FROM b, l", key)(f)
 
 
-_export("export_json", ex.to_json, '"id": "imports:')
-_export("export_mermaid", ex.to_mermaid, "imports")
-_export("export_dot", ex.to_dot, "->")
-_export("export_plantuml", ex.to_plantuml, "imports")
+_export("export_mermaid", ex.to_mermaid, """'    ' || n || '["' || name || '"]~'""", """'  subgraph ' || n || '["' || name || '"]~' || held || '  end~'""", "'  ' || sn || ' -.->|imports| ' || dn || '~'", "'flowchart LR~' || boxes || links")
+_export("export_dot", ex.to_dot, """'    "' || id || '" [label="' || name || '", tooltip="module"];~'""", """'  subgraph "cluster_' || f.id || '" {~    label="' || name || '";~    "' || f.id || '" [label="' || name || '", tooltip="folder"];~' || held || '  }~'""", """'  "' || src || '" -> "' || dst || '" [label="imports"];~'""", "'digraph G {~' || boxes || links || '}~'")
+_export("export_plantuml", ex.to_plantuml, """'  component "' || name || '" as ' || n || '~'""", """'package "' || name || '" as ' || n || ' {~' || held || '}~'""", "sn || ' ..> ' || dn || ' : imports~'", "'@startuml~' || boxes || links || '@enduml~'")
+
+
+def export_json(spark, d):
+    return spark.createDataFrame([(ex.to_json(_places(spark, d)),)], "text string")
+
+
+_OBJECT = "'    {{~      ' || array_to_string([{0}], ',~      ') || '~    }}'"
+_FIELD = """'"{0}": "' || {1} || '"'"""
+_LINK = _OBJECT.format(", ".join(_FIELD.format(k, v) for k, v in (("from", "src"), ("id", "id"), ("kind", "kind"), ("to", "dst"))))
+_NODE = _OBJECT.format(", ".join(_FIELD.format(k, v) for k, v in (("id", "id"), ("kind", "kind"), ("name", "name"), ("qualifiedName", "name"))) + ", span")
+_SPAN = """'"span": {~        "endLine": 1,~        "file": "' || name || '",~        "startLine": 1~      }'"""
+query(f"""{PLACES} e AS (SELECT 'contains:' || f.id || '->' || m.id AS id, 'contains' AS kind, f.id AS src, m.id AS dst FROM f JOIN m USING (region) UNION ALL SELECT id, 'imports', src, dst FROM u),
+x AS (SELECT id, 'folder' AS kind, name, NULL AS span FROM f UNION ALL SELECT id, 'module', name, {_SPAN} FROM m),
+t AS (SELECT (SELECT string_agg({_LINK}, ',~' ORDER BY id) FROM e) AS links, (SELECT string_agg({_NODE}, ',~' ORDER BY id) FROM x) AS boxes)
+SELECT replace('{{~  "edges": [~' || links || '~  ],~  "nodes": [~' || boxes || '~  ],~  "schemaVersion": 1~}}~', '~', chr(10)) AS text FROM t""", "export_json")(export_json)
 
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 3.7) AS BIGINT) AS tokens FROM documents")

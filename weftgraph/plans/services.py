@@ -97,8 +97,18 @@ def _types(spark, d) -> CodeGraph:
     return CodeGraph(g.nodes.withColumn("kind", F.lit("class")), g.edges.withColumn("kind", F.lit("extends")))
 
 
-query("SELECT count(*) - 1 AS found FROM region", "export_mermaid_class")(lambda spark, d: spark.createDataFrame([(dg.to_mermaid_class(_types(spark, d)).count("<|--"),)], "found long"))
-query("SELECT count(*) AS found FROM region", "export_plantuml_class")(lambda spark, d: spark.createDataFrame([(dg.to_plantuml_class(_types(spark, d)).count("class "),)], "found long"))
+_CLASSES = r"""WITH c AS (SELECT r_regionkey AS k, r_name AS name, 'module:' || r_name AS id, regexp_replace('module:' || r_name, '[^A-Za-z0-9]', '_', 'g') AS n FROM region),
+u AS (SELECT b.n || ' <|-- ' || a.n || '~' AS line, a.id AS id FROM c a JOIN c b ON b.k = a.k + 1)"""
+
+
+def _class_export(key: str, run, box: str, pad: str, begin: str, end: str) -> None:
+    """The whole text of a class export; edge ids begin with the extending class's."""
+    text = f"'{begin}~' || (SELECT string_agg({box}, '' ORDER BY id) FROM c) || (SELECT string_agg('{pad}' || line, '' ORDER BY id) FROM u) || '{end}'"
+    query(f"{_CLASSES} SELECT replace({text}, '~', chr(10)) AS text", key)(lambda spark, d: spark.createDataFrame([(run(_types(spark, d)),)], "text string"))
+
+
+_class_export("export_mermaid_class", dg.to_mermaid_class, """'  class ' || n || '["' || name || '"] {~  }~'""", "  ", "classDiagram", "")
+_class_export("export_plantuml_class", dg.to_plantuml_class, """'class "' || name || '" as ' || n || ' {~}~'""", "", "@startuml", "@enduml~")
 
 _DEAD = "function f(a) {\n  let n = a;\n  return n;\n  n = 2;\n}\n"
 
