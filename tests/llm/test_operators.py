@@ -191,6 +191,23 @@ def test_ngram_join_against_brute_force(spark, monkeypatch):
         assert got == {i: (len(sets[i]), root(i)) for i in parent}
 
 
+def test_rarity_levels_leave_out_what_others_add():
+    """A large input puts some 1400 other shingles into each cell; frequent shingles must still stand out."""
+    np = ngram_join.np
+    counts = np.random.default_rng(5).poisson(1400, 1 << 14)
+    counts[:20] += 1000
+    lv = ngram_join.level(counts).astype(float)
+    assert np.median(np.exp2(lv / 8) - 1) < 5 and lv[:20].min() > lv[20:].max() and ngram_join.level(np.array([0, 0, 0, 1, 2])).tolist() == [0, 0, 0, 8, 13]
+
+
+def test_sketch_counts_all_documents(spark, monkeypatch):
+    """Sums over tasks are exact up to the cap of a cell, with a fixed number of cells."""
+    texts = [(k, "a b c d e" if k % 2 else f"w{k} x{k} y{k} z{k} v{k}") for k in range(400)]
+    lv = ngram_join._levels(ngram_join._signatures(docs(spark, texts).repartition(8), "doc_id", "text"))
+    at = lambda t: lv[int(ngram_join.shingles(t)[0]) >> (64 - ngram_join.SKETCH_BITS)]
+    assert len(lv) == 1 << ngram_join.SKETCH_BITS and at(b"a b c d e") == round(8 * math.log2(201)) and at(b"w2 x2 y2 z2 v2") == 8
+
+
 def test_block_comparison_is_exact():
     rnd = random.Random(7)
     np = ngram_join.np

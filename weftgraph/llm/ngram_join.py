@@ -5,7 +5,8 @@ one row per document with its component, found without listing the pairs inside
 
 1. Classes. Texts with the same set are one class (128-bit key), so copies cost one row each and are never paired.
 2. Order. A fixed-size sketch of shingle counts over all documents (``2**SKETCH_BITS`` cells whatever the input) gives a
-   rarity order that all tasks share. An estimate that is off changes work, never results: any common order is right.
+   rarity order that all tasks share. An estimate that is off changes work, never results: any common order is right. What
+   other shingles add to a cell on the median is taken off, as it grows with the input and would hide what is frequent.
 3. Adaptive prefixes. Sets that link share at least l shingles of their l-prefixes (the first ``n - ceil(0.75 n) + l`` in
    the order). Each class takes the l of least estimated cost: longer prefixes cost postings, but candidates must then
    share more of them. Two classes are candidates if they share ``min(l, l')`` prefix shingles.
@@ -50,8 +51,10 @@ SHINGLE = 5
 #: Sets link when OVER times the intersection reaches UNDER times the union.
 OVER, UNDER = 4, 3
 
-SKETCH_BITS = 20
+SKETCH_BITS = 24
 SLOT_BITS = 10
+#: A task's count of a cell stops here.
+MOST = 50000
 #: The longest multi-match prefix tried, and what verifying one candidate costs in postings read.
 MAX_L, VERIFY_COST = 4, 8
 #: Pivots that a class of a long run is tried against before the exact rest.
@@ -120,8 +123,9 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of documents (slot null) and, per task, of the sketch (slot set)."""
 
     def run(batches):
-        cells = np.zeros(1 << SKETCH_BITS, np.int64)
-        some = False
+        import zstandard
+
+        cells = None
         for b in batches:
             n, k1, k2, all_sets = [], [], [], []
             for text in _raw(b.column("__text")):
@@ -132,32 +136,44 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 k2.append(key[1])
                 all_sets.append(s)
             if sum(n):
-                some = True
-                cells += np.bincount((np.concatenate(all_sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                cells = np.zeros(1 << SKETCH_BITS, np.uint16) if cells is None else cells
+                at = (np.concatenate(all_sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                for k in range(0, len(at), MOST // 4):
+                    part = at[k : k + MOST // 4]  # adds less than what is left above MOST
+                    np.add.at(cells, part, 1)
+                    cells[part] = np.minimum(cells[part], MOST)
             m = len(n)
-            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "slot", "cells"])
-        if some:
-            parts = cells.reshape(1 << SLOT_BITS, -1)
-            m = len(parts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * parts.shape[1], pa.int32()), pa.array(cells))
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.array(np.arange(m), pa.int32()), lists], names=["id", "n", "k1", "k2", "slot", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=["id", "n", "k1", "k2", "slot", "cells"])
+        if cells is not None:
+            z = zstandard.ZstdCompressor(level=1)  # most cells are 0 or 1
+            packed = [z.compress(part.tobytes()) for part in cells.reshape(1 << SLOT_BITS, -1)]
+            m = len(packed)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 4 + [pa.array(np.arange(m), pa.int32()), pa.array(packed, pa.binary())], names=["id", "n", "k1", "k2", "slot", "cells"])
 
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    return src.mapInArrow(lambda b: trimmed(run(b)), "id long, n long, k1 long, k2 long, slot int, cells array<long>")
+    return src.mapInArrow(lambda b: trimmed(run(b)), "id long, n long, k1 long, k2 long, slot int, cells binary")
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts of cells less what the median cell has, on a log scale; a cell that is met counts 1 at least."""
+    own = np.maximum(counts - int(np.median(counts)), np.minimum(counts, 1))
+    return np.minimum(255, np.rint(8 * np.log2(1 + own))).astype(np.uint8)
 
 
 def _levels(sig: DataFrame) -> np.ndarray:
     """The summed sketch on a log scale: one byte a cell, of a fixed number of cells."""
 
     def add(batches):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for slot, cells in zip(b.column("slot").to_pylist(), b.column("cells"), strict=True):
-                c = cells.values.to_numpy()
-                total[slot] = total[slot] + c if slot in total else c.copy()
+            for slot, cells in zip(b.column("slot").to_pylist(), b.column("cells").to_pylist(), strict=True):
+                c = np.frombuffer(z.decompress(cells), np.uint16)
+                total[slot] = total[slot] + c if slot in total else c.astype(np.int64)
         if total:
-            lv = [np.minimum(255, np.rint(8 * np.log2(1 + c))).astype(np.uint8).tobytes() for c in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(lv, pa.binary())], names=["slot", "levels"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([level(c).tobytes() for c in total.values()], pa.binary())], names=["slot", "levels"])
 
     width = (1 << SKETCH_BITS) >> SLOT_BITS
     out = np.zeros((1 << SLOT_BITS, width), np.uint8)
@@ -404,6 +420,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialise(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "join-classes")
     levels = spark.sparkContext.broadcast(_levels(sig))  # 2**SKETCH_BITS bytes
     runs = materialise(_runs(_postings(docs, text_col, levels)), "join-runs")
+    levels.unpersist()
     known = classes.where("rep is not null")
     keys = known.select("k1", "k2", "rep")
     links, labels = None, None
