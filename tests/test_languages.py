@@ -1,8 +1,9 @@
 """The lexical front-ends and import resolution on small programs."""
 
+import pyarrow as pa
 import pytest
 
-from weftgraph.frontends.lexical import LANGUAGES, facts_of
+from weftgraph.frontends.lexical import LANGUAGES, arrow, facts, facts_of
 from weftgraph.frontends.resolve import analyze
 from weftgraph.operators import relational as rl
 
@@ -113,3 +114,23 @@ def test_heritage_prefers_the_import_and_skips_unknown_names(spark):
         ("implements", "class:a.ts#A", "interface:a.ts#Local", 2),
         ("implements", "class:a.ts#A", "interface:b.ts#Mark", 2),
     ]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("lang, text", [("java", "class A {\n int f() { return g(); }\n int g() { return 1; }\n}\n"), ("csharp", "class A {\n int F() => G();\n int G() => 1;\n}\n"), ("rust", "struct A;\nimpl A { fn f() { g() } fn g() {} }\n"), ("typescript", "class B {}\nclass A extends B { f(): void { this.g(); } g(): void {} }\n")])
+def test_files_are_read_by_one_pass_and_nothing_is_broadcast(spark, lang, text):
+    """Facts outgrow the estimates of Spark, and a pass again for each use costs most of the time."""
+    g, _ = analyze(spark.createDataFrame([(f"p/f{k}.x", text) for k in range(3)], "path string, text string"), lang)
+    for df in (g.nodes, g.edges):
+        assert "MapInArrow" not in _plan(df) and "Broadcast" not in _plan(df)
+    assert g.edges.where("kind = 'calls'").count() == 3 and g.edges.where("kind = 'extends'").count() == 3 * (lang == "typescript")
+
+
+def test_a_small_file_is_spread_and_rows_come_in_batches(spark):
+    files = spark.createDataFrame([(f"f{k}.java", "class A {}") for k in range(5000)], "path string, text string").coalesce(1)
+    assert facts(files, "java").rdd.getNumPartitions() == 4
+    sizes = [b.num_rows for b in arrow(files.toArrow().to_batches(), lambda p, t: [(p, t)] * 2, "path string, text string", [pa.string()] * 2)]
+    assert sum(sizes) == 10000 and min(sizes[:-1]) >= 4096 and len(sizes) == 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..schema import EDGES, NODES, CodeGraph, edge_id, padded
+from ..storage import dealt, stored
 from . import lexical
 
 # Extensions in order of preference.
@@ -27,7 +28,7 @@ def folder(path: Column) -> Column:
 
 def _first(tries: DataFrame, files: DataFrame) -> DataFrame:
     """``path, spec, target``: the first candidate of an import that is a file, and not the importing one."""
-    hit = tries.join(files.select(F.col("path").alias("target")), "target").where("target <> path")
+    hit = tries.join(dealt(files.select(F.col("path").alias("target"))), "target").where("target <> path")
     return hit.groupBy("path", "spec").agg(F.min_by("target", "pos").alias("target"))
 
 
@@ -65,7 +66,7 @@ def java_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     wanted = F.concat(F.replace("spec", F.lit("."), F.lit("/")), F.lit(".java"))
     parts = F.split("path", "/")
     ends = files.select(F.col("path").alias("target"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("wanted"))
-    hit = imports.where("not endswith(spec, '.*')").withColumn("wanted", wanted).join(ends, "wanted").where("target <> path")
+    hit = imports.where("not endswith(spec, '.*')").withColumn("wanted", wanted).join(dealt(ends), "wanted").where("target <> path")
     return hit.groupBy("path", "spec").agg(F.min_by("target", F.struct(F.col("target") != F.col("wanted"), F.length("target"), F.col("target"))).alias("target"))
 
 
@@ -101,12 +102,13 @@ def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None =
 
     Calls: by name within the file to the first callable, with low confidence; in TypeScript also through named
     imports, ``this`` and ``new`` with full confidence, and an unknown plain name gives an ``unresolved`` node. TypeScript
-    also has extends and implements edges, and signatures and doc lines as they are written.
+    also has extends and implements edges, and signatures and doc lines as they are written. The files are read by one
+    pass whose facts are stored, and the joins deal out both sides.
     """
-    f = lexical.facts(files, lang)
-    d = declared(f)
+    f = stored(lexical.facts(files, lang), "facts")
+    d = stored(declared(f), "declared")
     module = F.concat(F.lit("module:"), "path")
-    owner = d.select("path", F.col("seq").alias("parent"), F.col("id").alias("owner"))
+    owner = dealt(d.select("path", F.col("seq").alias("parent"), F.col("id").alias("owner")))
     contains = d.where("kind <> 'module'").join(owner, ["path", "parent"], "left").select(F.lit("contains").alias("kind"), F.coalesce("owner", module).alias("src"), F.col("id").alias("dst"))
 
     raw = f.where("fact = 'import'").select("path", F.col("name").alias("spec"), (F.col("kind") == "type").alias("type"), F.col("qn").alias("names"))
@@ -119,7 +121,7 @@ def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None =
         outside = F.when(F.rlike("spec", F.lit(r"^\.")), F.col("spec")).otherwise(F.regexp_extract("spec", "^(@[^/]+/[^/]+|[^/]*)", 1))
     if lang == "java":
         outside = F.regexp_replace("spec", r"\.\*$", "")
-    found = raw.join(known, ["path", "spec"], "left")
+    found = raw.join(dealt(known), ["path", "spec"], "left")
     to = F.coalesce(F.concat(F.lit("module:"), "target"), F.concat(F.lit("module:external:"), outside))
     found = found.select("path", "spec", "names", "target", module.alias("src"), to.alias("dst"), F.coalesce("type", F.lit(False)).alias("type")).where("src <> dst")
     imports = found.groupBy("src", "dst").agg(F.when(F.min("type"), True).alias("type_only")).withColumn("kind", F.lit("imports"))
@@ -127,7 +129,7 @@ def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None =
 
     calls = f.where("fact = 'call'").select("path", F.col("kind").alias("how"), "name", "parent").join(owner, ["path", "parent"], "left").withColumn("src", F.coalesce("owner", module))
     kinds = ["function", "method"] if lang != "typescript" else ["function", "class"]
-    first = lambda want: d.where(F.col("kind").isin(want)).groupBy("path", "name").agg(F.min_by("id", "seq").alias("dst"))
+    first = lambda want: dealt(d.where(F.col("kind").isin(want)).groupBy("path", "name").agg(F.min_by("id", "seq").alias("dst")))
     if lang != "typescript":
         to_calls = calls.join(first(kinds), ["path", "name"]).select("src", "dst", F.lit(True).alias("low"))
     else:
@@ -154,7 +156,7 @@ def _bound(found: DataFrame, first: DataFrame) -> DataFrame:
     local = F.regexp_replace(F.substring_index("b", " as ", -1), "^type ", "")
     bound = bound.select("path", F.col("target"), F.regexp_replace(F.substring_index("b", " as ", 1), "^type ", "").alias("far"), local.alias("name"))
     away = first.select(F.col("path").alias("target"), F.col("name").alias("far"), F.col("dst").alias("away"))
-    return bound.join(away, ["target", "far"], "left").groupBy("path", "name").agg(F.min("away").alias("away"), F.lit(True).alias("bound"))
+    return bound.join(dealt(away), ["target", "far"], "left").groupBy("path", "name").agg(F.min("away").alias("away"), F.lit(True).alias("bound"))
 
 
 def _heritage(f: DataFrame, owner: DataFrame, d: DataFrame, found: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def _heritage(f: DataFrame, owner: DataFrame, d: DataFrame, found: DataFrame) ->
     by_name = types.groupBy("path", "name").agg(F.min_by("id", "seq").alias("dst"))
     by_qn = types.groupBy("path", F.col("qn").alias("name")).agg(F.min_by("id", "seq").alias("exact"))
     h = f.where("fact = 'heritage'").select("path", "kind", "name", "parent", F.col("start_line").alias("line")).join(owner, ["path", "parent"])
-    h = h.join(by_qn, ["path", "name"], "left").join(by_name, ["path", "name"], "left").join(_bound(found, by_name), ["path", "name"], "left")
+    h = h.join(dealt(by_qn), ["path", "name"], "left").join(dealt(by_name), ["path", "name"], "left").join(dealt(_bound(found, by_name)), ["path", "name"], "left")
     e = h.select("kind", F.col("owner").alias("src"), F.coalesce("exact", "away", "dst").alias("dst"), "line").where("src <> dst")
     return e.groupBy("kind", "src", "dst").agg(F.min("line").alias("line"))
 
@@ -175,11 +177,11 @@ def _script_calls(calls: DataFrame, d: DataFrame, found: DataFrame, first) -> Da
     """``src, dst, low``: this-methods within the owner's class; plain names in the file, then through imports."""
     methods = d.where("kind = 'method'").groupBy("path", F.col("parent").alias("cls"), "name").agg(F.min_by("id", "seq").alias("dst"))
     inside = d.select(F.col("id").alias("src"), F.col("parent").alias("cls"))
-    own = calls.where("how = 'this'").join(inside, "src").join(methods, ["path", "cls", "name"]).select("src", "dst", F.lit(False).alias("low"))
+    own = calls.where("how = 'this'").join(dealt(inside), "src").join(dealt(methods), ["path", "cls", "name"]).select("src", "dst", F.lit(False).alias("low"))
     plain = calls.where("how is null or how = 'new'")
     local = plain.join(first(["function", "class"]), ["path", "name"], "left")
     bound = _bound(found, first(["function", "class"]))
-    r = local.join(bound, ["path", "name"], "left")
+    r = local.join(dealt(bound), ["path", "name"], "left")
     known = r.select("src", F.coalesce("dst", "away").alias("dst"), F.lit(False).alias("low")).where("dst is not null")
     lost = r.where("dst is null and bound is null and how is null").where(~F.col("name").isin(sorted(lexical.GLOBALS)))
     return own.unionByName(known).unionByName(lost.select("src", F.concat(F.lit("function:unresolved#"), "name").alias("dst"), F.lit(True).alias("low")))

@@ -24,3 +24,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast: what a Python pass makes of a small table is far larger than Spark's estimate."""
+    return df.hint("merge")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows for a Python pass that costs much a row: dealt by a key, as a small file would be read by a task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
