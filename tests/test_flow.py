@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftgraph.frontends.flow import block_label, flow, flow_of, parallel_edges, validate_flow
+from weftgraph.frontends.flow import block_label, dead_blocks, flow, flow_of, parallel_edges, validate_flow
 
 SHORT = {"normal": "n", "true": "t", "false": "f", "back": "b", "case": "c", "exception": "x", "finally": "y"}
 
@@ -61,3 +61,18 @@ def test_dataflow():
     }
     for bad in (None, "", "function f( {", "const", "for (let", "(a) =>", "let {a", "catch ("):
         list(sites_of("m.ts", bad))
+
+
+def test_validation_reads_the_files_once(spark):
+    files = spark.createDataFrame([("a.ts", "function f(a) { if (a) return 1; }\n")], "path string, text string")
+    out = validate_flow(flow(files))
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "Broadcast" not in plan and out.count() == 0
+
+
+def test_dead_blocks_of_a_deep_function(spark):
+    """One pass, without a join for each level of the deepest function."""
+    deep = "function f(a) {\n" + "  if (a) { g(); }\n" * 200 + "  return 1;\n  lost();\n}\nfunction whole() {}\n"
+    files = spark.createDataFrame([("a.ts", deep), ("b.ts", "function h() { for (;;) { x(); } y(); }\n"), ("c.ts", None)], "path string, text string")
+    out = dead_blocks(flow(files))
+    assert "Join" not in out._jdf.queryExecution().toString() and {(r["path"], r["fn"]) for r in out.collect()} == {("a.ts", 1), ("b.ts", 1)}

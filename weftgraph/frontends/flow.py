@@ -9,14 +9,15 @@ warning and no graph; the others stay.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.traverse import bfs
-from .lexical import _TS_ARGS, LANGUAGES, Brackets, blanked
+from ..storage import dealt, spread, stored
+from .lexical import _TS_ARGS, LANGUAGES, Brackets, arrow, blanked
 
 FLOW = "path string, fn int, name string, fact string, id string, kind string, statements array<string>, awaits boolean, src string, dst string, label string, start_line int, end_line int"
 _TYPES = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
@@ -462,13 +463,9 @@ def flow(files: DataFrame) -> DataFrame:
     """Blocks, edges and problems of all functions of ``files(path, text)``."""
 
     def run(batches):
-        for b in batches:
-            for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows = list(flow_of(p, t))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=[c.split()[0] for c in FLOW.split(", ")])
+        return arrow(batches, flow_of, FLOW, _TYPES)
 
-    return files.select("path", "text").mapInArrow(run, FLOW)
+    return spread(files.select("path", "text"), "path").mapInArrow(run, FLOW)
 
 
 SPANS = "path string, fn int, name string, start_line int, start_col int, end_line int"
@@ -526,6 +523,7 @@ def parallel_edges(rows: DataFrame) -> DataFrame:
 
 def validate_flow(rows: DataFrame) -> DataFrame:
     """``path, fn, problem``: duplicate blocks or edges, wrong ends, unknown blocks, labels on edges that aren't cases."""
+    rows = stored(rows.select("path", "fn", "fact", "id", "kind", "src", "dst", "label"), "flow")
     b, e = rows.where("fact = 'block'"), rows.where("fact = 'edge'")
     say = lambda df, text: df.select("path", "fn", F.lit(text).alias("problem"))
     keys = b.select("path", "fn", "id")
@@ -533,19 +531,39 @@ def validate_flow(rows: DataFrame) -> DataFrame:
     out = say(b.groupBy("path", "fn", "id").count().where("count > 1"), "duplicate block")
     for end in ("entry", "exit"):
         out = out.unionByName(say(b.groupBy("path", "fn").agg(F.count_if(F.col("kind") == end).alias("n")).where("n <> 1"), f"not one {end}"))
-    out = out.unionByName(say(ends.join(keys, ["path", "fn", "id"], "left_anti"), "unknown block"))
+    out = out.unionByName(say(ends.join(dealt(keys), ["path", "fn", "id"], "left_anti"), "unknown block"))
     out = out.unionByName(say(e.where("dst = 'entry' or src = 'exit'"), "edge into entry or out of exit"))
     out = out.unionByName(say(e.groupBy("path", "fn", "src", "dst", "kind", "label").count().where("count > 1"), "duplicate edge"))
     return out.unionByName(say(e.where("label is not null and kind <> 'case'"), "label on another kind")).distinct()
 
 
 def dead_blocks(rows: DataFrame) -> DataFrame:
-    """``path, fn, id`` of blocks that no path from the entry reaches."""
-    key = lambda c: F.concat_ws("\x00", "path", F.col("fn").cast("string"), c)
-    b = rows.where("fact = 'block'").select("path", "fn", "id", "kind", key("id").alias("key"))
-    e = rows.where("fact = 'edge'").select(key("src").alias("src"), key("dst").alias("dst"))
-    met = bfs(e, b.where("kind = 'entry'").select(F.col("key").alias("id")))
-    return b.join(met.select(F.col("id").alias("key")), "key", "left_anti").select("path", "fn", "id")
+    """``path, fn, id`` of blocks that no path from the entry reaches; a function is walked whole, in one task, however deep it is."""
+
+    def run(batches):
+        for b in batches:
+            paths, fns, ids = [], [], []
+            for path, fn, blocks, edges in zip(*(b.column(c).to_pylist() for c in ("path", "fn", "blocks", "edges")), strict=True):
+                after = defaultdict(list)
+                for e in edges:
+                    after[e["src"]].append(e["dst"])
+                met = {x["id"] for x in blocks if x["kind"] == "entry"}
+                front = list(met)
+                while front:
+                    for x in after[front.pop()]:
+                        if x not in met:
+                            met.add(x)
+                            front.append(x)
+                dead = [x["id"] for x in blocks if x["id"] not in met]
+                paths += [path] * len(dead)
+                fns += [fn] * len(dead)
+                ids += dead
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(fns, pa.int32()), pa.array(ids, pa.string())], names=["path", "fn", "id"])
+
+    # one group a function: its blocks and edges are as many as its text has statements
+    part = lambda fact, *c: F.collect_list(F.when(F.col("fact") == fact, F.struct(*c)))
+    whole = rows.where("fact in ('block', 'edge')").groupBy("path", "fn").agg(part("block", "id", "kind").alias("blocks"), part("edge", "src", "dst").alias("edges"))
+    return whole.mapInArrow(run, "path string, fn int, id string")
 
 
 def variable_blocks(rows: DataFrame, sites: DataFrame) -> DataFrame:
