@@ -274,6 +274,22 @@ def test_quality_thresholds_use_every_label_not_trained_on(spark):
     assert all(len(v) == 1 and all(abs(p - t) < 1e-5 for p, t in v) for v in got.values()) and len(got) == 2
 
 
+def test_quality_trains_on_a_whole_half_of_the_labels(spark, monkeypatch):
+    """More trusted labels than an earlier cap of 6000 to train on: each is trained on or sets thresholds."""
+    n, seen = 14000, []
+
+    class Model(quality.KneserNey):
+        def __init__(self, texts, *a):
+            seen.append(texts.count())
+            super().__init__(texts, *a)
+
+    monkeypatch.setattr(quality, "KneserNey", Model)
+    d = spark.range(n).selectExpr("id AS doc_id", "'en' AS lang", "concat('text ', id % 7) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    half = labels.where(quality._half(labels.doc_id) == 0).count()
+    assert quality.classify(d, labels).count() == n and seen == [half] and half > 6000
+
+
 def test_bpe_pieces_and_round_trip(spark):
     import public_tokenizers
 

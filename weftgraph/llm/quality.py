@@ -1,13 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney character n-gram model of trusted text.
 
 Units are characters, so no word is out of vocabulary and one model serves all languages and scripts. Training counts
-the n-grams of a bounded sample of trusted documents (``TRAIN_ROWS`` labelled rows, half of the trusted labels by hash);
-lower orders use continuation counts; discounts D1, D2 and D3+ come from the counts of counts of each order.
+the n-grams of all trusted documents of one half of the labels (by hash of the id), however many; the other half sets the
+thresholds, as a text that was trained on looks better than it is. Lower orders use continuation counts; discounts D1, D2
+and D3+ come from the counts of counts of each order.
 
 Scoring joins counts, not documents: each input block (one scan task's documents) contributes its distinct n-grams, which
 are joined, sharded by n-gram, with the count and context tables of every order. The probabilities return to the block,
 where they meet its texts (packed with zstd for the one shuffle) and are summed by document. What is gathered follows
-the input; nothing but discounts (a dozen numbers) and the ids of the training sample reaches the driver.
+the input; nothing but discounts (a dozen numbers), and ids to train on that fit a broadcast, reaches the driver.
 
 A document is rejected when its perplexity is above its threshold. A language's bound is the ``QUANTILE`` of the log
 perplexities of all trusted labelled documents of the language that weren't trained on, widened by ``WIDEN`` times its
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise, sized, trimmed
 
 ORDER = 4
-TRAIN_ROWS = 6000
 QUANTILE = 0.99
 WIDEN = 0.5
 MIN_CALIBRATION = 30
@@ -321,20 +321,24 @@ def _half(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(2))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_rows: int = TRAIN_ROWS, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_rows: int | None = None, quantile: float = QUANTILE) -> DataFrame:
     """One row per input row: ``__id, lang, n_chars, perplexity, threshold, rejected``.
 
     ``labels``: ``(doc_id, quality, toxic)``; text is trusted where quality is 1 and toxic isn't.
+    With ``train_rows`` the model is trained on so many trusted documents at most; the thresholds use all others.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     trusted = labels.where((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__l")).distinct()
-    # train_rows ids of 8 bytes at most, so the broadcast has a bound
-    sample = materialise(trusted.where(_half(F.col("__l")) == 0).orderBy(F.xxhash64(F.col("__l"), F.lit(1)), "__l").limit(train_rows), "kn-sample")
-    train = docs.join(F.broadcast(sample), docs[id_col].cast("long") == sample["__l"], "left_semi")
+    sample = trusted.where(_half(F.col("__l")) == 0)
+    if train_rows is not None:
+        sample = sample.orderBy(F.xxhash64(F.col("__l"), F.lit(1)), "__l").limit(train_rows)
+    sample = materialise(sample, "kn-sample")
+    own = docs[id_col].cast("long")
+    train = docs.where(_half(own) == 0).join(sized(sample), own == sample["__l"], "left_semi")
     model = KneserNey(train.select(F.col(text_col).alias("text")), "text", order)
     scored = materialise(perplexities(docs, model, id_col, text_col, lang_col), "kn-scores")
-    held = scored.join(trusted.join(F.broadcast(sample), "__l", "left_anti"), F.col("__id") == F.col("__l"), "left_semi").where("perplexity is not null")
+    held = scored.join(trusted.join(sized(sample), "__l", "left_anti"), F.col("__id") == F.col("__l"), "left_semi").where("perplexity is not null")
     wide = lambda: [F.percentile_approx(F.log("perplexity"), [0.5, quantile], 10000).alias("q"), F.count("*").alias("n")]
     bound = lambda q: F.struct(q[0].alias("mid"), (q[1] + WIDEN * (q[1] - q[0])).alias("top"))
     by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("__k")).agg(*wide()).where(F.col("n") >= MIN_CALIBRATION).select("__k", bound(F.col("q")).alias("__own"))
