@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, exact dedup, near dedup, decontamination, BPE; each stage on what the one before kept.
 
 A stage is ``(spark, docs, sf_dir) -> DataFrame``; ``run`` writes each stage's result as Parquet in the shared folder and
-reads it back for the next. All but the last return the columns of ``documents``.
+reads it back for the next; what a stage made on its way, and its input, are deleted once its result is stored. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, decontam, exact_dedup, ngram_join, quality
-from weftgraph.llm.common import materialise, table
+from weftgraph.llm.common import freed, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch(spark, f"stage-{name}")
+        with freed(spark, before):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs, before = spark.read.schema(out.schema).parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)

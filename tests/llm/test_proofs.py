@@ -202,3 +202,30 @@ def test_pipeline_end_to_end(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
     assert got == set(range(80))
+
+
+def test_pipeline_frees_what_its_stages_made(spark, tmp_path):
+    """Only the last stored stage is left in the shared folder, and a stage by itself leaves the ids to drop."""
+    import os
+
+    import corpus_pipeline
+    from weftgraph.llm.common import shared_dir
+
+    words = "the of and cat house river small green walks over under".split()
+    rnd = random.Random(4)
+    texts = [(k, " ".join(rnd.choice(words) for _ in range(30))) for k in range(60)]
+    texts += [(100 + k, texts[k][1]) for k in range(10)] + [(200 + k, texts[k][1] + " end") for k in range(10)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "plain words that are fine here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    top = re.sub(r"^file:/+", "/", shared_dir(spark))
+    sf, before = f"file://{tmp_path}", set(os.listdir(top))
+    made = lambda: sorted(re.sub(r"-[0-9a-f]{32}$", "", x) for x in set(os.listdir(top)) - before)
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()}
+    assert made() == ["stage-decontaminate"] and got <= set(range(60)) and len(got) > 50
+    before = set(os.listdir(top))
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        left = stage(spark, d, sf)
+        assert left.count() <= d.count(), name
+    assert made() == ["dedup-drop", "join-drop", "kn-drop"]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise, sized
+from .common import SPACE_CLASS, freed, materialise, sized
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 128
@@ -81,14 +81,15 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id is never the one that stays unless its whole group has null ids, and such rows all stay. Dropped rows are
     known by (id, lengths, prefix hash); only where one id has several texts under one such key is the full hash asked again.
     """
-    out = materialise(_judged(docs, id_col, text_col, digest_all=False).where("__sha is not null"), "dedup-judged")
-    key = ["__id", "__cp", "__n", "__p"]
-    by = out.groupBy(*key).agg(F.min("__sha").alias("__lo"), F.max("__sha").alias("__hi"), F.max(~F.col("kept")).alias("__lost")).where("__lost")
-    by = materialise(by, "dedup-lost")
-    clash = by.where("__lo <> __hi").select(*[F.col(c).alias(c + "_") for c in key])
-    several = out.where(~F.col("kept")).join(clash, F.col("__id").eqNullSafe(F.col("__id_")) & (F.col("__cp") == F.col("__cp_")) & (F.col("__n") == F.col("__n_")) & (F.col("__p") == F.col("__p_")), "left_semi")
-    lost = by.where("__lo = __hi").select(*key, F.lit(None).cast("string").alias("__sha"))
-    lost = materialise(lost.unionByName(several.select(*key, "__sha").distinct()), "dedup-drop")
+    with freed(docs.sparkSession):
+        out = materialise(_judged(docs, id_col, text_col, digest_all=False).where("__sha is not null"), "dedup-judged")
+        key = ["__id", "__cp", "__n", "__p"]
+        by = out.groupBy(*key).agg(F.min("__sha").alias("__lo"), F.max("__sha").alias("__hi"), F.max(~F.col("kept")).alias("__lost")).where("__lost")
+        by = materialise(by, "dedup-lost")
+        clash = by.where("__lo <> __hi").select(*[F.col(c).alias(c + "_") for c in key])
+        several = out.where(~F.col("kept")).join(clash, F.col("__id").eqNullSafe(F.col("__id_")) & (F.col("__cp") == F.col("__cp_")) & (F.col("__n") == F.col("__n_")) & (F.col("__p") == F.col("__p_")), "left_semi")
+        lost = by.where("__lo = __hi").select(*key, F.lit(None).cast("string").alias("__sha"))
+        lost = materialise(lost.unionByName(several.select(*key, "__sha").distinct()), "dedup-drop", keep=True)
     norm = normalised(docs[text_col])
     # id and length are the join's key; the rest, which takes white space out, is asked for only where they agree
     near = docs[id_col].eqNullSafe(lost["__id"]) & (F.length(F.coalesce(docs[text_col], F.lit(""))) == lost["__cp"])

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, sized, trimmed
+from .common import bounded_batches, freed, materialise, release_shuffles, sized, trimmed
 from .components import connected_components
 
 # Fixed values of the contract.
@@ -421,6 +421,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = spark.sparkContext.broadcast(_levels(sig))  # 2**SKETCH_BITS bytes
     runs = materialise(_runs(_postings(docs, text_col, levels)), "join-runs")
     levels.unpersist()
+    release_shuffles(spark)  # that of the postings is the largest by far
     known = classes.where("rep is not null")
     keys = known.select("k1", "k2", "rep")
     links, labels = None, None
@@ -472,6 +473,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component, columns as they were."""
-    out = jaccard_components(docs, id_col, text_col)
-    lost = materialise(out.where("component_id < __id").select("__id").distinct(), "join-drop")
+    with freed(docs.sparkSession):
+        out = jaccard_components(docs, id_col, text_col)
+        lost = materialise(out.where("component_id < __id").select("__id").distinct(), "join-drop", keep=True)
     return docs.join(sized(lost), docs[id_col].cast("long") == lost["__id"], "left_anti")

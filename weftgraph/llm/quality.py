@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, sized, trimmed
+from .common import bounded_batches, freed, materialise, sized, trimmed
 
 ORDER = 4
 QUANTILE = 0.99
@@ -353,6 +353,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, columns as they were; an id is judged by its worst row."""
-    out = classify(docs, labels, id_col, **kw)
-    lost = materialise(out.where("rejected").select("__id").distinct(), "kn-drop")
+    with freed(docs.sparkSession):
+        out = classify(docs, labels, id_col, **kw)
+        lost = materialise(out.where("rejected").select("__id").distinct(), "kn-drop", keep=True)
     return docs.join(sized(lost), docs[id_col].cast("long") == lost["__id"], "left_anti")
