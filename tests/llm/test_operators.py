@@ -290,6 +290,34 @@ def test_quality_trains_on_a_whole_half_of_the_labels(spark, monkeypatch):
     assert quality.classify(d, labels).count() == n and seen == [half] and half > 6000
 
 
+def test_quality_crossed_trains_and_judges_on_every_label(spark, monkeypatch):
+    """As the pipeline does it: no trusted text is left out of the models, nor of the thresholds, and none is scored by its own."""
+    seen = []
+
+    class Model(quality.KneserNey):
+        def __init__(self, texts, *a):
+            seen.append(sorted(r[0] for r in texts.collect()))
+            super().__init__(texts, *a)
+
+    monkeypatch.setattr(quality, "KneserNey", Model)
+    words = "the of and cat house river small green walks over under".split()
+    texts = [(k, " ".join(words[(k * j + j * j) % 11] for j in range(1, 30))) for k in range(90)]
+    texts += [(200, "xq zzkv qqj wvx " * 20), (201, texts[3][1]), (202, None), (203, "")]
+    d = docs(spark, texts)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(90)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(d, labels).count() == len(texts) - 1
+    assert sorted(t for part in seen for t in part) == sorted(t for _, t in texts[:90]) and not set(seen[0]) & set(seen[1])
+    out = {r["__id"]: r for r in quality.classify(d, labels, crossed=True).collect()}
+    assert len(out) == len(texts) and out[200]["rejected"] and out[201]["perplexity"] == out[3]["perplexity"] and out[202]["perplexity"] is None
+    logs = sorted(math.log(out[k]["perplexity"]) for k in range(90))
+    at = lambda q: logs[max(0, math.ceil(q * len(logs)) - 1)]
+    mid, top = at(0.5), at(quality.QUANTILE) + quality.WIDEN * (at(quality.QUANTILE) - at(0.5))
+    n = out[5]["n_chars"]
+    assert abs(out[5]["threshold"] / math.exp(mid + (top - mid) * (n + quality.PRIOR_CHARS) / n) - 1) < 1e-6
+    one = quality.classify(d, labels.where("doc_id = 4"), crossed=True)
+    assert one.where("rejected").count() == 0 and one.count() == len(texts)
+
+
 def test_bpe_pieces_and_round_trip(spark):
     import public_tokenizers
 

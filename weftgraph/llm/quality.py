@@ -2,7 +2,9 @@
 
 Units are characters, so no word is out of vocabulary and one model serves all languages and scripts. Training counts
 the n-grams of all trusted documents of one half of the labels (by hash of the id), however many; the other half sets the
-thresholds, as a text that was trained on looks better than it is. Lower orders use continuation counts; discounts D1, D2
+thresholds, as a text that was trained on looks better than it is. With ``crossed``, as in the pipeline, every trusted
+document does both: texts are halved by their hash, each half trains a model, and a text is scored by the model of the half
+it isn't in. Equal texts are in one half, so they are scored alike and none by a model that saw it. Lower orders use continuation counts; discounts D1, D2
 and D3+ come from the counts of counts of each order.
 
 Scoring joins counts, not documents: each input block (one scan task's documents) contributes its distinct n-grams, which
@@ -17,7 +19,8 @@ short texts need stronger evidence: the threshold of a text of n characters is `
 PRIOR_CHARS) / n)``. Languages with fewer than ``MIN_CALIBRATION`` such documents use the bound over all languages.
 
 Edge cases: a null or empty text has no perplexity and no threshold and isn't rejected; a null language is a language of its own; without
-trusted labels there is no threshold and nothing is rejected; rows that repeat are scored alike; very long texts are
+trusted labels there is no threshold and nothing is rejected; with ``crossed``, a text whose model would have no text to
+train on has no perplexity; rows that repeat are scored alike; very long texts are
 scored whole.
 """
 
@@ -321,24 +324,44 @@ def _half(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(2))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_rows: int | None = None, quantile: float = QUANTILE) -> DataFrame:
+def _crossed(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, order: int) -> DataFrame:
+    """``perplexities`` of all rows, each by the model of the trusted texts in the half that its own text isn't in."""
+    half, own, out = _half(docs[text_col]), docs[id_col].cast("long"), []
+    for k in (0, 1):
+        train = docs.where(half == k).join(sized(trusted), own == trusted["__l"], "left_semi")
+        model = KneserNey(train.select(F.col(text_col).alias("text")), "text", order)
+        part = perplexities(docs.where(half == 1 - k), model, id_col, text_col, lang_col)
+        out.append(part if model.total else part.withColumn("perplexity", F.lit(None).cast("double")))
+    return out[0].unionByName(out[1])
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_rows: int | None = None, quantile: float = QUANTILE, crossed: bool = False) -> DataFrame:
     """One row per input row: ``__id, lang, n_chars, perplexity, threshold, rejected``.
 
     ``labels``: ``(doc_id, quality, toxic)``; text is trusted where quality is 1 and toxic isn't.
     With ``train_rows`` the model is trained on so many trusted documents at most; the thresholds use all others.
+    With ``crossed`` all trusted documents train one of two models and set the thresholds, scored by the other one.
     """
+    if crossed and train_rows is not None:
+        raise ValueError("train_rows has no meaning with crossed")
     spark = docs.sparkSession
     bounded_batches(spark)
     trusted = labels.where((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__l")).distinct()
-    sample = trusted.where(_half(F.col("__l")) == 0)
-    if train_rows is not None:
-        sample = sample.orderBy(F.xxhash64(F.col("__l"), F.lit(1)), "__l").limit(train_rows)
-    sample = materialise(sample, "kn-sample")
     own = docs[id_col].cast("long")
-    train = docs.where(_half(own) == 0).join(sized(sample), own == sample["__l"], "left_semi")
-    model = KneserNey(train.select(F.col(text_col).alias("text")), "text", order)
-    scored = materialise(perplexities(docs, model, id_col, text_col, lang_col), "kn-scores")
-    held = scored.join(trusted.join(sized(sample), "__l", "left_anti"), F.col("__id") == F.col("__l"), "left_semi").where("perplexity is not null")
+    if crossed:
+        trusted = materialise(trusted, "kn-trusted")
+        scored = materialise(_crossed(docs, trusted, id_col, text_col, lang_col, order), "kn-scores")
+        held = trusted
+    else:
+        sample = trusted.where(_half(F.col("__l")) == 0)
+        if train_rows is not None:
+            sample = sample.orderBy(F.xxhash64(F.col("__l"), F.lit(1)), "__l").limit(train_rows)
+        sample = materialise(sample, "kn-sample")
+        train = docs.where(_half(own) == 0).join(sized(sample), own == sample["__l"], "left_semi")
+        model = KneserNey(train.select(F.col(text_col).alias("text")), "text", order)
+        scored = materialise(perplexities(docs, model, id_col, text_col, lang_col), "kn-scores")
+        held = trusted.join(sized(sample), "__l", "left_anti")
+    held = scored.join(held, F.col("__id") == F.col("__l"), "left_semi").where("perplexity is not null")
     wide = lambda: [F.percentile_approx(F.log("perplexity"), [0.5, quantile], 10000).alias("q"), F.count("*").alias("n")]
     bound = lambda q: F.struct(q[0].alias("mid"), (q[1] + WIDEN * (q[1] - q[0])).alias("top"))
     by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("__k")).agg(*wide()).where(F.col("n") >= MIN_CALIBRATION).select("__k", bound(F.col("q")).alias("__own"))
@@ -352,7 +375,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, columns as they were; an id is judged by its worst row."""
+    """The rows of ``docs`` that aren't rejected, columns as they were; an id is judged by its worst row.
+
+    All trusted labels train and set the thresholds (``crossed``), unless ``train_rows`` bounds what is trained on.
+    """
+    kw.setdefault("crossed", kw.get("train_rows") is None)
     with freed(docs.sparkSession):
         out = classify(docs, labels, id_col, **kw)
         lost = materialise(out.where("rejected").select("__id").distinct(), "kn-drop", keep=True)
