@@ -191,6 +191,24 @@ def test_ngram_join_against_brute_force(spark, monkeypatch):
         assert got == {i: (len(sets[i]), root(i)) for i in parent}
 
 
+def test_postings_are_dealt_in_slices(spark, monkeypatch):
+    """Many postings are shuffled a slice at a time, hot shingles to many tasks, with the same result."""
+    rnd = random.Random(11)
+    base = [f"t{rnd.randrange(10**6)}" for _ in range(60)]
+    texts = [(k, " ".join(f"q{rnd.randrange(10**6)}" for _ in range(rnd.randrange(1, 40))) + " " + " ".join(base[: rnd.randrange(60)])) for k in range(80)]
+    texts += [(100 + k, " ".join([*base[k % 3 :], f"r{k}"])) for k in range(60)]
+    table, rows, runs = docs(spark, texts).repartition(4).localCheckpoint(), [], ngram_join._runs
+    join = lambda: sorted(tuple(r) for r in ngram_join.jaccard_components(table).collect())
+    want = join()
+    monkeypatch.setattr(ngram_join, "_runs", lambda postings: rows.append(postings.count()) or runs(postings))
+    monkeypatch.setattr(ngram_join, "SLICE", 100, raising=False)
+    for spread, long in ((4096, 64), (2, 64), (2, 4)):
+        monkeypatch.setattr(ngram_join, "SPREAD", spread, raising=False)
+        monkeypatch.setattr(ngram_join, "LONG", long)
+        rows.clear()
+        assert join() == want and 2 * max(rows) < sum(rows)
+
+
 def test_rarity_levels_leave_out_what_others_add():
     """A large input puts some 1400 other shingles into each cell; frequent shingles must still stand out."""
     np = ngram_join.np

@@ -10,9 +10,10 @@ one row per document with its component, found without listing the pairs inside
 3. Adaptive prefixes. Sets that link share at least l shingles of their l-prefixes (the first ``n - ceil(0.75 n) + l`` in
    the order). Each class takes the l of least estimated cost: longer prefixes cost postings, but candidates must then
    share more of them. Two classes are candidates if they share ``min(l, l')`` prefix shingles.
-4. Short runs. Classes that share a prefix shingle form its run. Postings are dealt by ranges of (shingle, class), so a hot
-   shingle spreads over as many tasks as its size asks for; a run that a range's end cuts is put together again as a few
-   rows. In runs of at most ``LONG`` classes the pairs are listed (so at most ``LONG / 2`` a posting), counted, and kept if
+4. Short runs. Classes that share a prefix shingle form its run. Postings are dealt by shingle, and one that the sketch
+   has as hot also by class, so that it spreads over as many tasks as its size asks for; such a run is passed on as rows. Many
+   postings are dealt in up to ``PASSES`` slices of the shingles, one after the other, so that the disk holds one slice's
+   shuffle at a time; each slice is a pass over the texts. In runs of at most ``LONG`` classes the pairs are listed (so at most ``LONG / 2`` a posting), counted, and kept if
    they share enough. Groups of such candidates are verified together, each text moving once a group.
 5. Long runs, of a shingle in many classes, are never listed as pairs. Their classes are first tried against the
    ``PIVOTS`` pivots that they share most shingles with, a run having a central pivot and two by hash; what links is joined
@@ -61,6 +62,10 @@ MAX_L, VERIFY_COST = 4, 8
 PIVOTS = 2
 #: Partners of one class in one verification group.
 CHUNK = 256
+#: Postings by the sketch's estimate that one task gets of a shingle; beyond it the shingle is dealt by class, too.
+SPREAD = 4096
+#: Postings of a slice of the shingles, and the most slices.
+SLICE, PASSES = 1 << 26, 3
 #: Classes of a run whose pairs are listed; classes, and shingles, of a block.
 LONG, BLOCK, BLOCK_SHINGLES = 64, 512, 1 << 19
 
@@ -182,8 +187,20 @@ def _levels(sig: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _postings(docs: DataFrame, text_col: str, levels) -> DataFrame:
-    """Prefix shingles of each class; a task posts a class once however many copies it reads."""
+def slices(postings: int) -> int:
+    """Passes over the texts that so many postings are dealt in."""
+    return min(PASSES, max(1, -(-postings // SLICE)))
+
+
+def salts(tokens: np.ndarray, k1: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Which of its tasks a posting goes to: 0 where the shingle has one, else 1 and up, by class."""
+    est = np.exp2(levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64) / 8) - 1
+    tasks = np.minimum(np.ceil(est / SPREAD), 1 << 20).astype(np.int64)
+    return np.where(tasks > 1, 1 + k1 % np.maximum(tasks, 1), 0).astype(np.int32)
+
+
+def _postings(docs: DataFrame, text_col: str, levels, part: int = 0, parts: int = 1) -> DataFrame:
+    """Prefix shingles of each class, of one slice of all shingles; a task posts a class once however many copies it reads."""
 
     def run(batches):
         lv = levels.value
@@ -196,18 +213,20 @@ def _postings(docs: DataFrame, text_col: str, levels) -> DataFrame:
                     continue
                 seen.add(key)
                 p, k, mid = prefix(s, lv)
+                p = p[p % np.uint64(parts) == part]
                 tokens.append(p)
                 meta.append((*key, len(s), k, mid, len(p)))
             if tokens:
                 m = np.array(meta, np.int64)
-                cols = [np.concatenate(tokens).view(np.int64), *(np.repeat(m[:, c], m[:, 5]) for c in range(5))]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), *(pa.array(c.astype(np.int32)) for c in cols[3:])], names=["token", "k1", "k2", "n", "l", "mid"])
+                t = np.concatenate(tokens)
+                cols = [t.view(np.int64), *(np.repeat(m[:, c], m[:, 5]) for c in range(5))]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), *(pa.array(c.astype(np.int32)) for c in cols[3:]), pa.array(salts(t, cols[1], lv))], names=["token", "k1", "k2", "n", "l", "mid", "salt"])
 
-    return docs.select(F.col(text_col).alias("__text")).mapInArrow(lambda b: trimmed(run(b)), "token long, k1 long, k2 long, n int, l int, mid int")
+    return docs.select(F.col(text_col).alias("__text")).mapInArrow(lambda b: trimmed(run(b)), "token long, k1 long, k2 long, n int, l int, mid int, salt int")
 
 
 _RUNS = "kind int, token long, k1 long, k2 long, n int, l int, mid int, h1 long, h2 long"
-#: Kinds of rows: a pair of classes that share a short run's shingle; a class of a long run, or of one that a range's end cuts.
+#: Kinds of rows: a pair of classes that share a short run's shingle; a class of a long run, or of one that is dealt to many tasks.
 _PAIR, _MEMBER = 0, 1
 
 
@@ -223,7 +242,7 @@ def _pairs_of(t: dict[str, np.ndarray], start: np.ndarray, size: np.ndarray):
 
 
 def _runs(postings: DataFrame) -> DataFrame:
-    """Pairs of short runs and members of all others, from postings sorted within ranges of (token, class)."""
+    """Pairs of short runs and members of all others, from postings dealt by (token, salt) and sorted."""
     names = ["token", "k1", "k2", "n", "l", "mid"]
 
     def members(t, pick):
@@ -234,26 +253,27 @@ def _runs(postings: DataFrame) -> DataFrame:
 
     def run(batches):
         held = {c: np.zeros(0, np.int32 if c in ("n", "l", "mid") else np.int64) for c in names}
-        first, flushed, last = None, None, None  # the range's first token; one whose run is already long; the last posting
+        flushed, last = None, None  # a token whose run is already long; the last posting
         for b in batches:
             t = {c: b.column(c).to_numpy() for c in names}
             if not b.num_rows:
                 continue
+            many = b.column("salt").to_numpy() > 0
             same = np.zeros(b.num_rows, bool)
             same[1:] = (t["token"][1:] == t["token"][:-1]) & (t["k1"][1:] == t["k1"][:-1]) & (t["k2"][1:] == t["k2"][:-1])
             same[0] = last == tuple(t[c][0] for c in names[:3])
             last = tuple(t[c][-1] for c in names[:3])
+            many = np.append(np.zeros(len(held["token"]), bool), many[~same])  # what is held has one task
             t = {c: np.concatenate((held[c], t[c][~same])) for c in names}
             if not len(t["token"]):
                 continue
-            first = t["token"][0] if first is None else first
             start = np.flatnonzero(np.append(True, t["token"][1:] != t["token"][:-1]))
             size = np.diff(np.append(start, len(t["token"])))
             of = t["token"][start]
             # the last run may go on; it is held until it is long, and then passed on as it comes
             keep = np.zeros(len(start), bool)
-            keep[-1] = of[-1] != first and of[-1] != flushed and size[-1] <= LONG
-            alone = (of == first) | (of == flushed) | (size > LONG)
+            keep[-1] = not many[start[-1]] and of[-1] != flushed and size[-1] <= LONG
+            alone = many[start] | (of == flushed) | (size > LONG)
             if alone[-1]:
                 flushed = of[-1]
             if alone.any():
@@ -269,12 +289,12 @@ def _runs(postings: DataFrame) -> DataFrame:
         if len(held["token"]):
             yield members(held, slice(None))
 
-    dealt = postings.repartitionByRange("token", "k1").sortWithinPartitions("token", "k1", "k2")
+    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "k1", "k2")
     return dealt.mapInArrow(lambda b: trimmed(run(b)), _RUNS)
 
 
 def _cut_pairs(cut: DataFrame) -> DataFrame:
-    """``k1, k2, h1, h2, l`` of the short runs that ranges' ends cut, few rows of each."""
+    """``k1, k2, h1, h2, l`` of the short runs that were dealt to many tasks, few rows of each."""
     x, y = (cut.select("token", *[F.col(c).alias(side + c) for c in ("k1", "k2", "n", "l")]) for side in "xy")
     later = (F.col("xk1") < F.col("yk1")) | ((F.col("xk1") == F.col("yk1")) & (F.col("xk2") < F.col("yk2")))
     both = x.join(y, "token").where(later & _fits("xn", "yn"))
@@ -419,9 +439,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a class stands under the smallest id that has its set
     classes = materialise(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "join-classes")
     levels = spark.sparkContext.broadcast(_levels(sig))  # 2**SKETCH_BITS bytes
-    runs = materialise(_runs(_postings(docs, text_col, levels)), "join-runs")
+    # of n shingles at most n / 4 + MAX_L are posted
+    parts = slices(int(classes.agg(F.sum(F.col("n") / OVER + MAX_L).cast("long")).first()[0] or 0))
+    runs = None
+    for part in range(parts):
+        found = materialise(_runs(_postings(docs, text_col, levels, part, parts)), "join-runs")
+        runs = found if runs is None else runs.unionByName(found)
+        release_shuffles(spark)  # that of the postings is the largest by far
     levels.unpersist()
-    release_shuffles(spark)  # that of the postings is the largest by far
     known = classes.where("rep is not null")
     keys = known.select("k1", "k2", "rep")
     links, labels = None, None
