@@ -336,6 +336,109 @@ def test_quality_crossed_trains_and_judges_on_every_label(spark, monkeypatch):
     assert one.where("rejected").count() == 0 and one.count() == len(texts)
 
 
+def plain_kneser_ney(train, order):
+    """Log probability of an n-gram by a model of ``train``, in plain Python."""
+    top = collections.Counter(s[k : k + order] for t in train if t for s in ["\x02" * (order - 1) + t] for k in range(len(t)))
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    disc = {k: quality.discounts(*[sum(v == i for v in counts[k].values()) for i in (1, 2, 3, 4)]) for k in counts}
+    of = {k: collections.defaultdict(list) for k in counts}
+    for k, found in counts.items():
+        for g, v in found.items():
+            of[k][g[:-1]].append(v)
+
+    def p(g):
+        k = len(g)
+        d = lambda v: 0 if not v else disc[k][min(v, 3) - 1]
+        lower = p(g[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
+        same = of[k].get(g[:-1])
+        return lower if not same else (max(0, counts[k][g] - d(counts[k][g])) + sum(d(v) for v in same) * lower) / sum(same)
+
+    return lambda t: sum(math.log(p(("\x02" * (order - 1) + t)[k : k + order])) for k in range(len(t)))
+
+
+def test_quality_left_out_texts_are_scored_by_a_model_of_all_others(spark, monkeypatch, tmp_path):
+    """One model of every trusted text, also in the pipeline; a trusted text is scored as if it and its copies weren't in it."""
+    import corpus_pipeline
+
+    seen = []
+
+    class Model(quality.KneserNey):
+        def __init__(self, texts, *a):
+            seen.append(sorted(r[0] or "" for r in texts.collect()))
+            super().__init__(texts, *a)
+
+    monkeypatch.setattr(quality, "KneserNey", Model)
+    rnd = random.Random(3)
+    words = "the of and cat house river small Grün walks über under a b".split()
+    texts = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 30)))) for k in range(50)]
+    texts += [(50, texts[4][1]), (51, "the only ŷ\U0001f600 here\x02"), (52, ""), (53, None), (54, "a")]
+    own = [t for _, t in texts]
+    texts += [(200, "xq zzkv qqj wvx " * 20), (201, texts[3][1]), (None, texts[5][1]), (203, None), (7, "another text of one id"), (204, "house of cat")]
+    own.append("another text of one id")
+    docs(spark, texts).repartition(3, "text").write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(55)], "doc_id long, quality int, toxic int")
+    out = [r.asDict() for r in quality.classify(d, labels, left_out=True).collect()]
+    assert seen == [sorted(t or "" for t in own)] and len(out) == len(texts)
+    models = {}
+    want = collections.Counter()
+    for i, t in texts:
+        if t and t not in models:
+            models[t] = plain_kneser_ney([x for x in own if x != t], quality.ORDER)(t)
+        want[i, len(t or ""), t and round(math.exp(-models[t] / len(t)), 6) or None] += 1
+    assert want == collections.Counter((r["__id"], r["n_chars"], r["perplexity"] and round(r["perplexity"], 6)) for r in out)
+    logs = sorted(math.log(r["perplexity"]) for r in out if r["__id"] is not None and r["__id"] < 55 and r["perplexity"])
+    at = lambda q: logs[max(0, math.ceil(q * len(logs)) - 1)]
+    mid, top = at(0.5), at(quality.QUANTILE) + quality.WIDEN * (at(quality.QUANTILE) - at(0.5))
+    for r in out:
+        bound = r["n_chars"] and math.exp(mid + (top - mid) * (r["n_chars"] + quality.PRIOR_CHARS) / r["n_chars"])
+        assert not r["n_chars"] or (abs(r["threshold"] / bound - 1) < 1e-6 and r["rejected"] == (r["perplexity"] > r["threshold"]))
+    # the only trusted text has no model left; without trusted texts there is none at all
+    one = quality.classify(d, labels.where("doc_id = 4"), left_out=True).collect()
+    assert {r["__id"] for r in one if r["perplexity"] is None} == {4, 50, 52, 53, 203} and not any(r["rejected"] for r in one)
+    assert quality.classify(d, labels.limit(0), left_out=True).where("perplexity is not null or rejected").isEmpty()
+    seen.clear()
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality_stage(spark, d, f"file://{tmp_path}").count()
+    assert seen == [sorted(t or "" for t in own)] and kept == len(texts) - sum(r["rejected"] for r in out)
+
+
+def test_quality_left_out_takes_long_texts_in_parts(monkeypatch):
+    rnd, order = random.Random(5), 3
+    train = ["".join(rnd.choice("abcde ") for _ in range(n)) for n in (3, 200, 40, 1, 90)]
+    train.append(train[1])
+    counts = {order: collections.Counter(dict(zip(*quality.grams_of([x for p in quality.segments(train, order) for x in p], order), strict=True)))}
+    for k in (2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    classes = {k: tuple(sum(v == i for v in c.values()) for i in (1, 2, 3, 4)) for k, c in counts.items()}
+
+    def row(g):
+        out = [counts[k][g[order - k :]] for k in (3, 2, 1)]
+        for k in (3, 2):
+            same = [v for h, v in counts[k].items() if h[:-1] == g[order - k : -1]]
+            out += [sum(same), *(sum(min(v, 3) == i for v in same) for i in (1, 2, 3))]
+        return out
+
+    grams = sorted(counts[3], key=lambda g: g[::-1])
+    scorer = quality.BlockScorer(["zzz", *grams], quality.np.zeros(len(grams) + 1), order)
+    left = quality.LeftOut(scorer, grams, quality.np.array([row(g) for g in grams]), classes, len(counts[1]), sum(counts[1].values()))
+    left.place(scorer.of[1:])
+    monkeypatch.setattr(quality, "_PART", 7)
+    got = left.score(train, [2 if t == train[1] else 1 for t in train])
+    assert all(abs(x - plain_kneser_ney([y for y in train if y != t], order)(t)) < 1e-9 for x, t in zip(got, train, strict=True))
+
+
+def test_quality_quantiles_are_exact(spark):
+    """Beyond the 10000 values that ``percentile_approx`` keeps it gives one near the rank."""
+    n, rnd = 60000, random.Random(8)
+    values = [("", rnd.gauss(2, 0.3)) for _ in range(n)] + [("=x", 1.5)] * 500 + [("=y", -0.25), ("=y", 3.0)]
+    got = {r["k"]: (r["n"], r["q"]) for r in quality.exact_quantiles(spark.createDataFrame(values, "k string, v double"), [0.5, 0.99]).collect()}
+    first = sorted(v for k, v in values if not k)
+    assert got == {"": (n, [first[n // 2 - 1], first[math.ceil(0.99 * n) - 1]]), "=x": (500, [1.5, 1.5]), "=y": (2, [-0.25, 3.0])}
+
+
 def test_bpe_pieces_and_round_trip(spark):
     import public_tokenizers
 

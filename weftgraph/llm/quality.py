@@ -2,10 +2,12 @@
 
 Units are characters, so no word is out of vocabulary and one model serves all languages and scripts. Training counts
 the n-grams of all trusted documents of one half of the labels (by hash of the id), however many; the other half sets the
-thresholds, as a text that was trained on looks better than it is. With ``crossed``, as in the pipeline, every trusted
-document does both: texts are halved by their hash, each half trains a model, and a text is scored by the model of the half
-it isn't in. Equal texts are in one half, so they are scored alike and none by a model that saw it. Lower orders use continuation counts; discounts D1, D2
-and D3+ come from the counts of counts of each order.
+thresholds, as a text that was trained on looks better than it is. With ``left_out``, as in the pipeline, every trusted
+document does both: one model is trained on all of them, and a text that is equal to trusted ones is scored by what the model
+is without them, which follows exactly from the counts of the text's own n-grams. With ``crossed`` texts are halved by their
+hash, each half trains a model, and a text is scored by the model of the half it isn't in. In both, equal texts are scored
+alike and none by a model that saw it. Lower orders use continuation counts; discounts D1, D2 and D3+ come from the counts
+of counts of each order.
 
 Scoring joins counts, not documents: each input block (one scan task's documents) contributes its distinct n-grams, which
 are joined, sharded by n-gram, with the count and context tables of every order. The probabilities return to the block,
@@ -13,24 +15,25 @@ where they meet its texts (packed with zstd for the one shuffle) and are summed
 the input; nothing but discounts (a dozen numbers), and ids to train on that fit a broadcast, reaches the driver.
 
 A document is rejected when its perplexity is above its threshold. A language's bound is the ``QUANTILE`` of the log
-perplexities of all trusted labelled documents of the language that weren't trained on, widened by ``WIDEN`` times its
-distance from the median. A text's mean log probability counts with ``PRIOR_CHARS`` characters at the median beside it, so
+perplexities of all trusted labelled documents of the language that weren't trained on (of all, with ``left_out`` or
+``crossed``), widened by ``WIDEN`` times its distance from the median. Both are values of exact ranks. A text's mean log probability counts with ``PRIOR_CHARS`` characters at the median beside it, so
 short texts need stronger evidence: the threshold of a text of n characters is ``exp(median + (bound - median) * (n +
 PRIOR_CHARS) / n)``. Languages with fewer than ``MIN_CALIBRATION`` such documents use the bound over all languages.
 
 Edge cases: a null or empty text has no perplexity and no threshold and isn't rejected; a null language is a language of its own; without
-trusted labels there is no threshold and nothing is rejected; with ``crossed``, a text whose model would have no text to
+trusted labels there is no threshold and nothing is rejected; with ``crossed`` or ``left_out``, a text whose model would have no text to
 train on has no perplexity; rows that repeat are scored alike; very long texts are
 scored whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, freed, materialise, sized, trimmed
@@ -49,6 +52,10 @@ _DIRECT = 1 << 23
 _BLOB = 1 << 18
 #: Characters that are turned into n-grams at once.
 _PART = 1 << 19
+#: Characters of texts whose own counts are taken off at once; a longer text is alone.
+_LEFT = 1 << 17
+#: Cells of a unit of log perplexity, among whose counts a rank is looked for first.
+_CELLS = 256
 
 
 def _rank(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +140,7 @@ class BlockScorer:
             distinct = np.unique(code)
             self.steps.append(self._table(distinct))
             ids = np.searchsorted(distinct, code)
+        self.of = ids
         self.logp = np.zeros(len(ids))
         self.logp[ids] = logp
 
@@ -147,12 +155,13 @@ class BlockScorer:
     def score(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
         for parts in segments(texts, self.order):
-            p = self._logs(parts)
+            p = self.logp[self.ids(parts)]
             sizes = np.array([len(t) for _, t, _ in parts])
             np.add.at(out, [k for _, _, k in parts], np.add.reduceat(p, np.cumsum(sizes) - sizes))
         return out
 
-    def _logs(self, parts: list[tuple[str, str, int]]) -> np.ndarray:
+    def ids(self, parts: list[tuple[str, str, int]]) -> np.ndarray:
+        """The n-gram that ends at each character, by its rank among the block's."""
         a, at = _joined(parts, self.order)
         c = self.letter[a].astype(np.int64)
         ids = [c[at + k] for k in range(1 - self.order, 1)]
@@ -168,7 +177,101 @@ class BlockScorer:
                 now = np.searchsorted(step, code)
         if now.min() < 0:
             raise ValueError("a block's n-grams and texts differ: its scan isn't repeatable")
-        return self.logp[now]
+        return now
+
+
+class LeftOut:
+    """Scores trusted texts by the model of all other texts, as if it were trained anew without them.
+
+    Taking a text and its copies away changes the counts of its own n-grams, the totals and counts of counts of their contexts,
+    and the continuation counts of what they end in, where an n-gram vanishes; so the rows of the text's n-grams (see
+    ``KneserNey.rows``) hold all that is needed. The corpus' counts of counts, and so the discounts, follow in the same way.
+    """
+
+    def __init__(self, scorer: BlockScorer, grams: list[str], rows: np.ndarray, classes: dict[int, tuple], distinct: int, total: int):
+        """``rows``: those of ``grams``, which are of the scorer's; ``classes``: by order, how many n-grams have counts 1 to 4."""
+        n = self.order = scorer.order
+        self.scorer, self.classes, self.distinct, self.total = scorer, classes, distinct, total
+        chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        c = scorer.letter[chars].astype(np.int64)
+
+        def ranked(a: int, b: int) -> np.ndarray:
+            ids = c[:, a]
+            for j in range(a + 1, b):
+                ids = np.unique(ids * scorer.width + c[:, j], return_inverse=True)[1]
+            return ids
+
+        def table(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+            out = np.zeros(int(ids.max()) + 1, np.int64)
+            out[ids] = values
+            return out
+
+        unit = {k: ranked(n - k, n) if k < n else np.arange(len(grams)) for k in range(n, 0, -1)}
+        self.counts = {k: table(unit[k], rows[:, n - k]) for k in unit}
+        self.down, self.context, self.totals = {}, {}, {}
+        for k in range(n, 1, -1):
+            x, at = ranked(n - k, n - 1), n + 4 * (n - k)
+            self.down[k], self.context[k] = table(unit[k], unit[k - 1]), table(unit[k], x)
+            self.totals[k] = [table(x, rows[:, at + j]) for j in range(4)]
+
+    def place(self, ids: np.ndarray) -> None:
+        """``ids``: the scorer's of the grams."""
+        self.at = np.full(len(self.scorer.logp), -1, np.int64)
+        self.at[ids] = np.arange(len(ids))
+
+    def _pairs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, n-gram, how often)`` of each text's distinct n-grams."""
+        size, codes, counts = len(self.counts[self.order]), [], []
+        for parts in segments(texts, self.order):
+            at = self.at[self.scorer.ids(parts)]
+            if at.min() < 0:
+                raise ValueError("a trusted text has n-grams that weren't trained on: its scan isn't repeatable")
+            code, n = np.unique(np.repeat([k for _, _, k in parts], [len(t) for _, t, _ in parts]) * size + at, return_counts=True)
+            codes.append(code)
+            counts.append(n)
+        code, n = codes[0], counts[0]
+        if len(codes) > 1:
+            code, back = np.unique(np.concatenate(codes), return_inverse=True)
+            n = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        return code // size, code % size, n
+
+    def score(self, texts: list[str], copies: list[int]) -> np.ndarray:
+        """Sums of log probabilities of texts that aren't empty, each of which was trained on so often; nan where no other text is left."""
+        m, steps = len(texts), []
+        t, u, n = self._pairs(texts)
+        first, c = t, self.counts[self.order][u]
+        new = c - np.array(copies, np.int64)[t] * n
+        if new.min() < 0:
+            raise ValueError("a trusted text has more n-grams than were trained on: its scan isn't repeatable")
+        for k in range(self.order, 0, -1):
+            met = [had + np.bincount(t[new == i], minlength=m) - np.bincount(t[c == i], minlength=m) for i, had in enumerate(self.classes[k], 1)]
+            d = np.array([discounts(*x) for x in zip(*(x.tolist() for x in met), strict=True)]).T
+            own = np.where(new > 0, np.maximum(0.0, new - d[np.clip(new, 1, 3) - 1, t]), 0.0)
+            if k == 1:
+                break
+            x, size = self.context[k][u], len(self.totals[k][0])
+            code, back = np.unique(t * size + x, return_inverse=True)
+            of, x = code // size, code % size
+            total = self.totals[k][0][x] - np.bincount(back, c - new)
+            less = 0.0
+            for i in range(3):
+                was, now = np.minimum(c, 3) == i + 1, np.minimum(new, 3) == i + 1
+                less = less + d[i, of] * (self.totals[k][i + 1][x] + np.bincount(back, now.astype(np.float64) - was))
+            size = len(self.counts[k - 1])
+            code, down = np.unique(t * size + self.down[k][u], return_inverse=True)
+            steps.append((own, less[back], total[back], down))
+            lost = np.bincount(down, new == 0).astype(np.int64)
+            t, u = code // size, code % size
+            c = self.counts[k - 1][u]
+            new = c - lost
+        total = self.total - np.bincount(t, c - new, m)
+        letters = self.distinct - np.bincount(t[new == 0], minlength=m)
+        left = d[0] * met[0] + d[1] * met[1] + d[2] * (letters - met[0] - met[1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(total[t] > 0, (own + (left / (letters + 1))[t]) / total[t], np.nan)
+        for own, less, total, down in reversed(steps):
+            p = np.where(total > 0, (own + less * p[down]) / np.maximum(total, 1), p[down])
+        return np.bincount(first, n * np.log(p), m)
 
 
 def count_grams(docs: DataFrame, text_col: str, order: int, block: bool) -> DataFrame:
@@ -200,11 +303,12 @@ class KneserNey:
         for k in range(order - 1, 0, -1):
             lower = self.counts[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("cnt"))
             self.counts[k] = materialise(lower, "kn-counts")
-        self.contexts, self.discounts = {}, {}
+        self.contexts, self.discounts, self.classes = {}, {}, {}
         for k in range(order, 0, -1):
             t = self.counts[k]
             n = t.agg(*[F.count(F.when(F.col("cnt") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)], F.sum("cnt").alias("total"), F.count("*").alias("distinct")).first()
-            self.discounts[k] = discounts(n["n1"], n["n2"], n["n3"], n["n4"])
+            self.classes[k] = (n["n1"], n["n2"], n["n3"], n["n4"])
+            self.discounts[k] = discounts(*self.classes[k])
             if k == 1:
                 self.total, self.letters = n["total"] or 0, n["distinct"] + 1
                 self.singles = (n["n1"], n["n2"], n["distinct"] - n["n1"] - n["n2"])
@@ -216,8 +320,14 @@ class KneserNey:
         d1, d2, d3 = self.discounts[k]
         return F.greatest(F.lit(0.0), c - F.when(c == 1, d1).when(c == 2, d2).otherwise(d3))
 
-    def log_probabilities(self, grams: DataFrame) -> DataFrame:
-        """``gram, logp`` of distinct n-grams: two joins an order, all on the n-gram's parts, none broadcast by hint."""
+    def rows(self) -> Column:
+        """What ``LeftOut`` needs of an n-gram that was trained on: counts by order, then each order's total and counts of counts."""
+        n = self.order
+        cols = [f"__c{k}" for k in range(n, 0, -1)] + [c for k in range(n, 1, -1) for c in (f"__t{k}", f"__c1_{k}", f"__c2_{k}", f"__c3_{k}")]
+        return F.when(F.col(f"__c{n}").isNotNull(), F.array(*[F.col(c).cast("long") for c in cols]))
+
+    def log_probabilities(self, grams: DataFrame, rows: bool = False) -> DataFrame:
+        """``gram, logp`` of distinct n-grams, and their ``rows``: two joins an order, all on the n-gram's parts, none broadcast by hint."""
         n, q = self.order, grams
         for k in range(n, 0, -1):
             t = self.counts[k].select(F.col("gram").alias("__g"), F.col("cnt").alias(f"__c{k}"))
@@ -235,7 +345,7 @@ class KneserNey:
             own = F.when(c.isNull(), 0.0).otherwise(self._less(k, c))
             back = d1 * F.col(f"__c1_{k}") + d2 * F.col(f"__c2_{k}") + d3 * F.col(f"__c3_{k}")
             p = F.when(tot.isNull(), p).otherwise((own + back * p) / tot)
-        return q.select("gram", F.log(p).alias("logp"))
+        return q.select("gram", F.log(p).alias("logp"), *([self.rows().alias("rows")] if rows else []))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -247,12 +357,21 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def perplexities(docs: DataFrame, model: KneserNey, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``__id, lang, n_chars, perplexity`` per row. ``docs`` must be a scan that repeats (files, not a random order)."""
-    order = model.order
+def _key(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def perplexities(docs: DataFrame, model: KneserNey, id_col: str, text_col: str, lang_col: str, trained: DataFrame | None = None) -> DataFrame:
+    """``__id, lang, n_chars, perplexity`` per row. ``docs`` must be a scan that repeats (files, not a random order).
+
+    A text in ``trained`` (``key``, and ``copies`` that the model was trained on) is scored as if they weren't in the model.
+    """
+    order, without = model.order, trained is not None
+    numbers = (model.classes, model.letters - 1, model.total)
+    more = ["rows"] if without else []
     blocks = materialise(count_grams(docs, text_col, order, block=True), "kn-blocks")
-    known = materialise(model.log_probabilities(blocks.select("gram").distinct()), "kn-logp")
-    slices = blocks.join(known, "gram").select("block", F.lit(0).alias("kind"), "gram", "logp", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("langs", "array<string>"), ("blob", "binary"), ("sizes", "array<int>"))])
+    known = materialise(model.log_probabilities(blocks.select("gram").distinct(), without), "kn-logp")
+    slices = blocks.join(known, "gram").select("block", F.lit(0).alias("kind"), "gram", "logp", *more, *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<bigint>"), ("langs", "array<string>"), ("blob", "binary"), ("sizes", "array<int>"))])
 
     def pack(batches):
         import zstandard
@@ -279,13 +398,24 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str, text_col: str,
             yield out()
 
     schema = "block int, kind int, gram string, logp double, ids array<bigint>, langs array<string>, blob binary, sizes array<int>"
+    none = [F.lit(None).cast(slices.schema[c].dataType).alias(c) for c in slices.columns]
     texts = docs.select(F.spark_partition_id().alias("block"), F.col(id_col).cast("long").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).mapInArrow(lambda b: trimmed(pack(b)), schema)
 
     def score(batches):
         import zstandard
 
         z = zstandard.ZstdDecompressor()
-        block, grams, logp, scorer = None, [], [], None
+        block, grams, logp, scorer, copies, has, rows, left = None, [], [], None, {}, [], [], None
+
+        def sums_of(ts: list[str], keys: list[str]) -> list[float]:
+            own = [k for k, key in enumerate(keys) if ts[k] and key in copies]
+            out = scorer.score(["" if k in set(own) else t for k, t in enumerate(ts)] if own else ts)
+            while own:
+                n = max(1, int(np.searchsorted(np.cumsum([len(ts[k]) for k in own]), _LEFT, "right")))
+                out[own[:n]] = left.score([ts[k] for k in own[:n]], [copies[keys[k]] for k in own[:n]])
+                own = own[n:]
+            return out.tolist()
+
         for b in batches:
             ids, langs, sizes, sums = [], [], [], []
             cut = b.column("block").to_numpy()
@@ -294,27 +424,44 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str, text_col: str,
             for a, e in zip(edges, np.append(edges[1:], len(cut)), strict=True):
                 part = b.slice(a, e - a)
                 if cut[a] != block:
-                    block, grams, logp, scorer = cut[a], [], [], None
+                    block, grams, logp, scorer, copies, has, rows, left = cut[a], [], [], None, {}, [], [], None
+                if kind[a] < 0:
+                    copies.update(zip(part.column("gram").to_pylist(), part.column("rows").flatten().to_pylist(), strict=True))
+                    continue
                 if kind[a] == 0:
                     grams += part.column("gram").to_pylist()
                     logp.append(part.column("logp").to_numpy())
+                    if copies:
+                        has.append(part.column("rows").is_valid().to_numpy(zero_copy_only=False))
+                        rows.append(part.column("rows").flatten().to_numpy())
                     continue
                 if scorer is None and grams:
                     scorer = BlockScorer(grams, np.concatenate(logp), order)
-                    grams, logp = [], []
+                    if copies:
+                        own = np.flatnonzero(np.concatenate(has))
+                        left = LeftOut(scorer, [grams[k] for k in own], np.concatenate(rows).reshape(len(own), -1), *numbers)
+                        left.place(scorer.of[own])
+                    grams, logp, has, rows = [], [], [], []
                 for i, l, blob, n in zip(part.column("ids").to_pylist(), part.column("langs").to_pylist(), part.column("blob").to_pylist(), part.column("sizes").to_pylist(), strict=True):
-                    raw, at, ts = z.decompress(blob) if any(x > 0 for x in n) else b"", 0, []
+                    raw, at, ts, keys = z.decompress(blob) if any(x > 0 for x in n) else b"", 0, [], []
                     for x in n:
                         ts.append(raw[at : at + max(x, 0)].decode())
+                        if copies:
+                            keys.append(hashlib.md5(raw[at : at + max(x, 0)], usedforsecurity=False).hexdigest())
                         at += max(x, 0)
                     ids += i
                     langs += l
                     sizes += [len(t) for t in ts]
-                    sums += scorer.score(ts).tolist() if any(ts) else [0.0] * len(ts)
-            ppl = [math.exp(min(700.0, -s / n)) if n else None for s, n in zip(sums, sizes, strict=True)]
+                    sums += sums_of(ts, keys) if any(ts) else [0.0] * len(ts)
+            ppl = [math.exp(min(700.0, -s / n)) if n and s == s else None for s, n in zip(sums, sizes, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(ppl, pa.float64())], names=["__id", "lang", "n_chars", "perplexity"])
 
-    both = slices.select("block", "kind", F.col("gram"), "logp", "ids", "langs", "blob", "sizes").unionByName(texts)
+    both = slices.unionByName(texts, allowMissingColumns=without)
+    if without:
+        # first of all a block's own texts that were trained on
+        keys = docs.select(F.spark_partition_id().alias("block"), _key(F.col(text_col)).alias("key")).distinct().join(sized(trained, 48), "key")
+        own = {"block": F.col("block"), "kind": F.lit(-1), "gram": F.col("key"), "rows": F.array(F.col("copies").cast("long"))}
+        both = both.unionByName(keys.select(*[own[c].alias(c) if c in own else n for c, n in zip(slices.columns, none, strict=True)]))
     # two partitions a block, so that few of them meet in a task however many there are
     parts = 2 * ((blocks.agg(F.max("block")).first()[0] or 0) + 1)
     return both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(lambda b: trimmed(score(b)), "__id long, lang string, n_chars long, perplexity double")
@@ -335,22 +482,49 @@ def _crossed(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, la
     return out[0].unionByName(out[1])
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_rows: int | None = None, quantile: float = QUANTILE, crossed: bool = False) -> DataFrame:
+def _without(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, order: int) -> DataFrame:
+    """``perplexities`` of all rows by one model of all trusted texts, each without the trusted texts that are equal to it."""
+    train = docs.join(sized(trusted), docs[id_col].cast("long") == trusted["__l"], "left_semi").select(F.col(text_col).alias("text"))
+    model = KneserNey(train, "text", order)
+    trained = materialise(train.where(F.length("text") > 0).groupBy(_key(F.col("text")).alias("key")).agg(F.count("*").alias("copies")), "kn-trained")
+    out = perplexities(docs, model, id_col, text_col, lang_col, trained)
+    return out if model.total else out.withColumn("perplexity", F.lit(None).cast("double"))
+
+
+def exact_quantiles(rows: DataFrame, asked: list[float]) -> DataFrame:
+    """``k, n, q`` of rows ``(k, v)``: per key the count and the values of rank ``ceil(asked n)``, 1 at least.
+
+    Ranks are looked for among the counts of cells of values, then among the distinct values of the one cell that holds it, so
+    no task sorts a key's rows. Keys aren't null, nor values.
+    """
+    values = materialise(rows.groupBy("k", "v").agg(F.count("*").alias("c")).withColumn("cell", F.floor(F.col("v") * _CELLS)), "kn-values")
+    cells = materialise(values.groupBy("k", "cell").agg(F.sum("c").alias("c")), "kn-cells")
+    upto, key = F.sum("c").over(Window.partitionBy("k").orderBy("cell")), Window.partitionBy("k")
+    cells = cells.withColumns({"upto": upto, "n": F.sum("c").over(key)})
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(F.lit(1), F.ceil(F.col("n") * q)).alias("r")) for i, q in enumerate(asked)])
+    cells = cells.withColumn("a", F.explode(ranks)).where("a.r <= upto and a.r > upto - c")
+    cells = materialise(cells.select("k", "cell", "n", F.col("a.i").alias("i"), (F.col("a.r") - F.col("upto") + F.col("c")).alias("r")), "kn-cells")
+    found = values.join(sized(cells, 64), ["k", "cell"]).withColumn("upto", F.sum("c").over(Window.partitionBy("k", "i").orderBy("v"))).where("r <= upto and r > upto - c")
+    return found.groupBy("k", "n").agg(F.array(*[F.max(F.when(F.col("i") == i, F.col("v"))) for i in range(len(asked))]).alias("q"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_rows: int | None = None, quantile: float = QUANTILE, crossed: bool = False, left_out: bool = False) -> DataFrame:
     """One row per input row: ``__id, lang, n_chars, perplexity, threshold, rejected``.
 
     ``labels``: ``(doc_id, quality, toxic)``; text is trusted where quality is 1 and toxic isn't.
     With ``train_rows`` the model is trained on so many trusted documents at most; the thresholds use all others.
     With ``crossed`` all trusted documents train one of two models and set the thresholds, scored by the other one.
+    With ``left_out`` all train the one model and set the thresholds, each scored without the trusted texts equal to it.
     """
-    if crossed and train_rows is not None:
-        raise ValueError("train_rows has no meaning with crossed")
+    if crossed + left_out + (train_rows is not None) > 1:
+        raise ValueError("crossed, left_out and train_rows exclude each other")
     spark = docs.sparkSession
     bounded_batches(spark)
     trusted = labels.where((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__l")).distinct()
     own = docs[id_col].cast("long")
-    if crossed:
+    if crossed or left_out:
         trusted = materialise(trusted, "kn-trusted")
-        scored = materialise(_crossed(docs, trusted, id_col, text_col, lang_col, order), "kn-scores")
+        scored = materialise((_without if left_out else _crossed)(docs, trusted, id_col, text_col, lang_col, order), "kn-scores")
         held = trusted
     else:
         sample = trusted.where(_half(F.col("__l")) == 0)
@@ -362,12 +536,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         scored = materialise(perplexities(docs, model, id_col, text_col, lang_col), "kn-scores")
         held = trusted.join(sized(sample), "__l", "left_anti")
     held = scored.join(held, F.col("__id") == F.col("__l"), "left_semi").where("perplexity is not null")
-    wide = lambda: [F.percentile_approx(F.log("perplexity"), [0.5, quantile], 10000).alias("q"), F.count("*").alias("n")]
-    bound = lambda q: F.struct(q[0].alias("mid"), (q[1] + WIDEN * (q[1] - q[0])).alias("top"))
-    by_lang = held.groupBy(F.coalesce("lang", F.lit("")).alias("__k")).agg(*wide()).where(F.col("n") >= MIN_CALIBRATION).select("__k", bound(F.col("q")).alias("__own"))
-    whole = held.agg(*wide()).select(bound(F.col("q")).alias("b")).first()["b"]
+    # a language's key begins with =, all languages' is empty
+    own = F.concat(F.lit("="), F.coalesce("lang", F.lit("")))
+    found = exact_quantiles(held.select(F.explode(F.array(own, F.lit(""))).alias("k"), F.log("perplexity").alias("v")), [0.5, quantile])
+    q = F.col("q")
+    found = materialise(found.select("k", "n", F.struct(q[0].alias("mid"), (q[1] + WIDEN * (q[1] - q[0])).alias("top")).alias("__own")), "kn-bounds")
+    whole = (found.where("k = ''").first() or {"__own": {"mid": None, "top": None}})["__own"]
     overall = F.struct(F.lit(whole["mid"]).cast("double").alias("mid"), F.lit(whole["top"]).cast("double").alias("top"))
-    out = scored.join(by_lang, F.coalesce("lang", F.lit("")) == F.col("__k"), "left").withColumn("__b", F.coalesce("__own", overall))
+    by_lang = found.where((F.col("k") != "") & (F.col("n") >= MIN_CALIBRATION)).select("k", "__own")
+    out = scored.join(sized(by_lang, 64), own == F.col("k"), "left").withColumn("__b", F.coalesce("__own", overall))
     mid, top, n = F.col("__b.mid"), F.col("__b.top"), F.col("n_chars")
     # a rounding's width above, so that a text at the quantile itself isn't beyond it
     bound = F.exp(mid + (top - mid) * (n + PRIOR_CHARS) / n) * (1 + 1e-9)
@@ -377,9 +554,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, columns as they were; an id is judged by its worst row.
 
-    All trusted labels train and set the thresholds (``crossed``), unless ``train_rows`` bounds what is trained on.
+    All trusted labels train and set the thresholds (``crossed`` or ``left_out``), unless ``train_rows`` bounds what is trained on.
     """
-    kw.setdefault("crossed", kw.get("train_rows") is None)
+    kw.setdefault("crossed", kw.get("train_rows") is None and not kw.get("left_out"))
     with freed(docs.sparkSession):
         out = classify(docs, labels, id_col, **kw)
         lost = materialise(out.where("rejected").select("__id").distinct(), "kn-drop", keep=True)
