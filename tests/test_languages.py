@@ -4,7 +4,8 @@ import pyarrow as pa
 import pytest
 
 from weftgraph.frontends.lexical import LANGUAGES, arrow, facts, facts_of
-from weftgraph.frontends.resolve import analyze
+from weftgraph.frontends.resolve import Cancelled, analyze
+from weftgraph.operators import rank as rk
 from weftgraph.operators import relational as rl
 
 
@@ -64,6 +65,57 @@ def test_typescript_modules(spark):
     assert problems == ['unresolved import "./gone"']
 
 
+def test_typescript_marks_value_import_cycles(spark):
+    files = [
+        ("a.ts", "import { b } from './b';\nimport type { T } from './t';\n"),
+        ("b.ts", "import { c } from './c';\n"),
+        ("c.ts", "import './a';\nimport './end';\nimport 'react';\n"),
+        ("t.ts", "import { a } from './a';\n"),
+        ("end.ts", "import './end';\n"),
+        ("into.ts", "export * from './a';\n"),
+    ]
+    e, _ = edges(spark, "typescript", files)
+    flags = {(r["src"][7:], r["dst"][7:]): r["in_cycle"] for r in e.values()}
+    # c imports end, of another cycle: both ends are on one
+    assert {k for k, v in flags.items() if v} == {("a.ts", "b.ts"), ("b.ts", "c.ts"), ("c.ts", "a.ts"), ("c.ts", "end.ts"), ("end.ts", "end.ts")}
+    assert {k for k, v in flags.items() if v is None} == {("a.ts", "t.ts"), ("t.ts", "a.ts"), ("c.ts", "external:react"), ("into.ts", "a.ts")}
+
+
+@pytest.mark.parametrize("pairs", [[], [(k, k + 1) for k in range(60)], [(k, (k + 1) % 60) for k in range(60)], [(k, k * 7 % 40) for k in range(40)] + [(k, k * 5 // 3) for k in range(40)]])
+def test_cyclic_nodes_of_one_task_and_of_components(spark, pairs):
+    e = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string")
+    reach = {a: {a} for a, _ in pairs}
+    for _ in pairs:
+        for a in reach:
+            reach[a] |= {y for x, y in pairs if x in reach[a]}
+    want = {str(a) for a in reach if any(a in (y, *reach.get(y, ())) for x, y in pairs if x == a)}
+    for few in (1000, -1):
+        assert {r["id"] for r in rk.cyclic(e, few).collect()} == want
+
+
+def test_typescript_callbacks_recursion_and_unknown_classes(spark):
+    files = [
+        ("a.ts", "import { far, Kind } from './b';\nfunction near() { near(); }\nclass Own {}\nfunction f(xs) { xs.map(near, far, Own, Kind, other); new Gone(near); g()(far); if (near) { xs[0]?.(near); } }\nfunction h(near) { return (near); }\n"),
+        ("b.ts", "export function far() {}\nexport class Kind {}\n"),
+    ]
+    e, _ = edges(spark, "typescript", files)
+    got = {(r["src"].split("#")[-1], r["dst"].split("#")[-1]): (r["cnt"], r["low"]) for r in e.values() if r["kind"] == "calls"}
+    assert got == {("near", "near"): (None, None), ("f", "near"): (2, True), ("f", "far"): (2, True), ("f", "Gone"): (None, True), ("f", "g"): (None, True)}
+
+
+def test_typescript_phases_and_cancellation(spark):
+    files = spark.createDataFrame([("a.ts", "import './b';\n"), ("b.ts", "import './a';\nf();\n")], "path string, text string")
+    said = []
+    g, _ = analyze(files, "typescript", progress=lambda *x: said.append(x), cancelled=lambda: False)
+    phases = ["structure", "heritage", "imports", "cycles", "calls"]
+    assert said == [(p, n, 2) for p in phases for n in (0, 2)]
+    assert g.edges.where("in_cycle").count() == 2 and {r["id"] for r in g.edges.collect()} == {r["id"] for r in analyze(files, "typescript")[0].edges.collect()}
+    said.clear()
+    with pytest.raises(Cancelled, match="imports"):
+        analyze(files, "typescript", progress=lambda *x: said.append(x), cancelled=lambda: len(said) >= 4)
+    assert [p for p, n, _ in said if n] == phases[:2]
+
+
 def test_rust_paths(spark):
     files = [("src/lib.rs", "mod store;\nuse crate::store::disk::Disk;\nuse std::fmt;\n"), ("src/store/mod.rs", "pub mod disk;\nuse super::util::go;\n"), ("src/store/disk.rs", "use super::super::util;\nuse self::none::X;\n"), ("src/util.rs", "")]
     e, _ = edges(spark, "rust", files)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..operators.rank import cyclic
 from ..schema import EDGES, NODES, CodeGraph, edge_id, padded
 from ..storage import dealt, stored
 from . import lexical
@@ -15,6 +18,10 @@ SCRIPT = ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs"]
 _NONE = "cast(array() as array<string>)"
 
 
+class Cancelled(RuntimeError):
+    """``cancelled()`` was true before the phase that is named."""
+
+
 def normalised(parts: Column) -> Column:
     """Path segments without ``.``, empty ones, and what ``..`` takes back."""
     step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
@@ -26,9 +33,9 @@ def folder(path: Column) -> Column:
     return F.slice(parts, 1, F.size(parts) - 1)
 
 
-def _first(tries: DataFrame, files: DataFrame) -> DataFrame:
-    """``path, spec, target``: the first candidate of an import that is a file, and not the importing one."""
-    hit = tries.join(dealt(files.select(F.col("path").alias("target"))), "target").where("target <> path")
+def _first(tries: DataFrame, files: DataFrame, own: bool = False) -> DataFrame:
+    """``path, spec, target``: the first candidate of an import that is a file, and not the importing one unless ``own``."""
+    hit = tries.join(dealt(files.select(F.col("path").alias("target"))), "target").where(F.lit(own) | (F.col("target") != F.col("path")))
     return hit.groupBy("path", "spec").agg(F.min_by("target", "pos").alias("target"))
 
 
@@ -52,7 +59,7 @@ def script_targets(imports: DataFrame, files: DataFrame, aliases: dict[str, list
         stem = F.regexp_replace(base, r"\.([mc]?)js(x?)$", "")
         tries += [base, *[F.concat(base, F.lit("." + e)) for e in SCRIPT], *[F.when(base.rlike(r"\.[mc]?jsx?$"), F.concat(stem, F.lit("." + e))) for e in SCRIPT[:4]]]
         tries += [F.concat(base, F.when(base == "", "").otherwise("/"), F.lit("index." + e)) for e in SCRIPT]
-    return _first(_exploded(imports, F.array(*tries)).where("target is not null"), files)
+    return _first(_exploded(imports, F.array(*tries)).where("target is not null"), files, own=True)
 
 
 def ruby_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -97,16 +104,50 @@ def declared(f: DataFrame) -> DataFrame:
     return d.withColumn("n", n).withColumn("id", F.when(F.col("n") > 1, F.concat("base", F.lit("~"), F.col("n").cast("string"))).otherwise(F.col("base")))
 
 
-def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None = None) -> tuple[CodeGraph, DataFrame]:
+def _structure(files: DataFrame, lang: str) -> tuple[DataFrame, DataFrame]:
+    f = stored(lexical.facts(files, lang), "facts")
+    return f, stored(declared(f), "declared")
+
+
+def _in_cycles(imports: DataFrame) -> DataFrame:
+    """``imports`` with ``in_cycle``: value imports between files that are both on a cycle of value imports."""
+    value = stored(imports.where("inside and type_only is null").select("src", "dst"), "value-imports")
+    on = cyclic(value)
+    if on.isEmpty():
+        return imports
+    hit = value.join(dealt(on.withColumnRenamed("id", "src")), "src", "left_semi").join(dealt(on.withColumnRenamed("id", "dst")), "dst", "left_semi")
+    return imports.join(dealt(hit.withColumn("in_cycle", F.lit(True))), ["src", "dst"], "left")
+
+
+def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None = None, progress: Callable[[str, int, int], None] | None = None, cancelled: Callable[[], bool] | None = None) -> tuple[CodeGraph, DataFrame]:
     """The graph and diagnostics of the files of one language (``lexical.LANGUAGES``).
 
     Calls: by name within the file to the first callable, with low confidence; in TypeScript also through named
-    imports, ``this`` and ``new`` with full confidence, and an unknown plain name gives an ``unresolved`` node. TypeScript
-    also has extends and implements edges, and signatures and doc lines as they are written. The files are read by one
-    pass whose facts are stored, and the joins deal out both sides.
+    imports, ``this`` and ``new`` with full confidence, an unknown name gives an ``unresolved`` node, and a function that is
+    an argument of a call is called with low confidence. TypeScript also has extends and implements edges, import cycles,
+    calls and imports of itself, and signatures and doc lines as they are written. The files are read by one pass whose
+    facts are stored, and the joins deal out both sides.
+
+    Phases: structure, imports and calls; in TypeScript structure, heritage, imports, cycles, calls. ``progress(phase, done,
+    total)`` is told of each before and after, in files; before each ``cancelled()`` is asked, and ``Cancelled`` raised if
+    it is true. With either of them a phase's rows are stored before the next begins, else what the caller doesn't use
+    isn't made.
     """
-    f = stored(lexical.facts(files, lang), "facts")
-    d = stored(declared(f), "declared")
+    watched = progress is not None or cancelled is not None
+    total = files.count() if progress else 0
+
+    def phase(name: str, make):
+        if cancelled and cancelled():
+            raise Cancelled(name)
+        if progress:
+            progress(name, 0, total)
+        out = make()
+        if progress:
+            progress(name, total, total)
+        return out
+
+    kept = lambda df, name: stored(df, name) if watched else df
+    f, d = phase("structure", lambda: _structure(files, lang))
     module = F.concat(F.lit("module:"), "path")
     owner = dealt(d.select("path", F.col("seq").alias("parent"), F.col("id").alias("owner")))
     contains = d.where("kind <> 'module'").join(owner, ["path", "parent"], "left").select(F.lit("contains").alias("kind"), F.coalesce("owner", module).alias("src"), F.col("id").alias("dst"))
@@ -123,23 +164,37 @@ def analyze(files: DataFrame, lang: str, aliases: dict[str, list[str]] | None =
         outside = F.regexp_replace("spec", r"\.\*$", "")
     found = raw.join(dealt(known), ["path", "spec"], "left")
     to = F.coalesce(F.concat(F.lit("module:"), "target"), F.concat(F.lit("module:external:"), outside))
-    found = found.select("path", "spec", "names", "target", module.alias("src"), to.alias("dst"), F.coalesce("type", F.lit(False)).alias("type")).where("src <> dst")
-    imports = found.groupBy("src", "dst").agg(F.when(F.min("type"), True).alias("type_only")).withColumn("kind", F.lit("imports"))
+    found = found.select("path", "spec", "names", "target", module.alias("src"), to.alias("dst"), F.coalesce("type", F.lit(False)).alias("type"))
+    if lang == "typescript":
+
+        def inherited(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+            found = stored(found, "imports")
+            return found, kept(_heritage(f, owner, d, found), "heritage")
+
+        found, heritage = phase("heritage", lambda: inherited(found))
+    else:
+        found = found.where("src <> dst")
+    imports = found.groupBy("src", "dst").agg(F.when(F.min("type"), True).alias("type_only"), F.max(F.col("target").isNotNull()).alias("inside")).withColumn("kind", F.lit("imports"))
+    imports = phase("imports", lambda: kept(imports, "import-edges"))
+    if lang == "typescript":
+        imports = phase("cycles", lambda: kept(_in_cycles(imports), "cycles"))
     external = found.where("target is null").select(F.col("dst").alias("id"), F.expr("substring(dst, 17)").alias("name")).distinct().select("id", F.lit("module").alias("kind"), "name", F.col("name").alias("qn"), F.lit(True).alias("external"))
 
-    calls = f.where("fact = 'call'").select("path", F.col("kind").alias("how"), "name", "parent").join(owner, ["path", "parent"], "left").withColumn("src", F.coalesce("owner", module))
+    how = F.when(F.col("fact") == "reference", "argument").otherwise(F.col("kind"))
+    calls = f.where("fact in ('call', 'reference')").select("path", how.alias("how"), "name", "parent").join(owner, ["path", "parent"], "left").withColumn("src", F.coalesce("owner", module))
     kinds = ["function", "method"] if lang != "typescript" else ["function", "class"]
     first = lambda want: dealt(d.where(F.col("kind").isin(want)).groupBy("path", "name").agg(F.min_by("id", "seq").alias("dst")))
     if lang != "typescript":
-        to_calls = calls.join(first(kinds), ["path", "name"]).select("src", "dst", F.lit(True).alias("low"))
+        to_calls = calls.join(first(kinds), ["path", "name"]).select("src", "dst", F.lit(True).alias("low")).where("src <> dst")
     else:
         to_calls = _script_calls(calls, d, found, first)
         external = external.unionByName(to_calls.where("startswith(dst, 'function:unresolved#')").select(F.col("dst").alias("id"), F.lit("function").alias("kind"), F.substring_index("dst", "#", -1).alias("name"), F.substring_index("dst", "#", -1).alias("qn"), F.lit(True).alias("external")).distinct())
     n = F.count("*")
-    to_calls = to_calls.where("src <> dst").groupBy("src", "dst").agg(F.when(n > 1, n).alias("cnt"), F.when(F.min("low"), True).alias("low")).withColumn("kind", F.lit("calls"))
+    to_calls = to_calls.groupBy("src", "dst").agg(F.when(n > 1, n).alias("cnt"), F.when(F.min("low"), True).alias("low")).withColumn("kind", F.lit("calls"))
+    to_calls = phase("calls", lambda: kept(to_calls, "calls"))
     e = padded(contains, EDGES).unionByName(padded(to_calls, EDGES)).unionByName(padded(imports, EDGES))
     if lang == "typescript":
-        e = e.unionByName(padded(_heritage(f, owner, d, found), EDGES))
+        e = e.unionByName(padded(heritage, EDGES))
     e = e.withColumn("id", edge_id(F.col("kind"), F.col("src"), F.col("dst")))
     nodes = padded(d.withColumn("file", F.col("path")), NODES).unionByName(padded(external, NODES))
     problems = f.where("fact = 'problem'").select(F.col("kind").alias("severity"), F.col("name").alias("message"), F.col("path").alias("file"))
@@ -174,14 +229,15 @@ def _heritage(f: DataFrame, owner: DataFrame, d: DataFrame, found: DataFrame) ->
 
 
 def _script_calls(calls: DataFrame, d: DataFrame, found: DataFrame, first) -> DataFrame:
-    """``src, dst, low``: this-methods within the owner's class; plain names in the file, then through imports."""
+    """``src, dst, low``: this-methods within the owner's class; plain names in the file, then through imports; functions that are arguments."""
     methods = d.where("kind = 'method'").groupBy("path", F.col("parent").alias("cls"), "name").agg(F.min_by("id", "seq").alias("dst"))
     inside = d.select(F.col("id").alias("src"), F.col("parent").alias("cls"))
     own = calls.where("how = 'this'").join(dealt(inside), "src").join(dealt(methods), ["path", "cls", "name"]).select("src", "dst", F.lit(False).alias("low"))
-    plain = calls.where("how is null or how = 'new'")
+    plain = calls.where("how is null or how in ('new', 'argument')")
     local = plain.join(first(["function", "class"]), ["path", "name"], "left")
     bound = _bound(found, first(["function", "class"]))
     r = local.join(dealt(bound), ["path", "name"], "left")
-    known = r.select("src", F.coalesce("dst", "away").alias("dst"), F.lit(False).alias("low")).where("dst is not null")
-    lost = r.where("dst is null and bound is null and how is null").where(~F.col("name").isin(sorted(lexical.GLOBALS)))
+    argument = F.coalesce(F.col("how") == "argument", F.lit(False))
+    known = r.select("src", F.coalesce("dst", "away").alias("dst"), argument.alias("low")).where("dst is not null and (not low or startswith(dst, 'function:'))")
+    lost = r.where("dst is null and bound is null and (how is null or how = 'new')").where(~F.col("name").isin(sorted(lexical.GLOBALS)))
     return own.unionByName(known).unionByName(lost.select("src", F.concat(F.lit("function:unresolved#"), "name").alias("dst"), F.lit(True).alias("low")))

@@ -72,6 +72,44 @@ def pagerank(g: CodeGraph, damping: float = 0.85, iterations: int = 40, seeds: l
     return score
 
 
+def _strong(nodes, out) -> dict:
+    """Node to the least node of its component; ``out`` has the nodes behind each node that has some."""
+    index, low, stack, on, component = {}, {}, [], set(), {}
+    for begin in nodes:
+        if begin in index:
+            continue
+        index[begin] = low[begin] = len(index)
+        stack.append(begin)
+        on.add(begin)
+        work = [(begin, iter(out.get(begin, ())))]
+        while work:
+            v, more = work[-1]
+            for w in more:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(out.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    members = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        members.append(w)
+                        if w == v:
+                            break
+                    least = min(members)
+                    component.update(dict.fromkeys(members, least))
+    return component
+
+
 def _tarjan(pairs: DataFrame) -> DataFrame:
     def run(batches):
         out, nodes = defaultdict(list), {}
@@ -79,39 +117,7 @@ def _tarjan(pairs: DataFrame) -> DataFrame:
             for s, d in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
                 nodes[s] = nodes[d] = None
                 out[s].append(d)
-        index, low, stack, on, component = {}, {}, [], set(), {}
-        for begin in nodes:
-            if begin in index:
-                continue
-            index[begin] = low[begin] = len(index)
-            stack.append(begin)
-            on.add(begin)
-            work = [(begin, iter(out.get(begin, ())))]
-            while work:
-                v, more = work[-1]
-                for w in more:
-                    if w not in index:
-                        index[w] = low[w] = len(index)
-                        stack.append(w)
-                        on.add(w)
-                        work.append((w, iter(out.get(w, ()))))
-                        break
-                    if w in on:
-                        low[v] = min(low[v], index[w])
-                else:
-                    work.pop()
-                    if work:
-                        low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                    if low[v] == index[v]:
-                        members = []
-                        while True:
-                            w = stack.pop()
-                            on.discard(w)
-                            members.append(w)
-                            if w == v:
-                                break
-                        least = min(members)
-                        component.update(dict.fromkeys(members, least))
+        component = _strong(nodes, out)
         yield pa.RecordBatch.from_arrays([pa.array(list(component), pa.string()), pa.array(list(component.values()), pa.string())], names=["id", "scc"])
 
     return pairs.coalesce(1).mapInArrow(run, "id string, scc string")
@@ -155,6 +161,55 @@ def vertices_in_cycles(edges: DataFrame, parts: DataFrame | None = None) -> Data
     return parts.join(big, "scc", "left_semi").select("id").union(loops).distinct()
 
 
+#: Edges up to which ``cyclic`` is one task's: as numbers they take much less than the strings of ``FEW``.
+CYCLE_FEW = 1 << 22
+
+
+def _cyclic_task(pairs: DataFrame) -> DataFrame:
+    """What no edge leads into or out of, of what is left, is peeled off first: chains have nothing left, however long."""
+
+    def run(batches):
+        held = [(b.column("src"), b.column("dst")) for b in batches]
+        if not held:
+            return
+        ids = pa.concat_arrays([x[0] for x in held] + [x[1] for x in held]).dictionary_encode()
+        at, names = ids.indices.to_numpy(), ids.dictionary
+        s, d = at[: len(at) // 2], at[len(at) // 2 :]
+        found = set(s[s == d].tolist())
+        s, d = s[s != d], d[s != d]
+        for _ in range(2):  # along the edges, then against them
+            order = np.argsort(s, kind="stable")
+            begins, ends = np.searchsorted(s[order], np.arange(len(names) + 1)).tolist(), d[order].tolist()
+            into = np.bincount(d, minlength=len(names)).tolist()
+            free = [v for v, n in enumerate(into) if not n]
+            gone = np.zeros(len(names), bool)
+            while free:
+                v = free.pop()
+                gone[v] = True
+                for w in ends[begins[v] : begins[v + 1]]:
+                    into[w] -= 1
+                    if not into[w]:
+                        free.append(w)
+            keep = ~(gone[s] | gone[d])
+            s, d = d[keep], s[keep]
+        out = defaultdict(list)
+        for a, b in zip(s.tolist(), d.tolist(), strict=True):
+            out[a].append(b)
+        several = defaultdict(list)
+        for v, c in _strong(list(out), out).items():
+            several[c].append(v)
+        found.update(v for members in several.values() if len(members) > 1 for v in members)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(sorted(found), pa.int64())).cast(pa.string())], names=["id"])
+
+    return pairs.coalesce(1).mapInArrow(run, "id string")
+
+
+def cyclic(edges: DataFrame, few: int = CYCLE_FEW) -> DataFrame:
+    """``id`` of the nodes of ``edges(src, dst)`` on a cycle, stored; more than ``few`` edges go by components."""
+    pairs = stored(edges.select("src", "dst").distinct(), "cycle-edges")
+    return stored(_cyclic_task(pairs) if pairs.count() <= few else vertices_in_cycles(pairs), "cyclic")
+
+
 def mark_import_cycles(g: CodeGraph, strict: bool = False) -> DataFrame:
     """Edges with ``in_cycle`` on value imports between internal modules that are both cyclic; strict: in one component."""
     own = g.nodes.where("kind = 'module' and not coalesce(external, false)").select("id")
