@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftgraph.frontends.flow import block_label, dead_blocks, flow, flow_of, parallel_edges, validate_flow
+from weftgraph.frontends.flow import FLOW, block_label, dead_blocks, flow, flow_of, parallel_edges, validate_flow
 
 SHORT = {"normal": "n", "true": "t", "false": "f", "back": "b", "case": "c", "exception": "x", "finally": "y"}
 
@@ -70,6 +70,51 @@ def test_validation_reads_the_files_once(spark):
     assert "MapInArrow" not in plan and "Broadcast" not in plan and out.count() == 0
 
 
+BLOCKS = {"entry": ("entry", [], []), "b1": ("basic", ["x = 1"], [(2, 2, 2, 8)]), "exit": ("exit", [], [])}
+EDGES = [("entry", "b1", "normal", None), ("b1", "exit", "normal", None)]
+
+
+def small(blocks=(), edges=(), ends=("entry", "exit"), instead=None, fn=1):
+    """The rows of entry, b1 and exit, with blocks in place of theirs or more of them, and more edges."""
+    held = [*({k: (k, *v) for k, v in BLOCKS.items()} | {b[0]: b for b in blocks[:1]}).values(), *blocks[1:]]
+    out = [("a.ts", fn, "f", "block", i, k, t, False, None, None, None, None, None, at) for i, k, t, at in held if k != "none"]
+    out += [("a.ts", fn, "f", "edge", None, k, None, None, a, b, x, None, None, None) for a, b, k, x in [*(EDGES if instead is None else instead), *edges]]
+    return [*out, ("a.ts", fn, "f", "function", None, None, None, None, *ends, None, 1, 10, None)]
+
+
+def test_validation_finds_each_problem(spark):
+    b1, again = ("b1", "basic", ["x = 1"], [(2, 2, 2, 8)]), ("b1", "basic", [], [])
+    cases = [
+        (small(), []),
+        (small([("b1", "basic", ["x"], [(2, 40, 3, 2)])], [("b1", "exit", "case", "1")]), []),
+        (small([b1, again, again]), ["duplicate block id b1"] * 2),
+        (small([("b1", "basic", ["x = 1", "y = 2"], [(2, 2, 2, 8)])]), ["block b1 has 2 statements but 1 spans"]),
+        (small([("b1", "basic", ["x = 1"], None)]), ["block b1 has 1 statements but 0 spans"]),
+        (small([("entry", "entry", ["x = 1"], [(2, 2, 2, 8)])]), ["entry block entry must be empty"]),
+        (small([("b1", "basic", ["x"], [(2, 9, 2, 3)])]), ["block b1 has an inverted span (2:9)"]),
+        (small([("b1", "basic", ["x"], [(5, 0, 3, 0)])]), ["block b1 has an inverted span (5:0)"]),
+        (small([("b1", "basic", ["x", "y"], [(2, 0, 99, 0), (0, 1, 1, 1)])]), ["block b1 maps outside its function (0)", "block b1 maps outside its function (2)"]),
+        (small([b1, ("entry2", "entry", [], []), ("exit2", "exit", [], [])]), ["expected exactly one entry block, found 2", "expected exactly one exit block, found 2"]),
+        (small([("entry", "none", [], [])]), ["edge from unknown block entry", "entryId entry is not a block", "expected exactly one entry block, found 0"]),
+        (small(ends=("entry", "nowhere")), ["exitId nowhere is not a block"]),
+        (small(edges=[("ghost", "exit", "normal", None), ("b1", "ghost", "normal", None)]), ["edge from unknown block ghost", "edge to unknown block ghost"]),
+        (small(edges=[("b1", "entry", "back", None), ("exit", "b1", "normal", None)]), ["entry block has an incoming edge", "exit block has an outgoing edge"]),
+        (small(edges=[("entry", "b1", "normal", ""), ("entry", "b1", "true", None)]), ["duplicate edge entry→b1:normal:", "edge entry→b1:normal: carries a label but is not a case edge"]),
+        (small(instead=[("entry", "b1", "normal", "yes"), EDGES[1]]), ["edge entry→b1:normal:yes carries a label but is not a case edge"]),
+        (small()[:-1], ["expected exactly one function, found 0"]),
+        (small()[-1:], ["entryId entry is not a block", "exitId exit is not a block", "expected exactly one entry block, found 0", "expected exactly one exit block, found 0"]),
+    ]
+    rows = [(r[0], k, *r[2:]) for k, (part, _) in enumerate(cases) for r in part]
+    found = validate_flow(spark.createDataFrame(rows, FLOW)).collect()
+    assert [sorted(r["problem"] for r in found if r["fn"] == k) for k in range(len(cases))] == [want for _, want in cases]
+
+
+def test_each_statement_has_its_span():
+    rows = list(flow_of("m.ts", "let z;\nfunction f(a) {\n  /* one */ g(a,\n    1); // two\n  if ( a ) return 1;\n}\n"))
+    assert {r[4]: r[13] for r in rows if r[3] == "block"} == {"entry": [], "exit": [], "b1": [(3, 13, 4, 8)], "b2": [(5, 8, 5, 9)], "b3": [(5, 12, 5, 21)]}
+    assert [r[8:10] + r[11:13] for r in rows if r[3] == "function"] == [("entry", "exit", 2, 6)]
+
+
 def test_dead_blocks_of_a_deep_function(spark):
     """One pass, without a join for each level of the deepest function."""
     deep = "function f(a) {\n" + "  if (a) { g(); }\n" * 200 + "  return 1;\n  lost();\n}\nfunction whole() {}\n"

@@ -3,12 +3,14 @@
 Statements are read off blanked text by a small recursive reader; a builder turns them into blocks. An edge's kind is
 ``normal``, ``true``, ``false``, ``back``, ``case``, ``exception`` or ``finally``. Named functions and methods have a graph
 each, nested ones too; anonymous callbacks are part of the statement that holds them. A function that can't be read gives a
-warning and no graph; the others stay.
+warning and no graph; the others stay. A row ``function`` has the ids of the entry and the exit as ``src`` and ``dst`` and the
+function's lines; a block has a span for each statement, lines and columns from 1, the end behind its last character.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from ..storage import dealt, spread, stored
 from .lexical import _TS_ARGS, LANGUAGES, Brackets, arrow, blanked
 
-FLOW = "path string, fn int, name string, fact string, id string, kind string, statements array<string>, awaits boolean, src string, dst string, label string, start_line int, end_line int"
-_TYPES = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+FLOW = "path string, fn int, name string, fact string, id string, kind string, statements array<string>, awaits boolean, src string, dst string, label string, start_line int, end_line int, spans array<struct<start_line:int,start_col:int,end_line:int,end_col:int>>"
+_SPAN = pa.struct([(c, pa.int32()) for c in ("start_line", "start_col", "end_line", "end_col")])
+_TYPES = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(_SPAN)]
 #: Fixed value: characters of a statement's label.
 LABEL_CHARS = 60
 _OPERATOR_END, _OPERATOR_START = re.compile(r"(?:[=+\-*/%&|^,.?:<>(!]|\b(?:in|of|instanceof|new|typeof|await))$"), re.compile(r"[.?:*/%&|^,=<>)\]]|\+(?!\+)|-(?!-)|instanceof\b|in\b")
@@ -433,9 +436,18 @@ def flow_of(path: str, text: str | None) -> Iterator[tuple]:
     code = blanked(text, LANGUAGES["typescript"].quiet)
     brackets = Brackets(code)
     if not brackets.balanced:
-        yield (path, 0, None, "problem", None, "warning", None, None, None, None, "file has syntax errors", None, None)
+        yield (path, 0, None, "problem", None, "warning", None, None, None, None, "file has syntax errors", None, None, None)
         return
-    line = lambda at: code.count("\n", 0, at) + 1
+    breaks = [-1, *(m.start() for m in re.finditer("\n", code))]
+    line = lambda at: bisect_left(breaks, at)
+
+    def span(a: int, b: int) -> tuple[int, int, int, int]:
+        """Of what is written from a to b, without the space around it."""
+        inner = code[a:b].strip()
+        a += len(code[a:b]) - len(code[a:b].lstrip()) if inner else 0
+        b = a + len(inner)
+        return line(a), a - breaks[line(a) - 1], line(b), b - breaks[line(b) - 1]
+
     for n, (name, start, a, b) in enumerate(functions_of(text, code, brackets), 1):
         reader = Reader(text, code, brackets)
         try:
@@ -446,17 +458,19 @@ def flow_of(path: str, text: str | None) -> Iterator[tuple]:
                 build.statements(reader.many(a, b))
             blocks, edges = build.finished()
         except (ValueError, KeyError, IndexError, RecursionError) as why:
-            yield (path, n, name, "problem", None, "warning", None, None, None, None, f"{name} can't be read: {why}", line(start), line(b))
+            yield (path, n, name, "problem", None, "warning", None, None, None, None, f"{name} can't be read: {why}", line(start), line(b), None)
             continue
         for end in ("entry", "exit"):
-            yield (path, n, name, "block", end, end, [], False, None, None, None, None, None)
+            yield (path, n, name, "block", end, end, [], False, None, None, None, None, None, [])
         for key, spans in blocks.items():
             texts = [f"switch {short(text[s[1] : s[2]])}" if s[0] == "switch" else short(text[s[0] : s[1]]) for s in spans]
             where = [s[-2:] for s in spans]
             awaits = any(re.search(r"\bawait\b", code[x:y]) for x, y in where)
-            yield (path, n, name, "block", key, "basic", texts, awaits, None, None, None, line(where[0][0]) if where else None, line(where[-1][1]) if where else None)
+            yield (path, n, name, "block", key, "basic", texts, awaits, None, None, None, line(where[0][0]) if where else None, line(where[-1][1]) if where else None, [span(*s) for s in where])
         for src, dst, kind, label in edges:
-            yield (path, n, name, "edge", None, kind, None, None, src, dst, label, None, None)
+            yield (path, n, name, "edge", None, kind, None, None, src, dst, label, None, None, None)
+        start += len(code[start:a]) - len(code[start:a].lstrip())
+        yield (path, n, name, "function", None, None, None, None, "entry", "exit", None, line(start), line(b), None)
 
 
 def flow(files: DataFrame) -> DataFrame:
@@ -522,19 +536,40 @@ def parallel_edges(rows: DataFrame) -> DataFrame:
 
 
 def validate_flow(rows: DataFrame) -> DataFrame:
-    """``path, fn, problem``: duplicate blocks or edges, wrong ends, unknown blocks, labels on edges that aren't cases."""
-    rows = stored(rows.select("path", "fn", "fact", "id", "kind", "src", "dst", "label"), "flow")
+    """``path, fn, problem``, a row for each: ids that repeat or are unknown, not one entry or exit, statements without a span,
+    entries and exits that aren't empty, spans that are inverted or outside their function, edges into the entry, out of the
+    exit or twice, labels on edges that aren't cases.
+    """
+    rows = stored(rows.where("fact in ('function', 'block', 'edge')").select("path", "fn", "fact", "id", "kind", "statements", "src", "dst", "label", "start_line", "end_line", "spans"), "flow")
     b, e = rows.where("fact = 'block'"), rows.where("fact = 'edge'")
-    say = lambda df, text: df.select("path", "fn", F.lit(text).alias("problem"))
-    keys = b.select("path", "fn", "id")
-    ends = e.select("path", "fn", F.explode(F.array("src", "dst")).alias("id"))
-    out = say(b.groupBy("path", "fn", "id").count().where("count > 1"), "duplicate block")
-    for end in ("entry", "exit"):
-        out = out.unionByName(say(b.groupBy("path", "fn").agg(F.count_if(F.col("kind") == end).alias("n")).where("n <> 1"), f"not one {end}"))
-    out = out.unionByName(say(ends.join(dealt(keys), ["path", "fn", "id"], "left_anti"), "unknown block"))
-    out = out.unionByName(say(e.where("dst = 'entry' or src = 'exit'"), "edge into entry or out of exit"))
-    out = out.unionByName(say(e.groupBy("path", "fn", "src", "dst", "kind", "label").count().where("count > 1"), "duplicate edge"))
-    return out.unionByName(say(e.where("label is not null and kind <> 'case'"), "label on another kind")).distinct()
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    say = lambda df, what: df.select("path", "fn", what.alias("problem"))
+    again = lambda df, what: say(df.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("count") - 1))), what)
+    id_, n = F.col("id"), lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    f = rows.where("fact = 'function'").groupBy("path", "fn").agg(F.min(F.struct("src", "dst", "start_line", "end_line")).alias("f"))
+    own = dealt(f.select("path", "fn", F.col("f.src").alias("entry"), F.col("f.dst").alias("exit"), F.col("f.start_line").alias("first"), F.col("f.end_line").alias("last")))
+
+    has = lambda fact, kind=None: F.count_if((F.col("fact") == fact) & (F.lit(True) if kind is None else F.coalesce(F.col("kind") == kind, F.lit(False))))
+    counts = rows.groupBy("path", "fn").agg(F.array(*[F.struct(F.lit(x).alias("what"), c.alias("n")) for x, c in (("function", has("function")), ("entry block", has("block", "entry")), ("exit block", has("block", "exit")))]).alias("c"))
+    out = say(counts.select("path", "fn", F.explode("c").alias("c")).where("c.n <> 1"), text("expected exactly one ", F.col("c.what"), ", found ", F.col("c.n")))
+    out = out.unionByName(again(b.groupBy("path", "fn", "id").count().where("count > 1"), text("duplicate block id ", id_)))
+
+    out = out.unionByName(say(b.where(n("statements") != n("spans")), text("block ", id_, " has ", n("statements"), " statements but ", n("spans"), " spans")))
+    out = out.unionByName(say(b.where(n("statements") > 0).where("kind <> 'basic'"), text(F.col("kind"), " block ", id_, " must be empty")))
+    at = b.select("path", "fn", "id", F.explode("spans").alias("s"))
+    out = out.unionByName(say(at.where("s.end_line < s.start_line or (s.end_line = s.start_line and s.end_col < s.start_col)"), text("block ", id_, " has an inverted span (", F.col("s.start_line"), ":", F.col("s.start_col"), ")")))
+    out = out.unionByName(say(at.join(own, ["path", "fn"]).where("s.start_line < first or s.end_line > last"), text("block ", id_, " maps outside its function (", F.col("s.start_line"), ")")))
+
+    end = lambda what, c: F.struct(F.lit(what).alias("what"), F.col(c).alias("id"))
+    ends = e.select("path", "fn", F.inline(F.array(end("edge from unknown block ", "src"), end("edge to unknown block ", "dst"))))
+    ends = ends.withColumn("tail", F.lit("")).unionByName(own.select("path", "fn", F.inline(F.array(end("entryId ", "entry"), end("exitId ", "exit"))), F.lit(" is not a block").alias("tail")))
+    out = out.unionByName(say(ends.join(dealt(b.select("path", "fn", "id")), ["path", "fn", "id"], "left_anti"), text(F.col("what"), id_, F.col("tail"))))
+    beyond = e.join(own, ["path", "fn"], "left")
+    out = out.unionByName(say(beyond.where("dst = coalesce(entry, 'entry')"), text("entry block has an incoming edge")))
+    out = out.unionByName(say(beyond.where("src = coalesce(exit, 'exit')"), text("exit block has an outgoing edge")))
+    key = text(F.col("src"), "→", F.col("dst"), ":", F.col("kind"), ":", F.col("label"))
+    out = out.unionByName(again(e.withColumn("label", F.coalesce("label", F.lit(""))).groupBy("path", "fn", "src", "dst", "kind", "label").count().where("count > 1"), text("duplicate edge ", key)))
+    return out.unionByName(say(e.where("label is not null and kind <> 'case'"), text("edge ", key, " carries a label but is not a case edge")))
 
 
 def dead_blocks(rows: DataFrame) -> DataFrame:
