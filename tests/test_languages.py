@@ -95,12 +95,12 @@ def test_cyclic_nodes_of_one_task_and_of_components(spark, pairs):
 
 def test_typescript_callbacks_recursion_and_unknown_classes(spark):
     files = [
-        ("a.ts", "import { far, Kind } from './b';\nfunction near() { near(); }\nclass Own {}\nfunction f(xs) { xs.map(near, far, Own, Kind, other); new Gone(near); g()(far); if (near) { xs[0]?.(near); } }\nfunction h(near) { return (near); }\n"),
+        ("a.ts", "import { far, Kind } from './b';\nfunction near() { near(); }\nclass Own {}\nfunction f(xs) { xs.map(near, far, Own, Kind, other); new Gone(near); g()(far); if (near) { xs[0]?.(near); } }\nfunction h(near) { return (near); }\nfunction k() { function part() {} run(part); }\nfunction m(part) { this.run(part); }\nfunction run() {}\n"),
         ("b.ts", "export function far() {}\nexport class Kind {}\n"),
     ]
     e, _ = edges(spark, "typescript", files)
     got = {(r["src"].split("#")[-1], r["dst"].split("#")[-1]): (r["cnt"], r["low"]) for r in e.values() if r["kind"] == "calls"}
-    assert got == {("near", "near"): (None, None), ("f", "near"): (2, True), ("f", "far"): (2, True), ("f", "Gone"): (None, True), ("f", "g"): (None, True)}
+    assert got == {("near", "near"): (None, None), ("f", "near"): (2, True), ("f", "far"): (2, True), ("f", "Gone"): (None, True), ("f", "g"): (None, True), ("k", "run"): (None, None), ("k", "k.part"): (None, True)}
 
 
 def test_typescript_phases_and_cancellation(spark):

@@ -238,6 +238,10 @@ def _script_calls(calls: DataFrame, d: DataFrame, found: DataFrame, first) -> Da
     bound = _bound(found, first(["function", "class"]))
     r = local.join(dealt(bound), ["path", "name"], "left")
     argument = F.coalesce(F.col("how") == "argument", F.lit(False))
-    known = r.select("src", F.coalesce("dst", "away").alias("dst"), argument.alias("low")).where("dst is not null and (not low or startswith(dst, 'function:'))")
+    # a function within another is in sight only there: the part of its name before the last dot begins the caller's
+    caller = F.concat(F.regexp_replace(F.substring_index("src", "#", -1), r"~\d+$", ""), F.lit("."))
+    within = F.regexp_extract(F.substring_index("dst", "#", -1), r"^(.*\.)?[^.]*$", 1)
+    seen = ~argument | (within == "") | F.startswith(caller, within)
+    known = r.select("src", F.coalesce(F.when(seen, F.col("dst")), "away").alias("dst"), argument.alias("low")).where("dst is not null and (not low or startswith(dst, 'function:'))")
     lost = r.where("dst is null and bound is null and (how is null or how = 'new')").where(~F.col("name").isin(sorted(lexical.GLOBALS)))
     return own.unionByName(known).unionByName(lost.select("src", F.concat(F.lit("function:unresolved#"), "name").alias("dst"), F.lit(True).alias("low")))
